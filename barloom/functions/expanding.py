@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.functions.ranks import rank_table
+from barloom.functions.windows import is_daily
 
 RANK_ROWS = 1024
 
@@ -23,16 +24,26 @@ def expanding_rank(
     positioned: DataFrame,
     columns: Mapping[str, str],
     keys: Sequence[str] = ("ticker",),
-    rows: int = RANK_ROWS,
+    rows: int | None = None,
 ) -> DataFrame:
     """Average-tie percentile rank of the current value in the history to date.
 
-    ``columns`` maps output to input names; the frame needs ``pos`` and ``n`` and loses them. A row compares
+    ``columns`` maps output to input names; the frame needs ``pos`` and ``n`` and loses them. Daily series
+    compare each value with its history directly. Otherwise, or when ``rows`` is given, a row compares
     itself with the rows of its own segment of at most ``rows`` rows directly. Rows of earlier segments are
     counted through rank tables per later segment, which sort them in value buckets; series of one segment
     send nothing there.
     """
     keys = list(keys)
+    if rows is None and is_daily(positioned):
+        so_far = Window.partitionBy(*keys).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+        local = positioned.withColumns({f"_past_{out}": F.collect_list(x).over(so_far) for out, x in columns.items()})
+        ranks = {
+            out: F.when(F.col(x).isNotNull(), (_mid_count(F.col(f"_past_{out}"), F.col(x)) + 0.5) / F.size(f"_past_{out}"))
+            for out, x in columns.items()
+        }
+        return local.withColumns(ranks).drop(*[f"_past_{out}" for out in columns], "pos", "n", "seg")
+    rows = rows or RANK_ROWS
     parted = positioned.withColumn("_rs", F.floor(F.col("pos") / rows))
     final = F.floor((F.col("n") - 1) / rows)
 
@@ -79,4 +90,4 @@ def expanding_rank(
         seen = F.size(past) + F.coalesce(f"_seen_{out}", F.lit(0))
         outputs[out] = F.when(value.isNotNull(), (smaller + 0.5) / seen)
     helpers = [f"{part}_{out}" for out in columns for part in ("_past", "_score", "_seen")]
-    return local.withColumns(outputs).drop(*helpers, "_rs", "pos", "n")
+    return local.withColumns(outputs).drop(*helpers, "_rs", "pos", "n", "seg")

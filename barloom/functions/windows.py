@@ -1,12 +1,14 @@
 """Ordered-window building blocks that stay bounded however long one key's history is.
 
-A plain window partitioned by ticker puts a whole series in one task. The helpers here cut a series in two
-ways instead, both exact:
+A window partitioned by ticker puts a whole series in one task. For daily bars that is bounded by the schema:
+``date`` is a DATE and unique per key, so a series has at most 366 rows a year, whatever share of the raw trades
+its ticker had. Such series run in plain windows, and chained stages share one shuffle.
+
+Any other ordering column (timestamps) gives no such bound. Its series are cut in two exact ways:
 
 * ``in_segments`` runs finite look-back / look-ahead windows on ``(key, segment)``. A segment is a fixed
   number of consecutive rows; the rows just before (and after) it are replicated into it as a halo, so
-  every window sees what it would see on the uncut series. A series shorter than one segment is not
-  replicated at all.
+  every window sees what it would see on the uncut series.
 * ``running`` computes unbounded running sums, products, maxima and last values with a two-level scan:
   scan inside each bucket, scan the per-bucket totals, combine.
 
@@ -20,7 +22,7 @@ import math
 from collections.abc import Callable, Mapping, Sequence
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 EPS = "1e-9D"
@@ -76,15 +78,24 @@ class Axis(NamedTuple):
         return f"CASE WHEN count({value}) {frame} >= {needed} THEN {aggregate}({value}) {frame} END"
 
 
+def is_daily(df: DataFrame, order: str = "date") -> bool:
+    """True when a series cannot have more rows than calendar days."""
+    return dict(df.dtypes).get(order) == "date"
+
+
 def with_position(
     df: DataFrame, keys: Sequence[str] = ("ticker",), order: str = "date", bucket: str = "year({order})"
 ) -> DataFrame:
     """Add ``pos`` (0-based rank in the series) and ``n`` (series length).
 
-    Ranks are local to a calendar bucket and shifted by the row counts of earlier buckets, so no task holds
-    more than one bucket of one key. The bucket table has one row per key and calendar year.
+    Series that are not daily are ranked in two levels: inside a calendar bucket, then shifted by the row
+    counts of earlier buckets, so no task holds more than one bucket of one key. The bucket table has one row
+    per key and calendar year.
     """
     names = ", ".join(keys)
+    if is_daily(df, order):
+        rank = f"row_number() OVER (PARTITION BY {names} ORDER BY {order}) - 1"
+        return extend(df, {"pos": f"bigint({rank})", "n": f"count(1) OVER (PARTITION BY {names})"})
     bucketed = extend(df, {"_bucket": bucket.format(order=order)})
     offsets = (
         bucketed.groupBy(*keys, "_bucket")
@@ -114,8 +125,7 @@ def split_segments(positioned: DataFrame, back: int = 0, ahead: int = 0, rows: i
     return extend(spread, {"halo": f"seg <> pos div {rows}", "blk": f"pos div {EWM_BLOCK}"})
 
 
-def segment_axis(keys: Sequence[str] = ("ticker",)) -> Axis:
-    return Axis((*keys, "seg"), ("blk", "pos"))
+ROW_ORDER = ("blk", "pos")
 
 
 def in_segments(
@@ -125,31 +135,46 @@ def in_segments(
     ahead: int = 0,
     keys: Sequence[str] = ("ticker",),
     order: str = "date",
-    rows: int = SEGMENT_ROWS,
+    rows: int | None = None,
     keep: bool = False,
 ) -> DataFrame:
-    """Apply ``stage(df, axis)`` on halo-extended segments and return only the rows of the input.
+    """Apply ``stage(df, axis)`` to whole daily series or to halo-extended segments; returns the input's rows.
+
+    ``rows`` forces segments of that length.
 
     ``keep`` leaves ``pos``, ``n`` and ``seg`` on the result; a frame that already has ``pos`` and ``n`` is
     not ranked again.
     """
     positioned = df if {"pos", "n"} <= set(df.columns) else with_position(df, keys, order)
-    staged = stage(split_segments(positioned, back, ahead, rows), segment_axis(keys))
+    if rows is None and is_daily(df, order):
+        whole = extend(positioned, {"blk": f"pos div {EWM_BLOCK}"})
+        kept = stage(whole, Axis(tuple(keys), ROW_ORDER)).drop("blk")
+        return extend(kept, {"seg": "0L"}) if keep else kept.drop("pos", "n")
+    segments = split_segments(positioned, back, ahead, rows or SEGMENT_ROWS)
+    staged = stage(segments, Axis((*keys, "seg"), ROW_ORDER))
     kept = staged.where("NOT halo").drop("halo", "blk")
     return kept if keep else kept.drop("pos", "n", "seg")
 
 
-# kind -> (aggregate over a frame, aggregate over a bucket, combination of local and carried value)
-_COMBINE: Mapping[str, tuple[str, str, str]] = {
-    "sum": ("sum({x})", "sum({x})", "coalesce({here} + {carry}, {here}, {carry}, 0)"),
-    "product": ("product({x})", "product({x})", "coalesce({here} * {carry}, {here}, {carry}, 1)"),
-    "max": ("max({x})", "max({x})", "greatest({here}, {carry})"),
-    "min": ("min({x})", "min({x})", "least({here}, {carry})"),
-    "last": (
-        "last({x}, true)",
-        "max_by({x}, CASE WHEN {x} IS NOT NULL THEN struct({order}) END)",
-        "coalesce({here}, {carry})",
-    ),
+def _scan(kind: str, column: str) -> Column:
+    if kind == "product":
+        return F.product(F.col(column))
+    return F.expr(f"last({column}, true)" if kind == "last" else f"{kind}({column})")
+
+
+def _bucket_total(kind: str, column: str, sequence: str) -> Column:
+    if kind == "last":
+        return F.expr(f"max_by({column}, CASE WHEN {column} IS NOT NULL THEN struct({sequence}) END)")
+    return _scan(kind, column)
+
+
+# How the value inside a bucket and the value carried into it combine.
+_COMBINE = {
+    "sum": "coalesce({here} + {carry}, {here}, {carry}, 0)",
+    "product": "coalesce({here} * {carry}, {here}, {carry}, 1)",
+    "max": "greatest({here}, {carry})",
+    "min": "least({here}, {carry})",
+    "last": "coalesce({here}, {carry})",
 }
 
 
@@ -159,43 +184,37 @@ def running(
     keys: Sequence[str] = ("ticker",),
     bucket: str = "seg",
     order: Sequence[str] = ("pos",),
-    exclusive: bool = False,
 ) -> DataFrame:
     """Running aggregates over whole series: ``specs`` maps output name to ``(kind, input)``.
 
     ``kind`` is sum, product, max, min or last (the last non-null value). ``bucket`` must be non-decreasing
-    along ``order``. With ``exclusive`` the current row is left out.
+    along ``order``; daily series need no buckets.
     """
-    names, sequence = ", ".join(keys), ", ".join(order)
-    end = "1 PRECEDING" if exclusive else "CURRENT ROW"
-    inside = f"OVER (PARTITION BY {names}, {bucket} ORDER BY {sequence} ROWS BETWEEN UNBOUNDED PRECEDING AND {end})"
-    before = f"OVER (PARTITION BY {names} ORDER BY {bucket} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    if is_daily(df):
+        prepared = extend(df, {f"_x_{name}": source for name, (_, source) in specs.items()})
+        whole = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        scans = {name: _scan(kind, f"_x_{name}").over(whole) for name, (kind, _) in specs.items()}
+        return prepared.withColumns(scans).drop(*[f"_x_{name}" for name in specs])
+    sequence = ", ".join(order)
+    inside = Window.partitionBy(*keys, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(*keys).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
     prepared = extend(df, {f"_x_{name}": source for name, (_, source) in specs.items()})
     totals = prepared.groupBy(*keys, bucket).agg(
-        *[
-            F.expr(_COMBINE[kind][1].format(x=f"_x_{name}", order=sequence)).alias(f"_t_{name}")
-            for name, (kind, _) in specs.items()
-        ]
+        *[_bucket_total(kind, f"_x_{name}", sequence).alias(f"_t_{name}") for name, (kind, _) in specs.items()]
     )
-    carried = totals.selectExpr(
-        *keys,
-        bucket,
-        *[f"{_scan(kind, f'_t_{name}')} {before} AS _c_{name}" for name, (kind, _) in specs.items()],
+    carried = totals.select(
+        *keys, bucket, *[_scan(kind, f"_t_{name}").over(before).alias(f"_c_{name}") for name, (kind, _) in specs.items()]
     )
-    local = extend(
-        prepared, {f"_l_{name}": f"{_scan(kind, f'_x_{name}')} {inside}" for name, (kind, _) in specs.items()}
+    local = prepared.withColumns(
+        {f"_l_{name}": _scan(kind, f"_x_{name}").over(inside) for name, (kind, _) in specs.items()}
     )
     outputs = [
-        f"{_COMBINE[kind][2].format(here=f'_l_{name}', carry=f'_c_{name}')} AS `{name}`"
+        f"{_COMBINE[kind].format(here=f'_l_{name}', carry=f'_c_{name}')} AS `{name}`"
         for name, (kind, _) in specs.items()
     ]
     return local.join(carried, [*keys, bucket]).selectExpr(*[f"`{c}`" for c in df.columns], *outputs)
 
 
-def _scan(kind: str, column: str) -> str:
-    return _COMBINE[kind][0].format(x=column)
-
-
 def ewm_columns(axis: Axis, specs: Mapping[str, tuple[str, float, int]]) -> dict[str, str]:
     """Recursive exponential means ``y = (1-alpha) y[-1] + alpha x`` without a recursion.
 

@@ -330,8 +330,14 @@ def _second_level(panel: DataFrame, axis: Axis, names: set[str]) -> DataFrame:
 
 
 def _with_history_totals(panel: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Join per-segment totals: signed volume and volume before the segment's first row, one row per segment."""
+    """Add signed volume and volume before the first row of the window, and the whole volume.
+
+    Segments get theirs from a table with one row per segment.
+    """
     names = ", ".join(keys)
+    if "halo" not in panel.columns:
+        total = f"sum(volume) OVER (PARTITION BY {names})"
+        return extend(panel, {"_signed_start": "0D", "_volume_start": "0D", "_volume_total": total})
     before = f"OVER (PARTITION BY {names} ORDER BY seg ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
     totals = (
         panel.groupBy(*keys, "seg")
@@ -400,7 +406,6 @@ def build_features(
         for k in (2, 13):
             needs.ewm("_force", span_alpha(k))
     derived = {name: _series(name, needs) for name in sorted(needs.series)}
-    exponential = bool(needs.smooth)
 
     def stage(panel: DataFrame, axis: Axis) -> DataFrame:
         lags = {f"_lag{k}_{series}": axis.lag(series, k) for series, k in sorted(needs.lags)}
@@ -409,15 +414,12 @@ def build_features(
         panel = _second_level(panel, axis, second)
         return _volume_flow(panel, axis, keys, causal) if flow else panel
 
-    ranked = [c for c in FAMILIES["vol_rank"] if c in wanted]
-    sizes = {} if rows is None else {"rows": rows}
     positioned = with_position(bars, keys)
-    features = in_segments(
-        positioned, stage, back=EWM_HALO if exponential else LOOKBACK, keys=keys, keep=bool(ranked), **sizes
-    )
+    back = EWM_HALO if needs.smooth else LOOKBACK
+    ranked = {name: name.removesuffix("_rank") for name in FAMILIES["vol_rank"] if name in wanted}
+    features = in_segments(positioned, stage, back=back, keys=keys, rows=rows, keep=bool(ranked))
     if ranked:
-        source = {name: name.removesuffix("_rank") for name in ranked}
-        features = expanding_rank(features.drop("seg"), source, keys)
+        features = expanding_rank(features, ranked, keys)
     return require_indicators(features.selectExpr(*bars.columns, *[f"`{c}`" for c in columns]), columns)
 
 

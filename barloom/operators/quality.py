@@ -97,17 +97,11 @@ def ffill_then_bfill(df: DataFrame) -> DataFrame:
         bucket="_year",
         order=("date",),
     )
-    heads = df.groupBy("ticker").agg(
-        *[F.min_by(F.col(c), F.when(F.col(c).isNotNull(), F.col("date"))).alias(f"_h_{c}") for c in FIELDS]
-    )
-    return (
-        filled.join(heads, "ticker")
-        .select(
-            *[c for c in df.columns if c not in FIELDS],
-            *[F.coalesce(f"_f_{c}", f"_h_{c}").alias(c) for c in FIELDS],
-        )
-        .dropna(subset=list(FIELDS))
-    )
+    heads = {c: f"min_by({c}, CASE WHEN {c} IS NOT NULL THEN date END) OVER (PARTITION BY ticker)" for c in FIELDS}
+    filled = extend(filled, {f"_h_{c}": text for c, text in heads.items()})
+    return filled.selectExpr(
+        *[c for c in df.columns if c not in FIELDS], *[f"coalesce(_f_{c}, _h_{c}) AS {c}" for c in FIELDS]
+    ).dropna(subset=list(FIELDS))
 
 
 def rejection_reason() -> Column:
@@ -154,8 +148,8 @@ def jump_report(flagged: DataFrame, first: int = 5) -> DataFrame:
 
 
 def drop_short_histories(df: DataFrame, min_rows: int = MIN_BARS) -> DataFrame:
-    enough = df.groupBy("ticker").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_rows)
-    return df.join(enough.select("ticker"), "ticker", "left_semi")
+    counted = extend(df, {"_n": "count(1) OVER (PARTITION BY ticker)"})
+    return counted.where(F.col("_n") >= min_rows).drop("_n")
 
 
 def drop_non_finite(df: DataFrame, columns: Sequence[str]) -> DataFrame:
