@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from barloom.functions.ranks import linear_quantile, rank_table, with_mid_rank
 from barloom.functions.windows import extend, num
+from barloom.session import cut_lineage
 
 MODEL = ("model",)
 
@@ -84,8 +85,12 @@ def roc_points(scores: DataFrame, keys: Sequence[str] = MODEL) -> DataFrame:
 
 
 def rank_ic(scored_returns: DataFrame, keys: Sequence[str] = MODEL, realised: str = "realised") -> DataFrame:
-    """Spearman correlation of ``p`` and the realised return; 0 under five rows or for constant input."""
+    """Spearman correlation of ``p`` and the realised return; 0 under five rows or for constant input.
+
+    Both rank tables and the rows read the input, so its lineage is cut first.
+    """
     complete = scored_returns.where(f"p IS NOT NULL AND {realised} IS NOT NULL").select(*keys, "p", realised)
+    complete = cut_lineage(complete)
     ranked = with_mid_rank(with_mid_rank(complete, keys, "p", "_rp"), keys, realised, "_rr")
     stats = ranked.groupBy(*keys).agg(F.corr("_rp", "_rr").alias("_ic"), F.count(F.lit(1)).alias("_n"))
     return stats.selectExpr(*keys, "CASE WHEN _n < 5 THEN 0D ELSE coalesce(nanvl(_ic, 0D), 0D) END AS ic")

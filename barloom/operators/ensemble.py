@@ -51,23 +51,19 @@ def model_correlations(scores: DataFrame, models: Sequence[str]) -> DataFrame:
 
 def ensemble_weights(scores: DataFrame, models: Sequence[str]) -> DataFrame:
     """(model, auc, adjusted, weight): areas lowered for being close to a better model, then a softmax."""
-    areas = auc(scores.where(F.col("model").isin(list(models))))
-    rivals = areas.select(F.col("model").alias("rival"), F.col("auc").alias("rival_auc"))
-    penalty = (
-        model_correlations(scores, models)
-        .join(areas, "model")
-        .join(rivals, "rival")
-        .where("rival_auc > auc")
-        .groupBy("model")
-        .agg(F.expr(f"sum(greatest(corr - {num(TOLERATED)}, 0D)) * {num(PENALTY)}").alias("_penalty"))
+    everyone = "OVER (PARTITION BY 1)"  # a few models: one row each
+    areas = extend(
+        auc(scores.where(F.col("model").isin(list(models)))),
+        {"_areas": f"map_from_entries(collect_list(struct(model, auc)) {everyone})"},
     )
-    adjusted = areas.join(penalty, "model", "left").selectExpr(
-        "model", "auc", "auc - coalesce(_penalty, 0D) AS adjusted"
+    fine = f"CASE WHEN _areas[rival] > auc THEN greatest(corr - {num(TOLERATED)}, 0D) ELSE 0D END"
+    adjusted = (
+        areas.join(model_correlations(scores, models), "model", "left")
+        .groupBy("model", "auc")
+        .agg(F.expr(f"auc - {num(PENALTY)} * sum(coalesce({fine}, 0D)) AS adjusted"))
     )
-    centre = adjusted.agg(F.avg("adjusted")).scalar()
-    raised = adjusted.withColumn("_raised", F.exp(TEMPERATURE * (F.col("adjusted") - centre)))
-    total = raised.agg(F.sum("_raised")).scalar()
-    return raised.select("model", "auc", "adjusted", (F.col("_raised") / total).alias("weight"))
+    raised = extend(adjusted, {"_raised": f"exp({TEMPERATURE} * (adjusted - avg(adjusted) {everyone}))"})
+    return raised.selectExpr("model", "auc", "adjusted", f"_raised / sum(_raised) {everyone} AS weight")
 
 
 def weighted_mean(scores: DataFrame, weights: DataFrame) -> DataFrame:

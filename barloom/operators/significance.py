@@ -10,10 +10,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barloom.functions.ranks import quantiles
-from barloom.functions.windows import extend, in_segments, num
+from barloom.functions.windows import extend, in_segments, is_daily, num
 from barloom.operators.risk import sharpe
+from barloom.session import cut_lineage
 
 REPLICATES, SEED = 2000, 42
+REPLICATE_SHARES = 64
 EULER = 0.5772156649
 
 
@@ -47,34 +49,37 @@ def bootstrap_sharpes(
     """One Sharpe ratio per key and replicate from circular blocks.
 
     A block's start is a hash of (seed, replicate, block), so results do not depend on partitioning. Blocks
-    that run over the end wrap around; ``parity`` cuts them instead.
+    that run over the end wrap around; ``parity`` cuts them instead. A daily series fits one array (at most 366
+    values a year), so replicates are spread over tasks with the array and drawn without joins.
     """
+    if not is_daily(returns):
+        raise ValueError("the bootstrap needs one return per DATE")
     sized = block_lengths(returns, keys)
-    series = sized.groupBy(*keys).agg(F.max("n").alias("n"), F.max("len").alias("len"))
-    draws = (
-        series.where("n >= 10")
-        .selectExpr(*keys, "n", "len", f"explode(sequence(0, {replicates - 1})) AS rep")
-        .repartition(*keys, "rep")
-        .selectExpr(*keys, "n", "len", "rep", "explode(sequence(0, int(ceil(n / len)) - 1)) AS blk")
-    )
-    start = f"conv(substr(md5(concat_ws('-', '{seed}', rep, blk)), 1, 8), 16, 10)"
-    placed = draws.selectExpr(*keys, "rep", "n", "len", "blk", f"bigint({start}) % n AS start")
-    steps = placed.selectExpr(
-        *keys, "rep", "n", "start", "explode(sequence(0, int(least(len, n - blk * len)) - 1)) AS step"
+    series = sized.groupBy(*keys).agg(
+        F.max("n").alias("n"),
+        F.max("len").alias("len"),
+        F.expr("transform(array_sort(collect_list(struct(pos, net_ret))), x -> x.net_ret)").alias("_values"),
     )
-    drawn = steps.where("start + step < n") if parity else steps
-    picked = drawn.selectExpr(*keys, "rep", "(start + step) % n AS pos").join(
-        sized.select(*keys, "pos", "net_ret"), [*keys, "pos"]
+    shares = min(REPLICATE_SHARES, replicates)
+    spread = (
+        series.where("n >= 10")
+        .selectExpr("*", f"explode(sequence(0, {shares - 1})) AS _share")
+        .repartition(*keys, "_share")
+        .selectExpr(*keys, "n", "len", "_values", f"explode(sequence(_share, {replicates - 1}, {shares})) AS rep")
     )
+    start = f"bigint(conv(substr(md5(concat_ws('-', '{seed}', rep, blk)), 1, 8), 16, 10)) % n"
+    placed = extend(spread, {"_starts": f"transform(sequence(0, int((n - 1) div len)), blk -> {start})"})
+    index = "_starts[int(t div len)] + t % len"
+    picks = f"transform(sequence(0, int(n) - 1), t -> _values[int(({index}) % n)])"
+    if parity:
+        inside = f"filter(sequence(0, int(n) - 1), t -> {index} < n)"
+        picks = f"transform({inside}, t -> _values[int({index})])"
     hurdle = num(risk_free / 252)
-    stats = picked.groupBy(*keys, "rep").agg(
-        F.expr(f"avg(net_ret - {hurdle})").alias("_mean"),
-        F.stddev_samp("net_ret").alias("_std"),
-    )
-    root = num(math.sqrt(252))
-    return stats.selectExpr(
-        *keys, "rep", f"CASE WHEN _std > 1e-10D THEN {root} * _mean / _std ELSE 0D END AS sharpe"
-    )
+    drawn = extend(placed, {"_drawn": picks}).drop("_starts", "_values")
+    mean = extend(drawn, {"_m": "aggregate(_drawn, 0D, (a, x) -> a + x) / size(_drawn)"})
+    spread_ = "sqrt(aggregate(_drawn, 0D, (a, x) -> a + (x - _m) * (x - _m)) / (size(_drawn) - 1))"
+    ratio = f"CASE WHEN _std > 1e-10D THEN {num(math.sqrt(252))} * (_m - {hurdle}) / _std ELSE 0D END"
+    return extend(mean, {"_std": spread_}).selectExpr(*keys, "rep", f"{ratio} AS sharpe")
 
 
 def bootstrap_interval(
@@ -82,10 +87,8 @@ def bootstrap_interval(
 ) -> DataFrame:
     """Percentile interval per key; series under ten rows get an infinite one."""
     alpha = 1.0 - level
-    bounds = quantiles(
-        bootstrap_sharpes(returns, keys, **options), keys, "sharpe",
-        {"ci_lower": alpha / 2, "ci_upper": 1 - alpha / 2},
-    )
+    ratios = cut_lineage(bootstrap_sharpes(returns, keys, **options))
+    bounds = quantiles(ratios, keys, "sharpe", {"ci_lower": alpha / 2, "ci_upper": 1 - alpha / 2})
     return (
         returns.select(*keys).distinct().join(bounds, list(keys), "left").selectExpr(
             *keys,
@@ -142,7 +145,8 @@ def deflated_sharpe(
 def significance_summary(
     returns: DataFrame, keys: Sequence[str] = ("model",), trials: int = 9, risk_free: float = 0.0, **options
 ) -> DataFrame:
-    """Interval, deflated ratio and verdict per key, rounded as reported."""
+    """Interval, deflated ratio and verdict per key, rounded as reported. Reads the returns several times."""
+    returns = cut_lineage(returns)
     joined = deflated_sharpe(returns, keys, trials, risk_free).join(
         bootstrap_interval(returns, keys, risk_free=risk_free, **options), list(keys)
     )

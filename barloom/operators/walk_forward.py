@@ -12,6 +12,7 @@ from barloom.functions.windows import EPS, extend, in_segments, num, running
 from barloom.operators.classification import auc, rank_ic
 from barloom.operators.features import ma_crossover_signal
 from barloom.operators.splits import expanding_folds, fold_members
+from barloom.session import cut_lineage
 
 FOLD = ("ticker", "fold")
 
@@ -32,7 +33,7 @@ def fold_scores(bars: DataFrame, scores: DataFrame, **fold_options) -> DataFrame
     )
 
 
-def fold_pnl(scored: DataFrame, keys: Sequence[str] = FOLD, threshold: float = 0.5) -> DataFrame:
+def fold_pnl(scored: DataFrame, threshold: float = 0.5) -> DataFrame:
     """Add ``pred`` and the cost-free return of holding +1 or -1."""
     return extend(
         scored,
@@ -55,7 +56,7 @@ def walk_forward_table(bars: DataFrame, scores: DataFrame, purge: int = 5, seq_l
                        walks: int = 8) -> DataFrame:
     """One row per ticker and fold: provenance, classification, trading and baseline figures."""
     options = dict(walks=walks, purge=purge, seq_len=seq_len, horizon=horizon)
-    traded = fold_pnl(fold_scores(bars, scores, **options))
+    traded = cut_lineage(fold_pnl(fold_scores(bars, scores, **options)))
     root = num(math.sqrt(252))
     stats = traded.groupBy(*FOLD).agg(
         F.min("date").alias("test_start"),

@@ -9,6 +9,7 @@ from barloom.operators.significance import REPLICATES, SEED, trial_benchmark
 from barloom.plans.fixtures import MODELS
 
 E = "1e-9::DOUBLE"
+FIELDS = ("open", "high", "low", "close", "volume")
 ROOT_YEAR = repr(math.sqrt(252))
 PANEL = ("ret_5d", "price_vs_sma_20", "zscore_20", "vol_ratio_10")
 
@@ -20,7 +21,7 @@ def _with(ctes: Sequence[str], final: str, recursive: bool = False) -> str:
 def _r(columns: dict[str, str] | Sequence[str], digits: int = 6) -> str:
     """Rounded select list from {name: expression} or plain names."""
     pairs = columns.items() if isinstance(columns, dict) else [(c, f'"{c}"') for c in columns]
-    return ", ".join(f'round({text}, {digits}) AS "{name}"' for name, text in pairs)
+    return ", ".join(f'round({text}, {8 if name in FIELDS[:4] else digits}) AS "{name}"' for name, text in pairs)
 
 
 def _bars(ticker: str = "supplier", damped: bool = False) -> str:
@@ -154,14 +155,12 @@ def _autocorr(rows: int, lag: int) -> str:
 
 def _ewm_query(columns: dict[str, str], smooth: dict[str, tuple[str, float, int]], second: Sequence[str] = ()) -> str:
     """``smooth`` maps name to (input over s, alpha, first row number with a value)."""
-    seed = ", ".join(f"CASE WHEN {at} = 1 THEN ({x})::DOUBLE END AS {name}" for name, (x, _, at) in smooth.items())
     step = ", ".join(
         f"CASE WHEN i.rn = {at} THEN i.x_{name} ELSE e.{name} * {1 - alpha!r}::DOUBLE + i.x_{name} * {alpha!r}::DOUBLE END"
         for name, (_, alpha, at) in smooth.items()
     )
     inputs = ", ".join(f"({x})::DOUBLE AS x_{name}" for name, (x, _, _) in smooth.items())
     seeds = ", ".join(f"CASE WHEN {at} = 1 THEN x_{name} END" for name, (_, _, at) in smooth.items())
-    del seed
     names = ", ".join(smooth)
     ctes = [
         _bars(), SERIES,
@@ -244,9 +243,6 @@ raw AS (SELECT ticker, date, 1 AS seq, open, high, low, CASE WHEN rn = 560 THEN
     UNION ALL SELECT ticker, date, 2, open, high, low, close, vol FROM raw1 WHERE rn = 560)"""
 
 
-FIELDS = ("open", "high", "low", "close", "volume")
-
-
 def _complete() -> str:
     runs = ", ".join(
         f"count({c}) OVER (PARTITION BY ticker ORDER BY date) AS run_{c}" for c in FIELDS
@@ -337,9 +333,9 @@ def _targets_queries() -> dict[str, str]:
         f"CASE WHEN count(f{h}) {_over(60)} >= 30 THEN f{h} - quantile_cont(f{h}, 0.5) {_over(60)} END AS x{h}" for h in hs
     ) + " FROM f0)"
     ranks = "f1 AS (SELECT *, " + ", ".join(
-        f"CASE WHEN f{h} IS NOT NULL THEN list_filter(list(f{h}) {_over(60)}, v -> v IS NOT NULL) END AS w{h}" for h in hs
+        f"CASE WHEN f{h} IS NOT NULL THEN list_filter(list(f{h}) {_over(60)}, lambda v: v IS NOT NULL) END AS w{h}" for h in hs
     ) + " FROM f0), f2 AS (SELECT *, " + ", ".join(
-        f"CASE WHEN len(w{h}) >= 30 THEN (len(list_filter(w{h}, v -> v < f{h})) + (len(list_filter(w{h}, v -> v = f{h})) + 1)"
+        f"CASE WHEN len(w{h}) >= 30 THEN (len(list_filter(w{h}, lambda v: v < f{h})) + (len(list_filter(w{h}, lambda v: v = f{h})) + 1)"
         f" / 2.0::DOUBLE) / len(w{h}) END AS r{h}" for h in hs
     ) + " FROM f1)"
     return {
@@ -472,9 +468,9 @@ def _panel_queries() -> dict[str, str]:
         [*INNER,
          "tree AS (SELECT feature, avg(t) AS tree FROM (SELECT fold, feature, abs(corr(value, target_1d)) AS t FROM long"
          " GROUP BY fold, feature) GROUP BY feature)",
-         f"both AS (SELECT feature, {ordinal} AS ordinal, avg(mi) AS mi, max(tree) AS tree FROM mi JOIN tree USING (feature) GROUP BY feature)",
+         f"pair AS (SELECT feature, {ordinal} AS ordinal, avg(mi) AS mi, max(tree) AS tree FROM mi JOIN tree USING (feature) GROUP BY feature)",
          "ranked AS (SELECT *, 0.4 * ((row_number() OVER (ORDER BY mi, ordinal) - 1) / 3.0::DOUBLE)"
-         " + 0.6 * ((row_number() OVER (ORDER BY tree, ordinal) - 1) / 3.0::DOUBLE) AS combined FROM both)"],
+         " + 0.6 * ((row_number() OVER (ORDER BY tree, ordinal) - 1) / 3.0::DOUBLE) AS combined FROM pair)"],
         "SELECT ordinal, feature, round(combined, 6) AS combined FROM ranked ORDER BY ranked.combined DESC, ordinal DESC LIMIT 2",
     )
     means = "SELECT feature, round(avg(abs(w * (value - m))), 6) AS importance FROM (SELECT feature, value, avg(value) OVER" \
@@ -578,7 +574,7 @@ def _classification_queries() -> dict[str, str]:
         queries[name] = _with(
             [sc, f"x AS (SELECT *, {value} AS v FROM scores WHERE p IS NOT NULL)",
              f"edges AS (SELECT model, list_distinct([{edges}]) AS e FROM x GROUP BY model)",
-             "b AS (SELECT x.*, greatest(len(list_filter(e, q -> q < v)) - 1, 0) AS decile FROM x JOIN edges USING (model))"],
+             "b AS (SELECT x.*, greatest(len(list_filter(e, lambda q: q < v)) - 1, 0) AS decile FROM x JOIN edges USING (model))"],
             f"SELECT model, decile, {figures}, count(*) AS n FROM b GROUP BY model, decile",
         )
     return queries
@@ -606,7 +602,6 @@ weights AS (SELECT model, auc, adjusted, raised / (SELECT sum(raised) FROM ex) A
 def _ensemble_queries() -> dict[str, str]:
     sc = _scores()
     edge = "abs(p - 0.5)"
-    newest = "newest AS (SELECT model, ticker, max(date) AS date, arg_max(row(p), date) AS q FROM scores GROUP BY model, ticker)"
     return {
         "probability_audit": _with(
             [sc, "known AS (SELECT unnest([" + ", ".join(f"'{m}'" for m in (*MODELS, "absent")) + "]) AS model)"],
@@ -638,7 +633,7 @@ def _ensemble_queries() -> dict[str, str]:
             "SELECT ticker, round(p, 6) AS p, rank, CASE WHEN rank = 1 THEN 'top' WHEN p = lowest THEN 'avoid' ELSE '' END"
             " AS pick FROM r",
         ),
-    } if newest else {}
+    }
 
 
 KEY = "PARTITION BY model, ticker ORDER BY date"

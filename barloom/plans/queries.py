@@ -11,6 +11,7 @@ from barloom.functions.windows import extend
 from barloom.operators import alignment, classification, cross_section, ensemble, features, ledger, quality
 from barloom.operators import report, risk, scaling, selection, significance, splits, targets, walk_forward
 from barloom.plans.fixtures import MODELS, bars, raw_bars, scores
+from barloom.sources.bars import PRICES
 
 Query = Callable[[SparkSession, str], DataFrame]
 BAR = ("ticker", "date")
@@ -18,10 +19,11 @@ PANEL_FEATURES = ("ret_5d", "price_vs_sma_20", "zscore_20", "vol_ratio_10")
 COEFFICIENTS = {"ret_5d": 0.5, "price_vs_sma_20": -0.25, "zscore_20": 0.125, "vol_ratio_10": 1.0}
 
 
-def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Round doubles, so that the order of summation does not show."""
+def rounded(df: DataFrame, digits: int = 6, price_digits: int = 8) -> DataFrame:
+    """Round doubles, so that the order of summation does not show. Prices keep digits past any exact tie."""
+    places = {c: price_digits if c in PRICES else digits for c in df.columns}
     return df.selectExpr(
-        *[f"round(`{c}`, {digits}) AS `{c}`" if kind == "double" else f"`{c}`" for c, kind in df.dtypes]
+        *[f"round(`{c}`, {places[c]}) AS `{c}`" if kind == "double" else f"`{c}`" for c, kind in df.dtypes]
     )
 
 
@@ -335,6 +337,6 @@ QUERIES: dict[str, Query] = {
     ),
     "linear_attribution": _attribution,
     "price_overlay": lambda s, d: rounded(report.price_overlay(bars(s, d))),
-    "regime_timeline": lambda s, d: rounded(report.regime_timeline(bars(s, d, damped=True))),
+    "regime_timeline": lambda s, d: rounded(report.regime_timeline(bars(s, d, damped=True)), price_digits=6),
     "buy_hold_curve": lambda s, d: rounded(risk.buy_and_hold_curve(bars(s, d))),
 }
