@@ -58,28 +58,32 @@ def bootstrap_sharpes(
     series = sized.groupBy(*keys).agg(
         F.max("n").alias("n"),
         F.max("len").alias("len"),
+        F.avg("net_ret").alias("_centre"),
         F.expr("transform(array_sort(collect_list(struct(pos, net_ret))), x -> x.net_ret)").alias("_values"),
     )
     shares = min(REPLICATE_SHARES, replicates)
+    # an explicit number: the rows are few and small, but the work behind each is not
+    tasks = max(shares, int(returns.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     spread = (
         series.where("n >= 10")
         .selectExpr("*", f"explode(sequence(0, {shares - 1})) AS _share")
-        .repartition(*keys, "_share")
-        .selectExpr(*keys, "n", "len", "_values", f"explode(sequence(_share, {replicates - 1}, {shares})) AS rep")
+        .repartition(tasks, *keys, "_share")
+        .selectExpr(*keys, "n", "len", "_centre", "_values", f"explode(sequence(_share, {replicates - 1}, {shares})) AS rep")
     )
-    start = f"bigint(conv(substr(md5(concat_ws('-', '{seed}', rep, blk)), 1, 8), 16, 10)) % n"
-    placed = extend(spread, {"_starts": f"transform(sequence(0, int((n - 1) div len)), blk -> {start})"})
-    index = "_starts[int(t div len)] + t % len"
-    picks = f"transform(sequence(0, int(n) - 1), t -> _values[int(({index}) % n)])"
+    start = f"bigint(conv(substr(md5(concat_ws('-', '{seed}', rep, int(t div len))), 1, 8), 16, 10)) % n"
+    index = f"({start} + t % len)"
+    picks = f"transform(sequence(0, int(n) - 1), t -> _values[int({index} % n)])"
     if parity:
-        inside = f"filter(sequence(0, int(n) - 1), t -> {index} < n)"
-        picks = f"transform({inside}, t -> _values[int({index})])"
-    hurdle = num(risk_free / 252)
-    drawn = extend(placed, {"_drawn": picks}).drop("_starts", "_values")
-    mean = extend(drawn, {"_m": "aggregate(_drawn, 0D, (a, x) -> a + x) / size(_drawn)"})
-    spread_ = "sqrt(aggregate(_drawn, 0D, (a, x) -> a + (x - _m) * (x - _m)) / (size(_drawn) - 1))"
-    ratio = f"CASE WHEN _std > 1e-10D THEN {num(math.sqrt(252))} * (_m - {hurdle}) / _std ELSE 0D END"
-    return extend(mean, {"_std": spread_}).selectExpr(*keys, "rep", f"{ratio} AS sharpe")
+        picks = f"filter(transform(sequence(0, int(n) - 1), t -> get(_values, int({index}))), x -> x IS NOT NULL)"
+    # one pass over the draws; sums are taken around the series mean, so the spread keeps its precision
+    root, hurdle = num(math.sqrt(252)), num(risk_free / 252)
+    spread_of = "sqrt(greatest(a.q - a.s * a.s / a.k, 0D) / (a.k - 1))"
+    ratio = (
+        f"aggregate({picks}, named_struct('k', 0L, 's', 0D, 'q', 0D), (a, x) -> named_struct('k', a.k + 1L,"
+        " 's', a.s + (x - _centre), 'q', a.q + (x - _centre) * (x - _centre)),"
+        f" a -> CASE WHEN {spread_of} > 1e-10D THEN {root} * (_centre + a.s / a.k - {hurdle}) / {spread_of} ELSE 0D END)"
+    )
+    return spread.selectExpr(*keys, "rep", f"{ratio} AS sharpe")
 
 
 def bootstrap_interval(
