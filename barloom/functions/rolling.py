@@ -2,7 +2,7 @@
 
 A framed window aggregate visits every row of its frame again for every output row. Here a window of 2^(j+1)
 rows is put together from two windows of 2^j rows with one ``lag`` each, and a window of k rows from the
-windows in k's binary expansion. Nothing is ever subtracted, so sums and deviations keep full precision, and
+windows in k's binary expansion. Nothing is ever subtracted, so sums and deviations keep full precision, and full
 constant windows have a deviation of exactly zero.
 """
 
