@@ -14,10 +14,14 @@ RANK_ROWS = 1024
 
 
 def _mid_count(past: Column, value: Column) -> Column:
-    """Smaller elements plus half of the equal ones."""
-    return F.aggregate(
-        past, F.lit(0.0), lambda acc, x: acc + F.when(x < value, 1.0).when(x == value, 0.5).otherwise(0.0)
-    )
+    """Smaller elements plus half of the equal ones; ``value`` is one of the elements.
+
+    The first place of a value in the sorted list tells how many are smaller, in the reversed list how many
+    are larger. Both run as primitive loops, unlike a lambda.
+    """
+    ascending = F.sort_array(past)
+    smaller, larger = F.array_position(ascending, value), F.array_position(F.reverse(ascending), value)
+    return (F.size(past) + smaller - larger) / 2.0
 
 
 def expanding_rank(

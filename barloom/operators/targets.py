@@ -50,11 +50,12 @@ def add_targets(
             return extend(panel, {f"target_ret_{h}d": f"_f{h}" for h in horizons})
         frame = axis.trailing(rows)
         if mode == "excess_return":
+            panel = extend(panel, {f"_w{h}": f"sort_array(collect_list(_f{h}) {frame})" for h in horizons})
             panel = extend(
                 panel,
                 {
-                    f"target_exc_{h}d": f"CASE WHEN count(_f{h}) {frame} >= {least}"
-                    f" THEN _f{h} - percentile(_f{h}, 0.5D) {frame} END"
+                    f"target_exc_{h}d": f"CASE WHEN size(_w{h}) >= {least} THEN"
+                    f" _f{h} - (_w{h}[(size(_w{h}) - 1) div 2] + _w{h}[size(_w{h}) div 2]) / 2 END"
                     for h in horizons
                 },
             )
