@@ -13,7 +13,7 @@ from barloom.session import local_session
 HEADLINE = (
     "flagship", "bars_supplier", "bars_quality", "align_outer", "feat_returns", "feat_sma", "feat_bands",
     "feat_range", "feat_ema_macd", "feat_rsi", "feat_obv_force", "feat_vol_rank", "targets_rank", "cs_zscore",
-    "ens_auc_weighted", "ledger", "risk_metrics", "auc", "walk_forward", "model_report",
+    "ens_auc_weighted", "ledger", "auc", "walk_forward",
 )
 
 
