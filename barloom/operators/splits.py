@@ -51,7 +51,7 @@ def fallback_split(bars: DataFrame) -> DataFrame:
 def split_cleaned(bars: DataFrame, prepare: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Split, ``prepare`` (features, labels, null drop), and redo tickers with an empty part at 60/20/20.
 
-    Tickers still lacking a part are left out; ``incomplete_splits`` on the result lists none by design.
+    Tickers still lacking a part are left out.
     """
     first = prepare(position_split(bars))
     whole = _complete(first)
