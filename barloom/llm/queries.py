@@ -4,14 +4,25 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barloom.llm import outliers
+from barloom.llm import decontaminate, outliers, url_rules
 from barloom.llm.common import table
 
 
+def op4_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_rules.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+
+
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.drop("_text_hash", "hits")
+
+
 def op7_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outliers.judge(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
+    "op4_url_rules": op4_url_rules,
+    "op6_decontaminate": op6_decontaminate,
     "op7_robust_outliers": op7_robust_outliers,
 }
