@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+import zipfile
+from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import numpy as np
 import xxhash
@@ -63,6 +65,34 @@ def stage(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
     return staged
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package's modules to the executors once per application, so that tasks can import them."""
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    package = Path(__file__).resolve().parents[1]
+    with tempfile.TemporaryDirectory() as folder:
+        archive = Path(folder) / f"{package.name}.zip"
+        with zipfile.ZipFile(archive, "w") as out:
+            for file in [package / "__init__.py", *sorted(Path(__file__).parent.glob("*.py"))]:
+                out.write(file, file.relative_to(package.parent))
+        location = f"{shared_folder(spark)}/{package.name}-{uuid.uuid4().hex}.zip"
+        path, files = _path(spark, location)
+        files.copyFromLocalFile(spark._jvm.org.apache.hadoop.fs.Path(f"file://{archive}"), path)
+    files.deleteOnExit(path)
+    context.addPyFile(location)
+    _SHIPPED.add(context.applicationId)
+
+
+def python_map(df: DataFrame, function: Callable, schema: str) -> DataFrame:
+    """``mapInPandas`` with this package on the executors."""
+    ship(df.sparkSession)
+    return df.mapInPandas(function, schema)
+
+
 def discard(*staged: DataFrame) -> None:
     """Delete staged files that no later step reads."""
     for df in staged:
@@ -82,7 +112,7 @@ def ascii_lower(column: Column) -> Column:
 
 def parts_for(df: DataFrame, bytes_each: int = 64 << 20, least: int = 1) -> int:
     """Partitions for a frame, from Spark's size estimate of its files and the session's setting."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return max(least, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(100_000, size // bytes_each))
 
 

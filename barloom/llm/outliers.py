@@ -21,6 +21,7 @@ SUPPORT = 0.75
 STEPS = 5
 LEAST = 60
 CUTOFF = 60.0
+BROADCAST_GROUPS = 100_000
 #: Least standard deviation of each statistic: differences far below it are no sign of bad text.
 FLOORS = (0.12, 0.08, 0.25, 0.25, 1.0)
 #: Median of chi-square with five degrees of freedom, for the scale of the estimate.
@@ -118,10 +119,15 @@ def _sums() -> list[Column]:
     ]
 
 
+def _held(small: DataFrame) -> DataFrame:
+    """A table with one row per group, sent to all tasks where its counted rows allow it."""
+    return F.broadcast(small) if small.count() <= BROADCAST_GROUPS else small
+
+
 def _concentrate(rows: DataFrame, model: DataFrame) -> DataFrame:
     """One step: sums per (group, distance bucket), then the nearest buckets that hold the support."""
     bucket = F.floor(8 * F.log2(F.greatest(_distance(), F.lit(1e-3)))).cast("int")
-    per = rows.join(model, "_g").withColumn("_b", bucket).groupBy("_g", "_b").agg(*_sums())
+    per = rows.join(_held(model), "_g").withColumn("_b", bucket).groupBy("_g", "_b").agg(*_sums())
     names = [f"s{i}" for i in range(P)] + [f"p{i}{j}" for i, j in PAIRS]
     near = per.selectExpr(
         "*", "sum(n) OVER (PARTITION BY _g ORDER BY _b) - n AS _before", "sum(n) OVER (PARTITION BY _g) AS _all"
@@ -158,16 +164,16 @@ def judge(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "tex
     ), "_text").drop("_text").withColumns(_vector())
     staged = stage(counted, "quality-counts")
     sizes = staged.where("NOT base_failed").groupBy("_own").agg(F.count(F.lit(1)).alias("_rows"))
-    groups = sizes.select("_own", F.when(F.col("_rows") >= LEAST, F.col("_own")).otherwise("\x02").alias("_g"))
-    rows = stage(staged.where("NOT base_failed").join(groups, "_own").select("_g", *X), "quality-vectors")
+    groups = stage(sizes.select("_own", F.when(F.col("_rows") >= LEAST, F.col("_own")).otherwise("\x02").alias("_g")), "quality-groups")
+    rows = stage(staged.where("NOT base_failed").join(_held(groups), "_own").select("_g", *X), "quality-vectors")
     model = stage(_start(rows), "quality-start")
     for _ in range(STEPS):
         last, model = model, stage(_concentrate(rows, model), "quality-step")
         discard(last)
     big = rows.groupBy("_g").agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") >= LEAST).select("_g")
     usable = stage(groups.join(model.join(big, "_g"), "_g").drop("_g"), "quality-model")
-    discard(rows, model)
-    joined = staged.join(usable, "_own", "left").withColumn(
+    discard(rows, model, groups)
+    joined = staged.join(_held(usable), "_own", "left").withColumn(
         "distance", F.when(~F.col("base_failed"), _distance() / F.greatest(F.col("f"), F.lit(0.25)))
     )
     return joined.select(

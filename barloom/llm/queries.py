@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barloom.llm import decontaminate, outliers, url_rules
+from barloom.llm import decontaminate, outliers, packed, url_rules
 from barloom.llm.common import table
 
 
+def op1_rans_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed.round_trip(table(spark, sf_dir, "documents"))
+
+
 def op4_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
 
@@ -22,6 +26,7 @@ def op7_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_rans_tokens": op1_rans_tokens,
     "op4_url_rules": op4_url_rules,
     "op6_decontaminate": op6_decontaminate,
     "op7_robust_outliers": op7_robust_outliers,
