@@ -18,7 +18,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 WHITE = r"[\x20\x09-\x0D]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
-_LOWER_BYTES = bytes.maketrans(UPPER.encode(), LOWER.encode())
+#: Byte table that lower-cases A-Z.
+LOWER_BYTES = bytes.maketrans(UPPER.encode(), LOWER.encode())
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _SLICE = 1 << 22
 _MEMO_LIMIT = 1 << 19
@@ -119,13 +120,11 @@ def parts_for(df: DataFrame, bytes_each: int = 64 << 20, least: int = 1) -> int:
 class WordHasher:
     """64-bit hashes of white-space words; the memo of seen words is emptied when full, so memory is bounded."""
 
-    def __init__(self, lower: bool = True, limit: int = _MEMO_LIMIT):
-        self.lower, self.limit, self.memo = lower, limit, {}
+    def __init__(self, fold: bytes = LOWER_BYTES, limit: int = _MEMO_LIMIT):
+        self.fold, self.limit, self.memo = fold, limit, {}
 
     def __call__(self, text: str | None) -> np.ndarray:
-        data = (text or "").encode("utf-8", "surrogatepass")
-        if self.lower:
-            data = data.translate(_LOWER_BYTES)
+        data = (text or "").encode("utf-8", "surrogatepass").translate(self.fold)
         parts = [self._hashes(words) for words in slices(data)]
         return parts[0] if len(parts) == 1 else np.concatenate(parts) if parts else np.zeros(0, np.uint64)
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barloom.llm import decontaminate, outliers, packed, url_rules
+from barloom.llm import decontaminate, licenses, outliers, packed, packing, piece_counts, url_rules
 from barloom.llm.common import table
 
 
@@ -12,10 +12,18 @@ def op1_rans_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.round_trip(table(spark, sf_dir, "documents"))
 
 
+def op3_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op4_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
 
 
+def op5_piece_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_counts.count(table(spark, sf_dir, "documents"))
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.drop("_text_hash", "hits")
@@ -25,9 +33,16 @@ def op7_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outliers.judge(table(spark, sf_dir, "documents"))
 
 
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_rans_tokens": op1_rans_tokens,
+    "op3_best_fit": op3_best_fit,
     "op4_url_rules": op4_url_rules,
+    "op5_piece_counts": op5_piece_counts,
     "op6_decontaminate": op6_decontaminate,
     "op7_robust_outliers": op7_robust_outliers,
+    "op8_licenses": op8_licenses,
 }
