@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barloom.llm import decontaminate, licenses, outliers, packed, packing, piece_counts, url_rules
+from barloom.llm import decontaminate, language, licenses, outliers, packed, packing, piece_counts, url_rules
 from barloom.llm.common import table
 
 
@@ -37,6 +37,10 @@ def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.predict(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_rans_tokens": op1_rans_tokens,
     "op3_best_fit": op3_best_fit,
@@ -45,4 +49,5 @@ QUERIES = {
     "op6_decontaminate": op6_decontaminate,
     "op7_robust_outliers": op7_robust_outliers,
     "op8_licenses": op8_licenses,
+    "op10_language_id": op10_language_id,
 }
