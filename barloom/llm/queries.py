@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barloom.llm import decontaminate, language, licenses, outliers, packed, packing, piece_counts, url_rules
+from barloom.llm import decontaminate, jaccard, language, licenses, outliers, packed, packing, piece_counts, url_rules
 from barloom.llm.common import table
 
 
@@ -12,6 +12,10 @@ def op1_rans_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.round_trip(table(spark, sf_dir, "documents"))
 
 
+def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.link(table(spark, sf_dir, "documents"))
+
+
 def op3_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -43,6 +47,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_rans_tokens": op1_rans_tokens,
+    "op2_ngram_jaccard": op2_ngram_jaccard,
     "op3_best_fit": op3_best_fit,
     "op4_url_rules": op4_url_rules,
     "op5_piece_counts": op5_piece_counts,
