@@ -215,7 +215,7 @@ def _predicted(path: str, langs: list[str], probs: np.ndarray, column: str):
                 best = logs.argmax(axis=1)
                 share = 1.0 / np.exp(logs - logs.max(axis=1, keepdims=True)).sum(axis=1)
                 names[known], scores[known] = np.array(langs, object)[best], share
-            yield batch.drop(columns=column).assign(lang_pred=names, score=scores)
+            yield batch.drop(columns="_text", errors="ignore").assign(lang_pred=names, score=scores)
 
     return make
 
@@ -224,7 +224,11 @@ def predict(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), vocabulary: st
     """``keep`` columns, held_out, lang_pred and score, one row per document; learned from ``labelled`` (``docs`` by default)."""
     path = vocabulary or vocabulary_path("word_bpe_49k.json")
     langs, probs = learn(docs if labelled is None else labelled, path)
-    own = docs.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(keep)], F.coalesce(fold_of("doc_id", HELD_OUT) == 0, F.lit(False)).alias("_held"), F.col("text").alias("_text"))
+    column = f"_k{keep.index('text')}" if "text" in keep else "_text"
+    own = docs.select(
+        *[F.col(c).alias(f"_k{i}") for i, c in enumerate(keep)], F.coalesce(fold_of("doc_id", HELD_OUT) == 0, F.lit(False)).alias("_held"),
+        *([F.col("text").alias("_text")] if column == "_text" else []),
+    )
     kinds = ", ".join(f"`{n}` {kind}" for n, kind in own.drop("_text").dtypes)
-    out = python_map(own, _predicted(path, langs, probs, "_text"), f"{kinds}, lang_pred string, score double")
+    out = python_map(own, _predicted(path, langs, probs, column), f"{kinds}, lang_pred string, score double")
     return out.select(*[F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)], F.col("_held").alias("held_out"), "lang_pred", "score")

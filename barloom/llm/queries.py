@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barloom.llm import decontaminate, jaccard, language, licenses, outliers, packed, packing, piece_counts, url_rules
+from barloom.llm import decontaminate, jaccard, katz, language, licenses, outliers, packed, packing, piece_counts, url_rules
 from barloom.llm.common import table
 
 
@@ -41,6 +41,10 @@ def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op9_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.score(table(spark, sf_dir, "documents"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(table(spark, sf_dir, "documents"))
 
@@ -54,5 +58,6 @@ QUERIES = {
     "op6_decontaminate": op6_decontaminate,
     "op7_robust_outliers": op7_robust_outliers,
     "op8_licenses": op8_licenses,
+    "op9_katz_backoff": op9_katz_backoff,
     "op10_language_id": op10_language_id,
 }
