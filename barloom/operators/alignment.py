@@ -15,7 +15,7 @@ from barloom.operators.quality import MAX_GAP, MIN_BARS
 def align_inner(bars: DataFrame) -> DataFrame:
     """Keep the dates on which every ticker has a bar."""
     tickers = bars.agg(F.countDistinct("ticker")).scalar()
-    common = bars.groupBy("date").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") == tickers)
+    common = bars.groupBy("date").agg(F.countDistinct("ticker").alias("_n")).where(F.col("_n") == tickers)
     return bars.join(common.select("date"), "date", "left_semi")
 
 

@@ -140,9 +140,15 @@ def stack_predict(model, scores: DataFrame, models: Sequence[str]) -> DataFrame:
 
 
 def latest_forecast(scores: DataFrame) -> DataFrame:
-    """Newest score per model and ticker with direction, strength and both consensus counts."""
+    """Newest score there is per model and ticker with direction, strength and both consensus counts.
+
+    A newest bar without a score does not hide the pair; ``age`` is the number of days from the score to the pair's newest bar.
+    """
+    known = "p IS NOT NULL AND NOT isnan(p)"
     newest = scores.groupBy("ticker", "model").agg(
-        F.max("date").alias("date"), F.expr("max_by(p, date)").alias("p")
+        F.expr(f"max(date) FILTER (WHERE {known})").alias("date"),
+        F.expr(f"max_by(p, date) FILTER (WHERE {known})").alias("p"),
+        F.expr(f"datediff(max(date), max(date) FILTER (WHERE {known}))").alias("age"),
     )
     counts = newest.where("p IS NOT NULL").groupBy("ticker").agg(
         F.expr("count_if(p >= 0.5D)").alias("models_up"), F.expr("count_if(p < 0.5D)").alias("models_down")

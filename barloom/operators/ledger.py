@@ -58,15 +58,19 @@ def signals(
     fraction: float = KELLY_FRACTION,
     parity: bool = False,
 ) -> DataFrame:
-    """Add ``direction``, ``confident``, ``size`` and the raw ``signal``; rows without a probability drop."""
+    """Add ``missing``, ``direction``, ``confident``, ``size`` and the raw ``signal``.
+
+    A bar without a probability is ``missing``: not confident and flat, so a position held before it is closed there.
+    """
     edge = "(2 * p - 1)" if parity else "abs(2 * p - 1)"
     size = f"least(greatest({edge} / (1 + {EPS}) * {num(fraction)}, 0D), {num(MAX_POSITION)})" if kelly else "1D"
+    known = extend(scores, {"missing": "p IS NULL OR isnan(p)"})
     sized = extend(
-        scores.where("p IS NOT NULL AND NOT isnan(p)"),
+        known,
         {
-            "direction": f"int(p >= {num(threshold)})",
-            "confident": f"abs(p - 0.5D) >= {num(confidence)}",
-            "size": size,
+            "direction": f"CASE WHEN NOT missing THEN int(p >= {num(threshold)}) END",
+            "confident": f"NOT missing AND abs(p - 0.5D) >= {num(confidence)}",
+            "size": f"CASE WHEN missing THEN 0D ELSE {size} END",
         },
     )
     return extend(sized, {"signal": _directed(long_only)})
@@ -99,7 +103,7 @@ def kelly_with_history(
         chance = "p" if parity else "greatest(p, 1 - p)"
         share = f"({chance} * _b - (1 - {chance})) / (_b + {EPS})"
         return extend(
-            panel, {"_size": f"least(greatest({share} * {num(fraction)}, 0D), {num(MAX_POSITION)})"}
+            panel, {"_size": f"CASE WHEN missing THEN 0D ELSE least(greatest({share} * {num(fraction)}, 0D), {num(MAX_POSITION)}) END"}
         )
 
     sized = in_segments(booked, stage, back=rows + 2, keys=KEYS)

@@ -15,6 +15,7 @@ from barloom.operators.splits import expanding_folds, fold_members
 from barloom.session import cut_lineage
 
 FOLD = ("ticker", "fold")
+SCORED = ("model", *FOLD)
 
 
 def fold_scores(bars: DataFrame, scores: DataFrame, **fold_options) -> DataFrame:
@@ -28,7 +29,7 @@ def fold_scores(bars: DataFrame, scores: DataFrame, **fold_options) -> DataFrame
     baseline = ma_crossover_signal(tests.drop("pos", "role"), keys=FOLD).selectExpr(
         *FOLD, "date", "is_clean", "realised", "int(p) AS baseline"
     )
-    return baseline.join(scores.select("ticker", "date", "p", "y"), ["ticker", "date"]).where(
+    return baseline.join(scores.select("model", "ticker", "date", "p", "y"), ["ticker", "date"]).where(
         "realised IS NOT NULL AND p IS NOT NULL"
     )
 
@@ -44,7 +45,7 @@ def fold_pnl(scored: DataFrame, threshold: float = 0.5) -> DataFrame:
     )
 
 
-def fold_drawdown(traded: DataFrame, keys: Sequence[str] = FOLD) -> DataFrame:
+def fold_drawdown(traded: DataFrame, keys: Sequence[str] = SCORED) -> DataFrame:
     """Deepest drawdown of the compounded, floored fold returns."""
     dated = extend(traded, {"_year": "year(date)"})
     grown = running(dated, {"_cum": ("product", "1 + greatest(pnl, -0.99D)")}, keys, "_year", ("date",))
@@ -54,11 +55,11 @@ def fold_drawdown(traded: DataFrame, keys: Sequence[str] = FOLD) -> DataFrame:
 
 def walk_forward_table(bars: DataFrame, scores: DataFrame, purge: int = 5, seq_len: int = 50, horizon: int = 1,
                        walks: int = 8) -> DataFrame:
-    """One row per ticker and fold: provenance, classification, trading and baseline figures."""
+    """One row per model, ticker and fold: provenance, classification, trading and baseline figures."""
     options = dict(walks=walks, purge=purge, seq_len=seq_len, horizon=horizon)
     traded = cut_lineage(fold_pnl(fold_scores(bars, scores, **options)))
     root = num(math.sqrt(252))
-    stats = traded.groupBy(*FOLD).agg(
+    stats = traded.groupBy(*SCORED).agg(
         F.min("date").alias("test_start"),
         F.max("date").alias("test_end"),
         F.count(F.lit(1)).alias("te_rows"),
@@ -74,12 +75,12 @@ def walk_forward_table(bars: DataFrame, scores: DataFrame, purge: int = 5, seq_l
     )
     bounds = expanding_folds(bars, **options).select(*FOLD, "train_end", "gap")
     return (
-        stats.join(auc(traded, FOLD), list(FOLD))
-        .join(rank_ic(traded, FOLD), list(FOLD))
-        .join(fold_drawdown(traded), list(FOLD))
+        stats.join(auc(traded, SCORED), list(SCORED))
+        .join(rank_ic(traded, SCORED), list(SCORED))
+        .join(fold_drawdown(traded), list(SCORED))
         .join(bounds, list(FOLD))
         .selectExpr(
-            *FOLD, "train_end AS tr_rows", "test_start", "test_end", "gap", "is_clean", "te_rows",
+            *SCORED, "train_end AS tr_rows", "test_start", "test_end", "gap", "is_clean", "te_rows",
             "acc", "auc", "ic",
             f"CASE WHEN te_rows < 2 OR _std < 1e-10D THEN 0D ELSE _mean / _std * {root} END AS sharpe",
             f"CASE WHEN _losses < 2 OR _down < 1e-10D THEN 0D ELSE _mean / _down * {root} END AS sortino",
@@ -89,9 +90,9 @@ def walk_forward_table(bars: DataFrame, scores: DataFrame, purge: int = 5, seq_l
 
 
 def walk_forward_summary(table: DataFrame) -> DataFrame:
-    """Mean and deviation of each figure over all folds, clean folds, and whether there is an edge."""
+    """Mean and deviation of each figure per model over all folds, clean folds, and whether there is an edge."""
     figures = ("acc", "auc", "ic", "sharpe", "sortino", "win_rate", "max_dd", "baseline_acc", "vs_baseline")
-    return table.agg(
+    return table.groupBy("model").agg(
         F.count(F.lit(1)).alias("folds"),
         F.count_if("is_clean").alias("clean_folds"),
         *[F.avg(f).alias(f"{f}_mean") for f in figures],

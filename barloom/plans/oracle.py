@@ -588,7 +588,7 @@ def _sliced(part: str) -> str:
 
 
 def _weights() -> str:
-    names = ", ".join(f"'{m}'" for m in MODELS[:3])
+    names = ", ".join(f"'{m}'" for m in MODELS)
     return f"""three AS (SELECT * FROM part WHERE model IN ({names})), {_auc('three', 'model')},
 pairs AS (SELECT a.model, b.model AS rival, corr(a.p, b.p) AS c FROM three a JOIN three b ON a.ticker = b.ticker
     AND a.date = b.date AND a.model <> b.model GROUP BY a.model, b.model),
@@ -617,14 +617,15 @@ def _ensemble_queries() -> dict[str, str]:
             " FROM part JOIN weights USING (model) GROUP BY ticker, date",
         ),
         "latest_forecast": _with(
-            [sc, "newest AS (SELECT model, ticker, date, p FROM scores QUALIFY row_number() OVER (PARTITION BY model, ticker"
-             " ORDER BY date DESC) = 1)",
-             "f AS (SELECT * FROM newest WHERE p IS NOT NULL)",
+            [sc, "f AS (SELECT model, ticker, date, p FROM scores WHERE p IS NOT NULL QUALIFY row_number() OVER"
+             " (PARTITION BY model, ticker ORDER BY date DESC) = 1)",
+             "bar AS (SELECT model, ticker, max(date) AS newest FROM scores GROUP BY model, ticker)",
              "c AS (SELECT ticker, count(*) FILTER (WHERE p >= 0.5) AS models_up, count(*) FILTER (WHERE p < 0.5) AS models_down"
              " FROM f GROUP BY ticker)"],
-            f"SELECT ticker, model, date, round(p, 6) AS p, CASE WHEN p >= 0.5 THEN 'UP' ELSE 'DOWN' END AS direction,"
+            f"SELECT ticker, model, date, CAST(date_diff('day', date, newest) AS INT) AS age, round(p, 6) AS p,"
+            f" CASE WHEN p >= 0.5 THEN 'UP' ELSE 'DOWN' END AS direction,"
             f" CASE WHEN {edge} > 0.2 THEN 'STRONG' WHEN {edge} > 0.1 THEN 'MODERATE' ELSE 'WEAK' END AS strength,"
-            " models_up, models_down FROM f JOIN c USING (ticker)",
+            " models_up, models_down FROM f JOIN bar USING (model, ticker) JOIN c USING (ticker)",
         ),
         "ticker_ranking": _with(
             [sc, "eq AS (SELECT ticker, date, avg(p) AS p FROM scores GROUP BY ticker, date)",
@@ -641,17 +642,19 @@ RATE = repr((1.0 + 2.0 + 0.1 * math.sqrt(1000 / 10e6) * 1e4) / 1e4)
 HURDLE = repr(0.05 / 252)
 
 
-def _positions(parity: bool = False, stop: bool = True, kelly: bool = True) -> str:
+def _positions(parity: bool = False, stop: bool = True, kelly: bool = True, confidence: float = 0.0, long_only: bool = False) -> str:
     """Signals with the stop overlay as a recursive walk over each (model, ticker)."""
     gain = f"(o1 - open) / (open + {E})" if parity else f"(o2 - o1) / (o1 + {E})"
     edge = "(2 * p - 1)" if parity else "abs(2 * p - 1)"
     size = f"least(greatest({edge} / (1 + {E}) * 0.2::DOUBLE, 0), 1)" if kelly else "1.0::DOUBLE"
+    short = "0" if long_only else "-size"
     head = f"""px AS (SELECT ticker, date, close, open, lead(open) {_over()} AS o1, lead(open, 2) {_over()} AS o2,
     lead(close) {_over()} AS c1 FROM bars),
 ex AS (SELECT *, {gain} AS exec_ret FROM px WHERE {'o1' if parity else 'o2'} IS NOT NULL),
-b0 AS (SELECT model, ticker, date, p, y, close, o1, c1, exec_ret, CAST(p >= 0.5 AS INT) AS direction, {size} AS size
-    FROM scores JOIN ex USING (ticker, date) WHERE p IS NOT NULL),
-b1 AS (SELECT *, CASE WHEN direction = 1 THEN size ELSE -size END AS raw, row_number() OVER ({KEY}) - 1 AS k FROM b0)"""
+b0 AS (SELECT model, ticker, date, p, y, close, o1, c1, exec_ret, p IS NULL AS missing, CAST(p >= 0.5 AS INT) AS direction,
+    coalesce(abs(p - 0.5) >= {confidence!r}::DOUBLE, false) AS confident, CASE WHEN p IS NULL THEN 0 ELSE {size} END AS size
+    FROM scores JOIN ex USING (ticker, date)),
+b1 AS (SELECT *, CASE WHEN NOT confident THEN 0 WHEN direction = 1 THEN size ELSE {short} END AS raw, row_number() OVER ({KEY}) - 1 AS k FROM b0)"""
     if not stop:
         return head + """, held AS (SELECT *, raw AS signal, false AS stopped FROM b1)"""
     hit = "sign(b1.raw) = w.side AND w.open_trade AND w.entry > 1e-9 AND sign(b1.raw) * (b1.o1 - w.entry) / w.entry < -0.05"
@@ -665,9 +668,9 @@ w(model, ticker, k, side, open_trade, entry, stopped) AS (
 held AS (SELECT b1.*, CASE WHEN stopped THEN 0 ELSE raw END AS signal, stopped FROM b1 JOIN w USING (model, ticker, k))"""
 
 
-def _book(parity: bool = False) -> str:
+def _book(parity: bool = False, **options) -> str:
     extra = "CASE WHEN sign(signal) * sign(prev0) < 0 THEN abs(prev0) ELSE 0 END" if parity else "0"
-    return f"""{_positions(parity)},
+    return f"""{_positions(parity, **options)},
 h1 AS (SELECT *, lag(signal) OVER ({KEY}) AS prev FROM held),
 h2 AS (SELECT *, coalesce(prev, 0) AS prev0 FROM h1),
 h3 AS (SELECT *, (abs(signal - prev0) + {extra}) * {RATE} AS cost FROM h2),
@@ -689,7 +692,7 @@ TRADES = f"""count(*) FILTER (WHERE signal <> prev0) AS n_trades, count(*) FILTE
     / nullif(count(*) FILTER (WHERE signal <> 0 AND prev0 = 0), 0), 0) AS avg_hold,
     coalesce(count(*) FILTER (WHERE signal <> 0 AND net_ret > 0)::DOUBLE / nullif(count(*) FILTER (WHERE signal <> 0), 0), 0)
     AS win_rate, sum(net_ret) FILTER (WHERE signal <> 0 AND net_ret > 0)
-    / abs(sum(net_ret) FILTER (WHERE signal <> 0 AND net_ret < 0)) AS profit_factor, 1.0::DOUBLE AS pct_confident"""
+    / abs(sum(net_ret) FILTER (WHERE signal <> 0 AND net_ret < 0)) AS profit_factor, avg(CAST(confident AS DOUBLE)) AS pct_confident"""
 
 
 def _ledger_queries() -> dict[str, str]:
@@ -708,14 +711,30 @@ def _ledger_queries() -> dict[str, str]:
          f"k2 AS (SELECT *, coalesce(CASE WHEN count(pnl) {frame} >= 20 THEN avg(win) FILTER (WHERE pnl IS NOT NULL) {frame} END, 0.006) AS aw,"
          f" coalesce(CASE WHEN count(pnl) {frame} >= 20 THEN avg(loss) FILTER (WHERE pnl IS NOT NULL) {frame} END, 0.006) AS al FROM k1)",
          f"k3 AS (SELECT *, CASE WHEN aw / (al + {E}) < 0.1 THEN 1 ELSE aw / (al + {E}) END AS b, greatest(p, 1 - p) AS q FROM k2)",
-         f"k4 AS (SELECT *, least(greatest((q * b - (1 - q)) / (b + {E}) * 0.2::DOUBLE, 0), 1) AS sz FROM k3)"],
-        "SELECT model, ticker, date, round(sz, 6) AS size, round(CASE WHEN direction = 1 THEN sz ELSE -sz END, 6) AS signal FROM k4",
+         f"k4 AS (SELECT *, CASE WHEN p IS NULL THEN 0 ELSE least(greatest((q * b - (1 - q)) / (b + {E}) * 0.2::DOUBLE, 0), 1) END AS sz FROM k3)"],
+        "SELECT model, ticker, date, round(sz, 6) AS size, round(CASE WHEN p IS NULL THEN 0 WHEN direction = 1 THEN sz ELSE -sz END, 6) AS signal FROM k4",
     )
     queries["trade_stats"] = _with(
         [sc, _book(), f"t AS (SELECT model, ticker, {TRADES} FROM book GROUP BY model, ticker)"],
         "SELECT model, ticker, n_trades, n_stopped, "
         + _r(("turnover", "avg_hold", "win_rate", "profit_factor", "pct_confident")) + " FROM t", recursive=True,
     )
+    queries["trade_stats_confident"] = _with(
+        [sc, _book(confidence=0.1), f"t AS (SELECT model, ticker, {TRADES} FROM book GROUP BY model, ticker)"],
+        "SELECT model, ticker, n_trades, n_stopped, " + _r({
+            "turnover": "turnover", "avg_hold": "avg_hold", "win_rate": "win_rate", "pct_confident": "pct_confident",
+            "profit_factor": "CASE WHEN profit_factor IS NOT NULL THEN profit_factor WHEN win_rate > 0 THEN 'Infinity'::DOUBLE ELSE 1 END",
+        }) + " FROM t", recursive=True,
+    )
+    queries["ledger_long_only"] = _with(
+        [sc, _book(confidence=0.1, long_only=True)],
+        f"SELECT model, ticker, date, missing, confident, {_r(('signal', 'net_ret', 'equity'))} FROM book", recursive=True,
+    )
+    queries["ledger_audit"] = _with(
+        [sc],
+        "SELECT model, ticker, count(*) AS rows, count(*) FILTER (WHERE p IS NULL) AS missing,"
+        " count(*) FILTER (WHERE p < 0 OR p > 1) AS out_of_range, count(p) >= 2 AS usable FROM scores GROUP BY model, ticker",
+    )
     queries["risk_metrics"] = _with(
         [sc, _book(), f"r AS ({_ratio_select(keys)}, max_by(equity, date) AS last, min(underwater) AS dd FROM book GROUP BY {keys})",
          "a AS (SELECT *, pow(last, 252.0::DOUBLE / (n + 1)) - 1 AS ann FROM r)"],
@@ -760,7 +779,7 @@ bk AS (SELECT *, pow(g, 252.0::DOUBLE / (n + 1)) - 1 AS ba, CASE WHEN vr > 1e-12
     }
     queries["benchmark"] = _with([sc, _book(), bench], f"SELECT model, ticker, {_r(bench_columns, 5)} FROM bk", recursive=True)
 
-    realised = f"rr AS (SELECT model, p, (c1 - close) / (close + {E}) AS ret FROM book)"
+    realised = f"rr AS (SELECT model, p, (c1 - close) / (close + {E}) AS ret FROM book WHERE p IS NOT NULL)"
     queries["rank_ic"] = _with(
         [sc, _book(), realised,
          f"rk AS (SELECT model, {MID.format(k='model', x='p')} AS a, {MID.format(k='model', x='ret')} AS b FROM rr)"],
@@ -805,7 +824,7 @@ book AS (SELECT *, equity / max(equity) OVER (PARTITION BY total_cost_bps, model
         "cl AS (SELECT model, ticker, avg(CAST(pred = y AS DOUBLE)) AS accuracy, count(*) FILTER (WHERE pred = 1 AND y = 1) AS tp,"
         " count(*) FILTER (WHERE pred = 0 AND y = 0) AS tn, count(*) FILTER (WHERE pred <> y) AS bad, avg(pow(prob - y, 2)) AS brier"
         " FROM pr GROUP BY model, ticker)",
-        f"rr AS (SELECT model, ticker, p, (c1 - close) / (close + {E}) AS ret FROM book)",
+        f"rr AS (SELECT model, ticker, p, (c1 - close) / (close + {E}) AS ret FROM book WHERE p IS NOT NULL)",
         f"rk AS (SELECT model, ticker, {MID.format(k=keys, x='p')} AS a, {MID.format(k=keys, x='ret')} AS b FROM rr)",
         "ic AS (SELECT model, ticker, corr(a, b) AS ic FROM rk GROUP BY model, ticker)",
         "q AS (SELECT model, ticker, quantile_cont(net_ret, 0.050000000000000044) AS cut FROM book GROUP BY model, ticker)",
@@ -876,7 +895,7 @@ book AS (SELECT *, equity / max(equity) OVER (PARTITION BY total_cost_bps, model
 
 
 def _walk_forward_queries() -> dict[str, str]:
-    fold_key = "ticker, fold"
+    fold_key = "model, ticker, fold"
     ctes = [
         _scores("region"),
         "lens AS (SELECT ticker, count(*) AS n FROM bars GROUP BY ticker)",
@@ -887,20 +906,20 @@ def _walk_forward_queries() -> dict[str, str]:
         "te AS (SELECT pb.*, fold, train_end FROM pb JOIN folds ON pb.ticker = folds.ticker AND pos >= a AND pos < b)",
         f"bl AS (SELECT *, CAST(coalesce({_roll('avg', 'close', 5, keys='ticker, fold')} > {_roll('avg', 'close', 20, keys='ticker, fold')},"
         " false) AS INT) AS baseline FROM te)",
-        "tt AS (SELECT bl.ticker, bl.date, fold, train_end, realised, baseline, p, y, CAST(p >= 0.5 AS INT) AS pred,"
+        "tt AS (SELECT sc.model, bl.ticker, bl.date, fold, train_end, realised, baseline, p, y, CAST(p >= 0.5 AS INT) AS pred,"
         " CASE WHEN p >= 0.5 THEN realised ELSE -realised END AS pnl FROM bl JOIN scores sc ON bl.ticker = sc.ticker AND bl.date = sc.date"
-        " WHERE sc.model = 'momentum_20' AND realised IS NOT NULL)",
+        " WHERE p IS NOT NULL AND realised IS NOT NULL)",
         _auc("tt", fold_key),
-        f"rk AS (SELECT ticker, fold, {MID.format(k=fold_key, x='p')} AS ra, {MID.format(k=fold_key, x='realised')} AS rb FROM tt)",
-        "ic AS (SELECT ticker, fold, CASE WHEN count(*) < 5 THEN 0 ELSE corr(ra, rb) END AS ic FROM rk GROUP BY ticker, fold)",
-        "cu AS (SELECT *, product(1 + greatest(pnl, -0.99)) OVER (PARTITION BY ticker, fold ORDER BY date) AS cum FROM tt)",
-        "pk AS (SELECT *, max(cum) OVER (PARTITION BY ticker, fold ORDER BY date) AS peak FROM cu)",
-        f"dd AS (SELECT ticker, fold, min((cum - peak) / (peak + {E})) AS max_dd FROM pk GROUP BY ticker, fold)",
-        f"""st AS (SELECT ticker, fold, max(train_end) AS tr_rows, min(date) AS test_start, max(date) AS test_end, 51 AS gap,
+        f"rk AS (SELECT model, ticker, fold, {MID.format(k=fold_key, x='p')} AS ra, {MID.format(k=fold_key, x='realised')} AS rb FROM tt)",
+        "ic AS (SELECT model, ticker, fold, CASE WHEN count(*) < 5 THEN 0 ELSE corr(ra, rb) END AS ic FROM rk GROUP BY model, ticker, fold)",
+        "cu AS (SELECT *, product(1 + greatest(pnl, -0.99)) OVER (PARTITION BY model, ticker, fold ORDER BY date) AS cum FROM tt)",
+        "pk AS (SELECT *, max(cum) OVER (PARTITION BY model, ticker, fold ORDER BY date) AS peak FROM cu)",
+        f"dd AS (SELECT model, ticker, fold, min((cum - peak) / (peak + {E})) AS max_dd FROM pk GROUP BY model, ticker, fold)",
+        f"""st AS (SELECT model, ticker, fold, max(train_end) AS tr_rows, min(date) AS test_start, max(date) AS test_end, 51 AS gap,
     true AS is_clean, count(*) AS te_rows, avg(CAST(pred = y AS DOUBLE)) AS acc, avg(pnl) / stddev_pop(pnl) * {ROOT_YEAR} AS sharpe,
     CASE WHEN count(*) FILTER (WHERE pnl < 0) < 2 THEN 0 ELSE avg(pnl) / stddev_pop(pnl) FILTER (WHERE pnl < 0) * {ROOT_YEAR} END AS sortino,
     avg(CAST(pnl > 0 AS DOUBLE)) AS win_rate, avg(CAST(baseline = y AS DOUBLE)) AS baseline_acc, avg(y) * 100 AS up_pct
-    FROM tt GROUP BY ticker, fold)""",
+    FROM tt GROUP BY model, ticker, fold)""",
         f"wf AS (SELECT *, acc - baseline_acc AS vs_baseline FROM st JOIN aucs USING ({fold_key}) JOIN ic USING ({fold_key})"
         f" JOIN dd USING ({fold_key}))",
     ]
@@ -908,11 +927,11 @@ def _walk_forward_queries() -> dict[str, str]:
     summary = ", ".join(f"round(avg({f}), 6) AS {f}_mean, round(stddev_samp({f}), 6) AS {f}_std" for f in figures)
     return {
         "walk_forward": _with(
-            ctes, f"SELECT ticker, fold, tr_rows, test_start, test_end, gap, is_clean, te_rows, {_r((*figures, 'up_pct'))} FROM wf"
+            ctes, f"SELECT model, ticker, fold, tr_rows, test_start, test_end, gap, is_clean, te_rows, {_r((*figures, 'up_pct'))} FROM wf"
         ),
         "walk_forward_summary": _with(
-            ctes, f"SELECT count(*) AS folds, count(*) FILTER (WHERE is_clean) AS clean_folds, {summary},"
-            " avg(vs_baseline) > 0 AS positive_edge FROM wf"
+            ctes, f"SELECT model, count(*) AS folds, count(*) FILTER (WHERE is_clean) AS clean_folds, {summary},"
+            " avg(vs_baseline) > 0 AS positive_edge FROM wf GROUP BY model"
         ),
     }
 

@@ -57,9 +57,9 @@ def _labelled_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.calendar_split(clean)
 
 
-def _book(spark: SparkSession, sf_dir: str, parity: bool = False) -> DataFrame:
+def _book(spark: SparkSession, sf_dir: str, parity: bool = False, **options) -> DataFrame:
     prices = bars(spark, sf_dir, damped=True)
-    return ledger.ledger(scores(spark, sf_dir), prices, parity=parity)
+    return ledger.ledger(scores(spark, sf_dir), prices, parity=parity, **options)
 
 
 def _sliced(spark: SparkSession, sf_dir: str, part: str) -> DataFrame:
@@ -67,7 +67,7 @@ def _sliced(spark: SparkSession, sf_dir: str, part: str) -> DataFrame:
 
 
 def _weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ensemble.ensemble_weights(_sliced(spark, sf_dir, "eval"), MODELS[:3])
+    return ensemble.ensemble_weights(_sliced(spark, sf_dir, "eval"), MODELS)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -174,8 +174,8 @@ def _rank_ic(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _walk_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
-    one = scores(spark, sf_dir, "region", damped=True).where("model = 'momentum_20'")
-    return walk_forward.walk_forward_table(bars(spark, sf_dir, "region", damped=True), one)
+    scored = scores(spark, sf_dir, "region", damped=True)
+    return walk_forward.walk_forward_table(bars(spark, sf_dir, "region", damped=True), scored)
 
 
 def _portfolio(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -202,12 +202,12 @@ def _regimes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _stacking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = ensemble.stack_fit(_sliced(spark, sf_dir, "stack"), MODELS[:3])
-    return ensemble.stack_predict(model, _sliced(spark, sf_dir, "eval"), MODELS[:3])
+    model = ensemble.stack_fit(_sliced(spark, sf_dir, "stack"), MODELS)
+    return ensemble.stack_predict(model, _sliced(spark, sf_dir, "eval"), MODELS)
 
 
 def _calibrated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    calibration = ensemble.platt_fit(_sliced(spark, sf_dir, "eval"), MODELS[:3])
+    calibration = ensemble.platt_fit(_sliced(spark, sf_dir, "eval"), MODELS)
     return ensemble.calibrated_mean(_sliced(spark, sf_dir, "stack"), calibration, _weights(spark, sf_dir))
 
 
@@ -304,6 +304,11 @@ QUERIES: dict[str, Query] = {
     "ledger_parity": _ledger_shown(True),
     "kelly_history": _kelly_history,
     "trade_stats": lambda s, d: rounded(ledger.trade_stats(_book(s, d))),
+    "trade_stats_confident": lambda s, d: rounded(ledger.trade_stats(_book(s, d, confidence=0.1))),
+    "ledger_long_only": lambda s, d: rounded(
+        _book(s, d, confidence=0.1, long_only=True).select("model", *BAR, "missing", "confident", "signal", "net_ret", "equity")
+    ),
+    "ledger_audit": lambda s, d: ledger.ledger_input_audit(scores(s, d)),
     "cost_stress": lambda s, d: rounded(
         report.cost_stress(ledger.positions(scores(s, d), bars(s, d, damped=True)))
     ),

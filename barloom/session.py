@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +20,7 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .getOrCreate()
     )
 
@@ -26,12 +28,14 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint of a frame that many later jobs read (for example model fits).
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``. Only a session without that
-    setting (tests, local runs) gets a folder of its own.
+    The folder is the one the cluster names in ``spark.checkpoint.dir``. Only a local session without that setting (tests)
+    gets a folder of its own; on a cluster a folder of one machine would lose data, so its absence is an error.
     """
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
+        if not folder and not re.match(r"local(\[|$)", context.master):
+            raise ValueError("spark.checkpoint.dir is not set: name a folder that all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="barloom-checkpoint-"))
     return df.checkpoint()
