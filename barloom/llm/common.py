@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 import zipfile
@@ -36,6 +37,8 @@ def shared_folder(spark: SparkSession) -> str:
     if not folder:
         context = spark.sparkContext
         if context.getCheckpointDir() is None:
+            if not re.match(r"local(\[|$)", context.master):
+                raise ValueError("spark.checkpoint.dir is not set: name a folder that all executors share")
             context.setCheckpointDir(tempfile.mkdtemp(prefix="barloom-"))
         folder = context.getCheckpointDir()
     return folder.rstrip("/")

@@ -147,7 +147,12 @@ class Index:
             share = matched / len(template)
             if share >= coverage:
                 found.append((owner, share, begin + first, begin + end))
-        return list(dict.fromkeys(found))
+        found.sort(key=lambda m: (m[0], -m[1], m[2]))
+        apart: list[tuple[int, float, int, int]] = []
+        for owner, share, first, end in found:  # of overlapping matches of a template the best stays
+            if not any(owner == o and first < e and b < end for o, _, b, e in apart):
+                apart.append((owner, share, first, end))
+        return sorted(apart, key=lambda m: (m[2], m[0]))
 
 
 def _scanned(templates: Sequence[tuple[str, str]], coverage: float):
