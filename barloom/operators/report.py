@@ -80,16 +80,28 @@ def cost_stress(held: DataFrame, keys: Sequence[str] = KEYS, **options) -> DataF
     )
 
 
-def diagnostics(metrics: DataFrame, baseline_accuracy: float, edge: float, min_auc: float = 0.52) -> DataFrame:
-    """(check, value, passed) over a table with ``n_trades``, ``auc`` and ``accuracy`` per model."""
-    row = metrics.agg(F.min("n_trades").alias("t"), F.max("auc").alias("a"), F.max("accuracy").alias("c"))
+def diagnostics(metrics: DataFrame, walk: DataFrame, baseline: str, min_auc: float = 0.52) -> DataFrame:
+    """(check, value, passed): whether models trade, rank, beat the ``baseline`` model and have an edge over the folds.
+
+    ``metrics`` has ``n_trades``, ``auc`` and ``accuracy`` per model, ``walk`` the fold table with ``vs_baseline``. The last
+    row counts the failed checks.
+    """
+    rival, own = f"model <> '{baseline}'", f"model = '{baseline}'"
+    row = metrics.agg(
+        F.min("n_trades").alias("t"),
+        F.max("auc").alias("a"),
+        F.expr(f"max(accuracy) FILTER (WHERE {rival}) - max(accuracy) FILTER (WHERE {own})").alias("c"),
+    )
     checks = (
         "'every model trades', double(t), t > 0",
         f"'best auc', a, a >= {min_auc}D",
-        f"'best accuracy above baseline', c, c > {float(baseline_accuracy)!r}D",
-        f"'walk-forward edge', {float(edge)!r}D, {float(edge)!r}D >= 0",
+        "'best accuracy above baseline', c, c > 0",
+    )
+    found = row.selectExpr(f"stack({len(checks)}, {', '.join(checks)}) AS (check, value, passed)").union(
+        walk.agg(F.avg("vs_baseline").alias("e")).selectExpr("'walk-forward edge'", "e", "e >= 0")
     )
-    return row.selectExpr(f"stack({len(checks)}, {', '.join(checks)}) AS (check, value, passed)")
+    failed = found.agg(F.expr("double(count_if(NOT coalesce(passed, false)))").alias("n"))
+    return found.union(failed.selectExpr("'issues'", "n", "n = 0"))
 
 
 def price_overlay(bars: DataFrame) -> DataFrame:

@@ -436,14 +436,16 @@ def _panel_queries() -> dict[str, str]:
         LABELLED, "SELECT split, round(avg(target_1d) * 100, 6) AS up_pct, abs(avg(target_1d) * 100 - 50) > 5 AS imbalanced"
         " FROM panel GROUP BY split",
     )
+    whole = [*PANEL_CTES, f"c AS (SELECT ticker, date, {', '.join(PANEL)} FROM feats)"]
     complete = [*PANEL_CTES, f"c AS (SELECT ticker, date, {', '.join(PANEL)} FROM feats WHERE {NOT_NULL})"]
     day = "OVER (PARTITION BY date)"
-    queries["cs_zscore"] = _with(complete, "SELECT ticker, date, " + _r({
+    queries["cs_zscore"] = _with(whole, "SELECT ticker, date, " + _r({
         c: f"CASE WHEN count(*) {day} < 3 THEN {c} ELSE ({c} - avg({c}) {day}) / (stddev_pop({c}) {day} + 1e-8) END" for c in PANEL
     }) + " FROM c")
-    queries["cs_rank"] = _with(complete, "SELECT ticker, date, " + _r({
-        c: f"CASE WHEN count(*) {day} < 3 THEN {c} ELSE (rank() OVER (PARTITION BY date ORDER BY {c})"
-        f" + (count(*) OVER (PARTITION BY date, {c}) - 1) / 2.0::DOUBLE) / count(*) {day} END" for c in PANEL
+    queries["cs_rank"] = _with(whole, "SELECT ticker, date, " + _r({
+        c: f"CASE WHEN count(*) {day} < 3 THEN {c} WHEN {c} IS NULL OR count({c}) {day} < 2 THEN 0.5"
+        f" ELSE (rank() OVER (PARTITION BY date ORDER BY {c} NULLS LAST)"
+        f" + (count(*) OVER (PARTITION BY date, {c}) - 1) / 2.0::DOUBLE) / count({c}) {day} END" for c in PANEL
     }) + " FROM c")
     fit = "fit AS (SELECT " + ", ".join(
         f"quantile_cont({c}, 0.5) AS m_{c}, quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25) AS i_{c}" for c in PANEL
@@ -810,10 +812,14 @@ book AS (SELECT *, equity / max(equity) OVER (PARTITION BY total_cost_bps, model
         [sc, _book(), PREDICTED, _auc("scores", "model"),
          "c AS (SELECT model, avg(CAST(pred = y AS DOUBLE)) AS accuracy FROM pr GROUP BY model)",
          "t AS (SELECT model, count(*) FILTER (WHERE signal <> prev0) AS n_trades FROM book GROUP BY model)",
-         "m AS (SELECT min(n_trades) AS t, max(auc) AS a, max(accuracy) AS c FROM aucs JOIN c USING (model) JOIN t USING (model))",
-         "d AS (SELECT 'every model trades' AS \"check\", t::DOUBLE AS value, t > 0 AS passed FROM m"
-         " UNION ALL SELECT 'best auc', a, a >= 0.52 FROM m UNION ALL SELECT 'best accuracy above baseline', c, c > 0.5 FROM m"
-         " UNION ALL SELECT 'walk-forward edge', 0.0, true FROM m)"],
+         f"m AS (SELECT min(n_trades) AS t, max(auc) AS a, max(accuracy) FILTER (WHERE model <> '{MODELS[0]}')"
+         f" - max(accuracy) FILTER (WHERE model = '{MODELS[0]}') AS c FROM aucs JOIN c USING (model) JOIN t USING (model))",
+         f"e AS (SELECT avg(vs_baseline) AS e FROM ({_with(_walk_ctes(), 'SELECT vs_baseline FROM wf')}) walk)",
+         "f AS (SELECT 'every model trades' AS \"check\", t::DOUBLE AS value, t > 0 AS passed FROM m"
+         " UNION ALL SELECT 'best auc', a, a >= 0.52 FROM m UNION ALL SELECT 'best accuracy above baseline', c, c > 0 FROM m"
+         " UNION ALL SELECT 'walk-forward edge', e, e >= 0 FROM e)",
+         "d AS (SELECT * FROM f UNION ALL SELECT 'issues', count(*) FILTER (WHERE NOT coalesce(passed, false))::DOUBLE,"
+         " count(*) FILTER (WHERE NOT coalesce(passed, false)) = 0 FROM f)"],
         "SELECT \"check\", round(value, 6) AS value, passed FROM d", recursive=True,
     )
 
@@ -894,9 +900,9 @@ book AS (SELECT *, equity / max(equity) OVER (PARTITION BY total_cost_bps, model
     return queries
 
 
-def _walk_forward_queries() -> dict[str, str]:
+def _walk_ctes() -> list[str]:
     fold_key = "model, ticker, fold"
-    ctes = [
+    return [
         _scores("region"),
         "lens AS (SELECT ticker, count(*) AS n FROM bars GROUP BY ticker)",
         "widths AS (SELECT *, greatest((n - 351) // 8, 20) AS w FROM lens)",
@@ -923,6 +929,10 @@ def _walk_forward_queries() -> dict[str, str]:
         f"wf AS (SELECT *, acc - baseline_acc AS vs_baseline FROM st JOIN aucs USING ({fold_key}) JOIN ic USING ({fold_key})"
         f" JOIN dd USING ({fold_key}))",
     ]
+
+
+def _walk_forward_queries() -> dict[str, str]:
+    ctes = _walk_ctes()
     figures = ("acc", "auc", "ic", "sharpe", "sortino", "win_rate", "max_dd", "baseline_acc", "vs_baseline")
     summary = ", ".join(f"round(avg({f}), 6) AS {f}_mean, round(stddev_samp({f}), 6) AS {f}_std" for f in figures)
     return {

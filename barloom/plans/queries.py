@@ -99,8 +99,7 @@ def _named_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _cs(method: str) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        complete = _panel(spark, sf_dir).dropna()
-        return rounded(cross_section.normalise(complete, PANEL_FEATURES, method))
+        return rounded(cross_section.normalise(_panel(spark, sf_dir), PANEL_FEATURES, method))
 
     return query
 
@@ -186,7 +185,7 @@ def _diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = scores(spark, sf_dir)
     trades = ledger.trade_stats(_book(spark, sf_dir), ("model",))
     table = classification.classification_metrics(scored).join(classification.auc(scored), "model").join(trades, "model")
-    return rounded(report.diagnostics(table, baseline_accuracy=0.5, edge=0.0))
+    return rounded(report.diagnostics(table, _walk_forward(spark, sf_dir), MODELS[0]))
 
 
 def _attribution(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
+from barloom.plans.queries import QUERIES
 from tests.compare import DATA, connect, differences
 
 SF = "sf0.001"
@@ -9,7 +10,8 @@ QUICK = (
     "feat_candle", "feat_ema_macd", "feat_rsi", "feat_obv_force", "feat_vol_rank", "regime", "targets_excess", "targets_rank",
     "split_position", "fold_members", "cs_zscore", "cs_rank", "sequences", "select_top_k", "ens_equal", "ens_auc_weighted",
     "ledger", "ledger_parity", "kelly_history", "cost_stress", "deciles", "roc_points", "drawdown", "var_cvar", "benchmark",
-    "rolling_sharpe", "rank_ic", "walk_forward",
+    "rolling_sharpe", "rank_ic", "walk_forward", "latest_forecast", "trade_stats_confident", "ledger_long_only", "ledger_audit",
+    "diagnostics", "ens_weights", "model_report",
 )
 
 
@@ -20,7 +22,7 @@ def duck():
 
 def test_registry_is_consistent():
     assert set(oracle_sql()) <= set(queries())
-    assert set(queries()) - set(oracle_sql()) == {"ens_calibrated", "ens_stacking", "gbt_scores"}
+    assert set(QUERIES) - set(oracle_sql()) == {"ens_calibrated", "ens_stacking", "gbt_scores"}
 
 
 def test_entry(spark):
