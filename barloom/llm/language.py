@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barloom.llm.chunks import vocabulary_path
-from barloom.llm.common import LOWER_BYTES, discard, fold_of, python_map, slices, stage
+from barloom.llm.common import LOWER_BYTES, discard, fold_of, mix, python_map, slices, stage
 from barloom.llm.piece_counts import vocabulary_pieces
 
 SAMPLE = 1500
@@ -32,42 +32,79 @@ LONGEST = 12
 HELD_OUT = 5
 SMOOTHING = 0.1
 _MEMO_NUMBERS = 1 << 22
+_WORDS = 1 << 19
 
 
 class Pieces:
-    """Vocabulary with piece numbers; number ``size`` stands for no piece and has probability 0."""
+    """Vocabulary with piece numbers; number ``size`` stands for no piece and has probability 0.
+
+    Numbers are found for many words at once: 64-bit hashes of all their runs of bytes are looked up in tables by a few
+    bits of the hash; the few pieces that meet in a place go to a further, smaller table.
+    """
+
+    STEP = np.uint64(0x9E3779B97F4A7C15)
 
     def __init__(self, path: str):
         names = {p for p in vocabulary_pieces(path) if len(p) <= LONGEST} | {bytes([b]) for b in range(256)}
         self.number = {p: i for i, p in enumerate(sorted(names))}
         self.size = len(self.number)
+        hashes = np.zeros(self.size, np.uint64)
+        with np.errstate(over="ignore"):
+            for p, i in self.number.items():
+                h = 0
+                for byte in p:
+                    h = (h * int(self.STEP) + byte + 1) & 0xFFFFFFFFFFFFFFFF
+                hashes[i] = h
+        self.tables: list[tuple[np.uint64, np.ndarray, np.ndarray]] = []
+        left, bits = np.arange(self.size), 20
+        while len(left):
+            shift = np.uint64(64 - bits)
+            place = mix(hashes[left] + np.uint64(bits)) >> shift
+            _, first = np.unique(place, return_index=True)
+            keys, numbers = np.zeros(1 << bits, np.uint64), np.full(1 << bits, self.size, np.int32)
+            keys[place[first]], numbers[place[first]] = hashes[left[first]], left[first]
+            self.tables.append((shift, keys, numbers))
+            left, bits = np.delete(left, first), max(10, bits - 5)
+
+    def _numbers(self, hashes: np.ndarray) -> np.ndarray:
+        out = np.full(hashes.shape, self.size, np.int32)
+        for shift, keys, numbers in self.tables:
+            place = (mix(hashes + np.uint64(64) - shift) >> shift).astype(np.int64)
+            same = keys[place] == hashes
+            out[same] = numbers[place[same]]
+        return out
 
     def lattice(self, words: list[bytes]) -> np.ndarray:
-        """Piece numbers [word, end, length - 1] of words of one length."""
-        n, get, none = len(words[0]), self.number.get, self.size
-        flat = [get(w[e - k : e], none) if k <= e else none for w in words for e in range(1, n + 1) for k in range(1, LONGEST + 1)]
-        return np.array(flat, np.int64).reshape(len(words), n, LONGEST)
+        """Piece numbers [length - 1, end, word] of words of one length."""
+        n = len(words[0])
+        data = np.frombuffer(b"".join(words), np.uint8).reshape(len(words), n).T.astype(np.uint64) + np.uint64(1)
+        out = np.full((min(LONGEST, n), n, len(words)), self.size, np.int32)
+        hashes = np.zeros_like(data)
+        for k in range(1, min(LONGEST, n) + 1):
+            hashes = hashes[: n - k + 1] * self.STEP + data[k - 1 :]
+            out[k - 1, k - 1 :] = self._numbers(hashes)
+        return out
 
 
 def forward(lattice: np.ndarray, probs: np.ndarray) -> np.ndarray:
-    """Sums over segmentations of all prefixes [word, length, language]; ``probs`` is [piece, language]."""
-    words, n, _ = lattice.shape
-    sums = np.zeros((words, n + 1, probs.shape[1]))
-    sums[:, 0] = 1.0
+    """Sums over segmentations of all prefixes [length, word, language]; ``probs`` is [piece, language]."""
+    longest, n, words = lattice.shape
+    sums = np.zeros((n + 1, words, probs.shape[1]))
+    sums[0] = 1.0
     for end in range(1, n + 1):
-        for k in range(1, min(LONGEST, end) + 1):
-            sums[:, end] += sums[:, end - k] * probs[lattice[:, end - 1, k - 1]]
+        for k in range(1, min(longest, end) + 1):
+            sums[end] += sums[end - k] * probs[lattice[k - 1, end - 1]]
     return sums
 
 
 def backward(lattice: np.ndarray, probs: np.ndarray) -> np.ndarray:
     """Sums over segmentations of all suffixes, from each place to the end."""
-    words, n, _ = lattice.shape
-    sums = np.zeros((words, n + 1, probs.shape[1]))
-    sums[:, n] = 1.0
+    longest, n, words = lattice.shape
+    sums = np.zeros((n + 1, words, probs.shape[1]))
+    sums[n] = 1.0
     for start in range(n - 1, -1, -1):
-        for k in range(1, min(LONGEST, n - start) + 1):
-            sums[:, start] += sums[:, start + k] * probs[lattice[:, start + k - 1, k - 1]]
+        for k in range(1, min(longest, n - start) + 1):
+            sums[start] += sums[start + k] * probs[lattice[k - 1, start + k - 1]]
     return sums
 
 
@@ -86,6 +123,7 @@ def by_length(words: list[bytes], most: int = 4096) -> Iterator[list[int]]:
 
 
 _PIECES: dict[str, Pieces] = {}
+_SCORERS: dict[tuple[str, int], Scorer] = {}
 
 
 def pieces_of(path: str) -> Pieces:
@@ -120,12 +158,11 @@ def _expected(path: str, langs: list[str], probs: np.ndarray | None):
                 for batch_at in by_length(words):
                     lattice = vocabulary.lattice([words[k] for k in batch_at])
                     ahead, behind = forward(lattice, own)[:, :, 0], backward(lattice, own)[:, :, 0]
-                    weight = counts[batch_at] / np.maximum(ahead[:, -1], 1e-300)
-                    n = lattice.shape[1]
-                    for end in range(1, n + 1):
+                    weight = counts[batch_at] / np.maximum(ahead[-1], 1e-300)
+                    for end in range(1, lattice.shape[1] + 1):
                         for k in range(1, min(LONGEST, end) + 1):
-                            ids = lattice[:, end - 1, k - 1]
-                            share = weight * ahead[:, end - k] * own[ids, 0] * behind[:, end]
+                            ids = lattice[k - 1, end - 1]
+                            share = weight * ahead[end - k] * own[ids, 0] * behind[end]
                             total[i] += np.bincount(ids, share, vocabulary.size + 1)
         i, piece = np.nonzero(total[:, :-1])
         yield pd.DataFrame({"i": i.astype(np.int32), "piece": piece.astype(np.int32), "n": total[i, piece]})
@@ -178,7 +215,7 @@ class Scorer:
         owner, parts = np.array([c[0] for c in cut]), [c[1] for c in cut]
         values = np.zeros((len(words), self.probs.shape[1]))
         for at in by_length(parts):
-            ends = forward(self.pieces.lattice([parts[k] for k in at]), self.probs)[:, -1]
+            ends = forward(self.pieces.lattice([parts[k] for k in at]), self.probs)[-1]
             np.add.at(values, owner[at], np.log(np.maximum(ends, 1e-300)))
         first = len(self.memo)
         while first + len(words) > len(self.table):
@@ -187,25 +224,45 @@ class Scorer:
         self.memo.update(zip(words, range(first, first + len(words))))
 
     def score(self, texts: list[str]) -> np.ndarray:
-        """Log probabilities [text, language]."""
+        """Log probabilities [text, language]. New words of some megabytes of text are learned together."""
         out = np.zeros((len(texts), self.probs.shape[1]))
+        held: list[tuple[int, list[bytes]]] = []
+        size = 0
         for i, text in enumerate(texts):
             for part in slices(text.encode("utf-8", "surrogatepass").translate(LOWER_BYTES)):
-                at = np.fromiter(map(self.memo.get, part, repeat(-1)), np.int64, len(part))
-                if (at < 0).any():
-                    new = list(dict.fromkeys(part[k] for k in np.flatnonzero(at < 0)))
-                    if len(self.memo) + len(new) > self.limit:
-                        self._reset()
-                        new = list(dict.fromkeys(part))
-                    self._learn(new)
-                    at = np.fromiter(map(self.memo.__getitem__, part), np.int64, len(part))
-                out[i] += self.table[at].sum(axis=0)
+                held.append((i, part))
+                size += len(part)
+                if size >= _WORDS:
+                    self._sum(held, out)
+                    held, size = [], 0
+        self._sum(held, out)
         return out
 
+    def _sum(self, held: list[tuple[int, list[bytes]]], out: np.ndarray) -> None:
+        at = [np.fromiter(map(self.memo.get, part, repeat(-1)), np.int64, len(part)) for _, part in held]
+        new = list(dict.fromkeys(part[k] for (_, part), own in zip(held, at) for k in np.flatnonzero(own < 0)))
+        if new:
+            if len(self.memo) + len(new) > self.limit:
+                self._reset()
+                new = list(dict.fromkeys(w for _, part in held for w in part))
+            self._learn(new)
+            at = [np.fromiter(map(self.memo.__getitem__, part), np.int64, len(part)) for _, part in held]
+        for (i, _), own in zip(held, at):
+            out[i] += self.table[own].sum(axis=0)
+
+
+def scorer_of(path: str, probs: np.ndarray) -> Scorer:
+    """The scorer of a model; a Python worker keeps that of one model."""
+    key = (path, hash(probs.tobytes()))
+    if key not in _SCORERS:
+        _SCORERS.clear()
+        _SCORERS[key] = Scorer(path, probs)
+    return _SCORERS[key]
+
 
 def _predicted(path: str, langs: list[str], probs: np.ndarray, column: str):
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        scorer = Scorer(path, probs)
+        scorer = scorer_of(path, probs)
         for batch in batches:
             texts = ["" if t is None else t for t in batch[column]]
             known = np.array([bool(langs) and any(map(str.isalpha, t)) for t in texts], bool)
