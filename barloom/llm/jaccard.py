@@ -12,8 +12,9 @@ passage or frequent word makes a page large: only sets that agree in a whole gro
 
 Within pages: equal sets are one point. Each page's best connected member is compared with all others first; that joins
 nearly all groups of copies with one comparison per member. Pages that still hold several components are searched by the
-R-tree, a large page in pairs of blocks, so no task holds a whole page. Links inside a component are not looked for: what is
-returned is the component. Nothing is dropped, capped or sampled.
+R-tree, a large page in pairs of blocks, so no task holds a whole page; the pairs that its bounds leave form clusters, in
+which the sets themselves are compared. Links inside a component are not looked for: what is returned is the component.
+Nothing is dropped, capped or sampled.
 
 Results in odd cases: a text without words has an empty set and is its own component; fewer than three words are one shingle;
 rows with a null doc_id get their set's size and a null component; rows with the same doc_id are linked like others and share
@@ -38,7 +39,6 @@ WIDTH = 3
 #: A link: OVER * shared >= UNDER * union.
 OVER, UNDER = 100, 90
 RATIO = 1.5
-DIMS = 128
 LEAF = 16
 BLOCK = 1200
 BITMAP_BITS = 22
@@ -165,10 +165,21 @@ def _verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield batch.loc[linked, ["a", "b"]]
 
 
-def count_vectors(sets: list[np.ndarray]) -> np.ndarray:
-    """Points [set, group] of group counts."""
-    shift = np.uint64(64 - (DIMS - 1).bit_length())
-    return np.stack([np.bincount((mix(s) >> shift).astype(np.int64), minlength=DIMS) for s in sets]).astype(np.int32)
+def resolution(size: int) -> int:
+    """Groups of a set's point as a power of two: about three shingles in each."""
+    return min(13, max(5, (size // 3).bit_length()))
+
+
+def count_vector(hashes: np.ndarray) -> np.ndarray:
+    """Point of a set: counts of its groups. Groups of a lower resolution are sums of neighbours."""
+    bits = resolution(len(hashes))
+    return np.bincount((mix(hashes) >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits).astype("<u2" if len(hashes) < 1 << 16 else "<u4")
+
+
+def points_of(vectors: list[np.ndarray]) -> np.ndarray:
+    """Points at the lowest resolution among them."""
+    least = min(map(len, vectors))
+    return np.stack([v.astype(np.int32).reshape(least, -1).sum(axis=1) for v in vectors]).astype(np.int32)
 
 
 class PageTree:
@@ -199,50 +210,137 @@ class PageTree:
         return rows[bound >= needed(np.int64(size), self.sizes[rows])]
 
 
-def join_page(sids: np.ndarray, labels: np.ndarray, sides: np.ndarray, data: list[bytes]) -> list[tuple[int, int]]:
-    """Links that connect different components among the members of a page or of two blocks of one (sides 0 and 1)."""
-    sets = [np.frombuffer(x, np.uint64) for x in data]
-    sizes = np.array([len(s) for s in sets], np.int64)
-    parent = {int(x): int(x) for x in labels}
+class _Roots:
+    """Union-find."""
 
-    def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
+    def __init__(self, names):
+        self.parent = {int(x): int(x) for x in names}
+
+    def __call__(self, x: int) -> int:
+        while self.parent[x] != x:
+            self.parent[x] = self.parent[self.parent[x]]
+            x = self.parent[x]
         return x
 
-    points = count_vectors(sets)
-    tree = PageTree(points, sizes)
-    two, found = len(np.unique(sides)) > 1, []
-    for i in range(len(sids)):
-        for j in tree.candidates(points[i], sizes[i]):
-            if j <= i or (two and sides[i] == sides[j]):
-                continue
-            a, b = root(int(labels[i])), root(int(labels[j]))
-            if a != b and overlap(data[i], data[j]):
-                parent[a] = b
-                found.append((int(sids[i]), int(sids[j])))
+    def join(self, a: int, b: int) -> bool:
+        a, b = self(a), self(b)
+        self.parent[a] = b
+        return a != b
+
+
+def tree_pairs(points: np.ndarray, sizes: np.ndarray, labels: np.ndarray, sides: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Pairs of members of different labels that the R-tree's bounds leave; with two sides, only pairs across."""
+    two = sides.min() != sides.max()
+    tree = PageTree(points, sizes) if len(sizes) > LEAF else None  # a page of one leaf needs no boxes
+    for i in range(len(sizes)):
+        if tree:
+            near = tree.candidates(points[i], int(sizes[i]))
+            near = near[near > i]
+        else:
+            near = np.arange(i + 1, len(sizes))
+            near = near[np.minimum(points[i + 1 :], points[i]).sum(axis=1) >= needed(sizes[i], sizes[i + 1 :])]
+        near = near[labels[near] != labels[i]]
+        for j in near[sides[near] != sides[i]] if two else near:
+            yield i, int(j)
+
+
+def _groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
+    """Groups of rows that lie together, without repeated members; one group is held at a time."""
+    held: list[pd.DataFrame] = []
+    for batch in batches:
+        values = batch[keys].to_numpy()
+        cuts = [0, *(np.flatnonzero((values[1:] != values[:-1]).any(axis=1)) + 1).tolist(), len(batch)] if len(batch) else []
+        for a, b in zip(cuts, cuts[1:]):
+            part = batch.iloc[a:b]
+            if held and (held[0][keys].iloc[0].to_numpy() != values[a]).any():
+                yield pd.concat(held) if len(held) > 1 else held[0]
+                held = []
+            held.append(part)
+    if held:
+        yield pd.concat(held) if len(held) > 1 else held[0]
+
+
+def _by_group(df: DataFrame, keys: list[str], function, schema: str) -> DataFrame:
+    """``function`` over the groups of ``keys``; many small groups share a batch."""
+    placed = df.repartition(*keys).sortWithinPartitions(*keys)
+
+    def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for group in _groups(batches, keys):
+            rows = function(group)
+            if rows:
+                yield pd.DataFrame(rows, columns=["a", "b"], dtype="int64")
+
+    return python_map(placed, make, schema)
+
+
+def _near(group: pd.DataFrame) -> list[tuple[int, int]]:
+    """Members of a page that may be linked: a spanning forest of the pairs that the bounds leave."""
+    vectors = [np.frombuffer(v, f"<u{w}") for v, w in zip(group["vector"], group["width"])]
+    sids, found = group["sid"].to_numpy(), []
+    roots = _Roots(sids)
+    for i, j in tree_pairs(points_of(vectors), group["size"].to_numpy(), group["label"].to_numpy(), group["side"].to_numpy()):
+        if roots.join(int(sids[i]), int(sids[j])):
+            found.append((int(sids[i]), int(sids[j])))
     return found
 
 
-def _page_links(group: pd.DataFrame) -> pd.DataFrame:
-    group = group.drop_duplicates(["sid", "side"])
-    links = join_page(group["sid"].to_numpy(), group["label"].to_numpy(), group["side"].to_numpy(), list(group["hashes"]))
-    return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
+def _linked(group: pd.DataFrame) -> list[tuple[int, int]]:
+    """Links that connect different components among the members of a cluster or of two blocks of one."""
+    data = list(group["hashes"])
+    sets = [np.frombuffer(x, np.uint64) for x in data]
+    sids, labels, found = group["sid"].to_numpy(), group["label"].to_numpy(), []
+    roots = _Roots(labels)
+    points = points_of([count_vector(x) for x in sets])
+    for i, j in tree_pairs(points, np.array([len(x) for x in sets]), labels, group["side"].to_numpy()):
+        a, b = int(labels[i]), int(labels[j])
+        if roots(a) != roots(b) and overlap(data[i], data[j]):
+            roots.join(a, b)
+            found.append((int(sids[i]), int(sids[j])))
+    return found
 
 
-def _search(members: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links found by the R-tree in pages that hold several components, in pairs of blocks of at most about ``BLOCK`` members."""
-    labelled = members.join(labels, members["sid"] == labels["id"], "left").select("key", "sid", F.coalesce("label", "sid").alias("label"))
-    open_ = labelled.groupBy("key").agg(F.min("label").alias("_lo"), F.max("label").alias("_hi"), F.count(F.lit(1)).alias("_n")).where("_lo <> _hi")
-    cut = labelled.join(open_.select("key", F.ceil(F.col("_n") / BLOCK).cast("int").alias("_blocks")), "key")
+def _vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        sets = [np.frombuffer(x, np.uint64) for x in batch["hashes"]]
+        vectors = [count_vector(x) for x in sets]
+        yield pd.DataFrame({
+            "sid": batch["sid"], "size": [len(x) for x in sets], "width": [v.itemsize for v in vectors], "vector": [v.tobytes() for v in vectors],
+        })
+
+
+def _in_blocks(members: DataFrame, key: str, several: DataFrame) -> DataFrame:
+    """Members (key, sid, label) of the groups in ``several`` (key, _n), in pairs of blocks of at most about ``BLOCK`` members."""
+    cut = members.join(several.select(key, F.ceil(F.col("_n") / BLOCK).cast("int").alias("_blocks")), key)
     own = cut.withColumn("_own", F.pmod(F.xxhash64("sid", F.lit(7)), F.col("_blocks")).cast("int"))
-    pairs = own.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).select(
-        "key", "sid", "label", F.least("_own", "_other").alias("_i"), F.greatest("_own", "_other").alias("_j"),
+    return own.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).select(
+        key, "sid", "label", F.least("_own", "_other").alias("_i"), F.greatest("_own", "_other").alias("_j"),
         F.when(F.col("_own") <= F.col("_other"), 0).otherwise(1).alias("side"),
     )
-    full = pairs.join(sets, "sid")
-    return full.groupBy("key", "_i", "_j").applyInPandas(_page_links, "a bigint, b bigint")
+
+
+def _search(members: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links between components, found by R-trees.
+
+    Pages that hold several components are searched by points alone. The pairs that the bounds leave connect members to
+    clusters; each member's set goes to its cluster once, where a tree over the cluster gives the pairs to compare.
+    """
+    labelled = members.join(labels, members["sid"] == labels["id"], "left").select("key", "sid", F.coalesce("label", "sid").alias("label"))
+    counted = labelled.groupBy("key").agg(
+        F.min("label").alias("_lo"), F.max("label").alias("_hi"), F.count(F.lit(1)).alias("_n"),
+        F.expr("bit_xor(xxhash64(sid))").alias("_x"), F.expr("bit_xor(xxhash64(sid, 1))").alias("_y"),
+    ).where("_lo <> _hi")
+    # pages with the same members are searched once
+    several = counted.groupBy("_lo", "_hi", "_n", "_x", "_y").agg(F.min("key").alias("key"))
+    pages = _in_blocks(labelled, "key", several)
+    vectors = python_map(sets, _vectors, "sid bigint, size bigint, width int, vector binary")
+    near = _by_group(pages.join(vectors, "sid"), ["key", "_i", "_j"], _near, "a bigint, b bigint")
+    clusters = components(near)
+    own = clusters.join(labels.select(F.col("id").alias("_id"), F.col("label").alias("_label")), F.col("id") == F.col("_id"), "left").select(
+        F.col("label").alias("cluster"), F.col("id").alias("sid"), F.coalesce("_label", "id").alias("label")
+    )
+    grown = own.groupBy("cluster").agg(F.count(F.lit(1)).alias("_n"))
+    full = _in_blocks(own, "cluster", grown).join(sets, "sid")
+    return _by_group(full, ["cluster", "_i", "_j"], _linked, "a bigint, b bigint")
 
 
 def link(docs: DataFrame) -> DataFrame:
