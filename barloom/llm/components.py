@@ -15,17 +15,17 @@ def components(edges: DataFrame) -> DataFrame:
     The last round finds nothing to change; there is no cap on rounds.
     """
     both = stage(edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct(), "edges")
-    labels = stage(both.groupBy(F.col("a").alias("id")).agg(F.least("id", F.min("b")).alias("label")), "labels")
-    while True:
+    step = stage(both.groupBy(F.col("a").alias("id")).agg(F.least("id", F.min("b")).alias("label")).withColumn("old", F.col("id")), "labels")
+    while step.where("old <> label").limit(1).count():
+        labels = step.select("id", "label")
         near = both.join(labels, both["b"] == labels["id"]).groupBy("a").agg(F.min("label").alias("near"))
         lower = labels.join(near, labels["id"] == near["a"]).select("id", "label", F.least("label", "near").alias("new"))
         up = labels.select(F.col("id").alias("_up"), F.col("label").alias("_label"))
-        # a label that is no end of an edge cannot occur: labels are ids of ends
-        jumped = lower.join(up, lower["new"] == up["_up"]).select("id", "label", F.least("new", "_label").alias("new"))
-        step = stage(jumped, "label-step")
-        changed = step.where("new <> label").limit(1).count()
-        last, labels = labels, stage(step.select("id", F.col("new").alias("label")), "labels")
-        discard(last, step)
-        if not changed:
-            discard(both)
-            return labels
+        # labels are ids of ends, so each has a row of its own
+        jumped = lower.join(up, lower["new"] == up["_up"]).select("id", F.least("new", "_label").alias("label"), F.col("label").alias("old"))
+        last, step = step, stage(jumped, "labels")
+        discard(last)
+    discard(both)
+    labels = step.select("id", "label")
+    labels.staged_at = step.staged_at
+    return labels

@@ -354,7 +354,8 @@ def link(docs: DataFrame) -> DataFrame:
     heads = members.join(degree, "sid").groupBy("key").agg(F.max_by("sid", "_d").alias("b"))
     pairs = stage(members.join(heads, "key").where("sid <> b").select(F.col("sid").alias("a"), "b").distinct(), "pairs")
     ends = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct()
-    wanted = profiles.where("doc_id IS NOT NULL").join(ends, "sid", "left_semi").groupBy("sid").agg(F.min("doc_id").alias("doc_id"))
+    firsts = profiles.where("doc_id IS NOT NULL AND sid IS NOT NULL").groupBy("sid").agg(F.min("doc_id").alias("doc_id"))
+    wanted = firsts.join(ends, "sid", "left_semi")
     sets = stage(_sets(docs, stage(wanted, "wanted")), "page-sets")
     first = pairs.join(sets.select(F.col("sid").alias("a"), F.col("hashes").alias("hashes_a")), "a")
     full = first.join(sets.select(F.col("sid").alias("b"), F.col("hashes").alias("hashes_b")), "b")
