@@ -30,11 +30,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barloom.llm.chunks import arrow_map
-from barloom.llm.common import WordHasher, fold_of, mix, parts_for, python_map, ship, stage
+from barloom.llm.common import WordHasher, discard, fold_of, mix, parts_for, python_map, ship, stage
 
 FOLDS, HELD_OUT = 7, 2
 K = 5
-BATCH_CHARS = 12 << 20
+BATCH_CHARS = 8 << 20
 #: Hashes of the end token and of the context at the start of a text.
 END, START = np.uint64(0x0E4D0E4D0E4D0E4D), np.uint64(0x57A657A657A657A6)
 MOST_HOT_PARTS = 5000
@@ -49,6 +49,16 @@ def unpacked(data: bytes, kind: str) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), kind)
 
 
+def packed_tokens(tokens: np.ndarray) -> bytes:
+    """Places below 2^32 by planes of their bytes; frequent words have low places, so the upper planes are nearly empty."""
+    return packed(tokens.astype("<u4").view(np.uint8).reshape(-1, 4).T)
+
+
+def unpacked_tokens(data: bytes) -> np.ndarray:
+    planes = unpacked(data, np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int32)
+
+
 def discounts(counts: np.ndarray) -> np.ndarray:
     """Good-Turing discounts of counts 0 to K (index 0 unused) from counts of counts n[1..K + 1]."""
     r = np.arange(K + 1)
@@ -94,10 +104,14 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     docs, train, size, number = [], [], 0, 0
 
     def row() -> pa.RecordBatch:
-        words, tokens = np.unique(np.concatenate(held), return_inverse=True)
+        words, tokens, counts = np.unique(np.concatenate(held), return_inverse=True, return_counts=True)
+        order = np.argsort(-counts, kind="stable")
+        place = np.empty(len(order), np.uint32)
+        place[order] = np.arange(len(order), dtype=np.uint32)
+        words, tokens = words[order], place[tokens]
         return pa.RecordBatch.from_arrays([
             pa.array([(task << 32) + number], pa.int64()), pa.array([docs], pa.list_(pa.int64())), pa.array([train], pa.list_(pa.bool_())),
-            pa.array([[len(x) for x in held]], pa.list_(pa.int64())), pa.array([words.tobytes()], pa.binary()), pa.array([packed(tokens.astype("<u4"))], pa.binary()),
+            pa.array([[len(x) for x in held]], pa.list_(pa.int64())), pa.array([words.tobytes()], pa.binary()), pa.array([packed_tokens(tokens)], pa.binary()),
         ], names=[c.split()[0] for c in BATCHES.split(", ")])
 
     for batch in batches:
@@ -118,7 +132,7 @@ class Batch:
     """A gathered batch: distinct words, tokens as places among them, and which tokens are learned from."""
 
     def __init__(self, r, parts: int):
-        self.words, self.tokens = np.frombuffer(r["words"], np.uint64), unpacked(r["tokens"], "<u4").astype(np.int64)
+        self.words, self.tokens = np.frombuffer(r["words"], np.uint64), unpacked_tokens(r["tokens"])
         self.lengths = np.array(r["lengths"], np.int64)
         self.learned = np.repeat(np.array([bool(t) for t in r["train"]], bool), self.lengths)
         self.part = (mix(self.words) % np.uint64(parts)).astype(np.int64)
@@ -142,10 +156,12 @@ class Batch:
     def pairs(self, counts: np.ndarray, hot_from: float) -> None:
         """Distinct (context, word) pairs in the order of parts, contexts and continuations."""
         n = len(self.words)
-        before = np.empty_like(self.tokens)
-        before[1:] = self.tokens[:-1]
-        before[np.concatenate([[0], np.cumsum(self.lengths)[:-1]])] = n
-        distinct, self.pair_of = np.unique(before * (n + 1) + self.tokens, return_inverse=True)
+        both = self.tokens.astype(np.int64)
+        both[1:] += self.tokens[:-1].astype(np.int64) * (n + 1)
+        starts = np.concatenate([[0], np.cumsum(self.lengths)[:-1]])
+        both[starts] = self.tokens[starts].astype(np.int64) + n * (n + 1)
+        distinct, at = np.unique(both, return_inverse=True)
+        del both
         own, word = distinct // (n + 1), distinct % (n + 1)
         contexts = np.append(self.words, START)
         cold = np.append(counts <= hot_from, False)
@@ -154,9 +170,10 @@ class Batch:
         place = np.where(cold[own], mix(context ^ np.uint64(0x3C3C3C3C3C3C3C3C)), mix(context + hashed))
         part = (place % np.uint64(self.parts)).astype(np.int64)
         order = np.lexsort((own, part))
-        rank = np.empty_like(order)
-        rank[order] = np.arange(len(order))
-        self.pair_of = rank[self.pair_of]
+        rank = np.empty(len(order), np.int32)
+        rank[order] = np.arange(len(order), dtype=np.int32)
+        self.pair_of = rank[at]
+        del at, rank
         self.context_at, self.word_at = own[order], word[order]
         self.pair_part, self.pair_context, self.pair_word = part[order], context[order], hashed[order] & np.uint64((1 << 48) - 1)
         self.pair_learned = np.bincount(self.pair_of[self.learned], minlength=len(order))
@@ -326,7 +343,8 @@ def score(docs: DataFrame) -> DataFrame:
     words = Words(int(sums[0]), int(sums[1]), sums[2:])
     starts = gathered.select(F.expr("aggregate(train, 0L, (a, t) -> a + IF(t, 1, 0))").alias("n")).agg(F.sum("n")).first()[0] or 0
     hot_from = words.tokens / (4 * min(parts, MOST_HOT_PARTS))  # at most so many contexts are above it
-    first = _with_answers(gathered, answers, "answers")
+    first = stage(_with_answers(gathered, answers, "answers"), "lm-asking", "none")
+    discard(gathered, answers)
     pairs = python_map(
         first, _ask_pairs(parts, hot_from),
         "part int, batch bigint, contexts binary, sizes binary, words binary, counts binary, word_counts binary, cold binary",
@@ -339,7 +357,7 @@ def score(docs: DataFrame) -> DataFrame:
     for r in partial.toLocalIterator():  # at most 4 * parts contexts, one row of them per part
         for name, values in zip(np.frombuffer(r["data"], np.uint64), np.frombuffer(r["more"], np.float64).reshape(-1, K + 2)):
             hot[int(name)] = hot.get(int(name), 0) + values
-    both = _with_answers(_with_answers(gathered, answers, "answers"), found, "pair_answers")
+    both = _with_answers(first, found, "pair_answers")
     scored = python_map(
         both, _score(parts, hot_from, words, pair_d, int(starts), hot),
         "doc_id bigint, train boolean, n_tokens bigint, n_known bigint, base_score double, score double",
