@@ -97,6 +97,17 @@ def python_map(df: DataFrame, function: Callable, schema: str) -> DataFrame:
     return df.mapInPandas(function, schema)
 
 
+_HELD: dict[tuple, object] = {}
+
+
+def held(key: tuple, make: Callable):
+    """What ``make`` gives, kept for later tasks of this Python worker; a worker keeps one such thing, so memory stays bounded."""
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
 def discard(*staged: DataFrame) -> None:
     """Delete staged files that no later step reads."""
     for df in staged:

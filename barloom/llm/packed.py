@@ -17,25 +17,27 @@ set by their texts; rows with a null doc_id come first; an empty table gives a f
 
 from __future__ import annotations
 
+import json
 import uuid
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm.chunks import encoder, vocabulary_path
+from barloom.llm.chunks import arrow_map, encoder, vocabulary_path
 from barloom.llm.common import discard, parts_for, python_map, shared_folder, stage
 
 SCALE = 20
-LANES = 1024
+LANES = 2048
 STEPS = 64
-BLOCK = 1 << 17
+BLOCK = 1 << 18
 LOW = np.uint64(1 << 31)
 END_ID = 0
-STAGED = "part int, block int, doc_ids array<bigint>, lengths array<bigint>, ids binary"
+STAGED = "part int, block int, before bigint, doc_ids array<bigint>, lengths array<bigint>, ids binary, counts binary"
 BLOCKS = "part int, block int, doc_ids array<bigint>, lengths array<bigint>, n_ids bigint, start bigint, crc32 bigint, payload binary, marks binary"
 
 
@@ -116,55 +118,69 @@ class Coder:
         return out
 
 
-def _blocks_of(path: str, end_id: int):
-    def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        code = encoder(path)
-        part, block, held, docs = None, 0, [], []
-        size = 0
+def _narrow(path: str) -> str:
+    """Type in which ids of a vocabulary are staged."""
+    with open(path, encoding="utf-8") as file:
+        return "<u2" if max(json.load(file)["model"]["vocab"].values(), default=0) < 1 << 16 else "<u4"
+
 
-        def row() -> dict:
-            return dict(part=part, block=block, doc_ids=docs, lengths=[len(x) for x in held], ids=np.concatenate(held).tobytes())
+def _blocks_of(path: str, end_id: int, kind: str):
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        code = encoder(path)
+        part, block, before, size, held, docs = 0, 0, 0, 0, [], []
+        total = np.zeros(1, np.int64)
+
+        def row(counts: bytes | None = None) -> pa.RecordBatch:
+            nonlocal total
+            ids = np.concatenate(held)
+            seen = np.bincount(ids, minlength=len(total))
+            seen[: len(total)] += total
+            total = seen
+            return pa.RecordBatch.from_arrays([
+                pa.array([part], pa.int32()), pa.array([block], pa.int32()), pa.array([before], pa.int64()),
+                pa.array([docs], pa.list_(pa.int64())), pa.array([[len(x) for x in held]], pa.list_(pa.int64())),
+                pa.array([ids.tobytes()], pa.binary()), pa.array([counts], pa.binary()),
+            ], names=["part", "block", "before", "doc_ids", "lengths", "ids", "counts"])
 
         for batch in batches:
-            out = []
-            for part, doc, text in zip(batch["part"], batch["doc_id"], batch["text"]):
-                held.append(np.append(code.encode(text), np.uint32(end_id)).astype("<u4"))
-                docs.append(None if pd.isna(doc) else int(doc))
-                size += len(held[-1])
+            parts, ids = batch.column("part").to_pylist(), batch.column("doc_id").to_pylist()
+            for part, doc, found in zip(parts, ids, code.encode_texts(batch.column("text"))):
+                own = np.empty(len(found) + 1, kind)
+                own[:-1], own[-1] = found, end_id
+                held.append(own)
+                docs.append(doc)
+                size += len(own)
                 if size >= BLOCK:
-                    out.append(row())
-                    block, held, docs, size = block + 1, [], [], 0
-            if out:
-                yield pd.DataFrame(out)
+                    yield row()
+                    block, before, size, held, docs = block + 1, before + size, 0, [], []
         if held:
-            yield pd.DataFrame([row()])
+            yield row()
+        seen = np.flatnonzero(total)
+        if len(seen):
+            pairs = np.stack([seen, total[seen]]).astype("<i8").tobytes()
+            held, docs, block = [np.zeros(0, kind)], [], -1
+            yield row(pairs)
 
     return make
 
 
-def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    total = np.zeros(0, np.int64)
+def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        for data in batch["ids"]:
-            counts = np.bincount(np.frombuffer(data, "<u4"))
-            if len(counts) > len(total):
-                counts[: len(total)] += total
-                total = counts
-            else:
-                total[: len(counts)] += counts
-    seen = np.flatnonzero(total)
-    yield pd.DataFrame({"id": seen.astype(np.int64), "n": total[seen].astype(np.int64)})
-
-
-def _coded(frequencies: np.ndarray):
+        for data in batch["counts"]:
+            seen, n = np.frombuffer(data, "<i8").reshape(2, -1)
+            yield pd.DataFrame({"id": seen, "n": n})
+
+
+def _coded(frequencies: np.ndarray, kind: str):
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         coder = Coder(frequencies)
         for batch in batches:
             out = []
             for r in batch.itertuples(index=False):
-                payload, marks = coder.encode(np.frombuffer(r.ids, "<u4"))
-                out.append(dict(part=r.part, block=r.block, doc_ids=r.doc_ids, lengths=r.lengths, n_ids=len(r.ids) // 4,
-                                start=r.start, crc32=zlib.crc32(r.ids), payload=payload, marks=marks))
+                ids = np.frombuffer(r.ids, kind)
+                payload, marks = coder.encode(ids)
+                out.append(dict(part=r.part, block=r.block, doc_ids=r.doc_ids, lengths=r.lengths, n_ids=len(ids),
+                                start=r.start, crc32=zlib.crc32(ids.astype("<u4")), payload=payload, marks=marks))
             yield pd.DataFrame(out, columns=[c.split()[0] for c in BLOCKS.split(", ")])
 
     return make
@@ -177,8 +193,9 @@ def write(docs: DataFrame, folder: str, vocabulary: str | None = None, end_id: i
     n = parts_for(docs, 32 << 20)
     ranged = docs.select("doc_id", "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
     placed = ranged.select(F.spark_partition_id().alias("part"), "doc_id", "text")
-    staged = stage(python_map(placed, _blocks_of(path, end_id), STAGED), "token-blocks")
-    counted = python_map(staged.select("ids"), _count, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
+    kind = _narrow(path)
+    staged = stage(arrow_map(placed, _blocks_of(path, end_id, kind), STAGED), "token-blocks")
+    counted = python_map(staged.select("counts").where("counts IS NOT NULL"), _counted, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
     found = {r["id"]: r["n"] for r in counted.collect()}  # one row per id of the vocabulary at most
     counts = np.zeros(max(found, default=0) + 1, np.int64)
     for k, v in found.items():
@@ -187,43 +204,44 @@ def write(docs: DataFrame, folder: str, vocabulary: str | None = None, end_id: i
     seen = np.flatnonzero(frequencies)
     model = pd.DataFrame({"id": seen, "frequency": frequencies[seen]}, dtype="int64")
     spark.createDataFrame(model, "id bigint, frequency bigint").coalesce(1).write.parquet(f"{folder}/model")
-    own = F.expr("aggregate(lengths, 0L, (a, x) -> a + x)")
-    parts = staged.groupBy("part").agg(F.sum(own).alias("_own"))  # one row per partition
+    # one row per partition, and parts_for bounds the number of those
+    parts = staged.groupBy("part").agg(F.sum(F.expr("aggregate(lengths, 0L, (a, x) -> a + x)")).alias("_own"))
     bases = parts.selectExpr("part", "sum(_own) OVER (ORDER BY part) - _own AS _base")
-    sizes = staged.select("part", "block", own.alias("_n"))
-    starts = sizes.selectExpr("part AS _p", "block AS _b", "sum(_n) OVER (PARTITION BY part ORDER BY block) - _n AS _in")
-    joined = staged.join(bases, "part").join(starts, F.expr("part = _p AND block = _b"))
-    placed = joined.select("part", "block", "doc_ids", "lengths", "ids", (F.col("_base") + F.col("_in")).alias("start"))
-    coded = python_map(placed, _coded(frequencies), BLOCKS)
+    placed = staged.where("block >= 0").join(F.broadcast(bases), "part").select(
+        "part", "block", "doc_ids", "lengths", "ids", (F.col("_base") + F.col("before")).alias("start")
+    )
+    coded = python_map(placed, _coded(frequencies, kind), BLOCKS)
     coded.write.option("compression", "uncompressed").parquet(f"{folder}/blocks")
     discard(staged)
 
 
-def read(spark: SparkSession, folder: str) -> DataFrame:
+def read(spark: SparkSession, folder: str, with_ids: bool = True) -> DataFrame:
     """Documents of a file set: doc_id, start, n_tokens, ids_crc32 and ids (little-endian unsigned 32-bit numbers)."""
     model = spark.read.parquet(f"{folder}/model").toPandas()
     frequencies = np.zeros(int(model["id"].max() if len(model) else 0) + 1, np.int64)
     frequencies[model["id"]] = model["frequency"]
+    names = ["doc_id", "start", "n_tokens", "ids_crc32", *(["ids"] if with_ids else [])]
 
-    def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Coder(frequencies)
         for batch in batches:
-            for r in batch.itertuples(index=False):
-                data = coder.decode(r.payload, r.marks, r.n_ids).astype("<u4").tobytes()
-                if zlib.crc32(data) != r.crc32:
-                    raise ValueError(f"block {r.part}/{r.block}: checksum differs")
-                ends = np.cumsum(np.asarray(r.lengths, np.int64))
-                begins = ends - r.lengths
-                pieces = [data[4 * a : 4 * b] for a, b in zip(begins, ends)]
-                yield pd.DataFrame({
-                    "doc_id": pd.array(list(r.doc_ids), "Int64"), "start": begins + r.start, "n_tokens": ends - begins,
-                    "ids_crc32": [zlib.crc32(p) for p in pieces], "ids": pieces,
-                })
-
-    blocks = spark.read.schema(BLOCKS).parquet(f"{folder}/blocks")
-    return python_map(
-        blocks, make, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint, ids binary"
-    )
+            for r in batch.to_pylist():
+                ids = coder.decode(r["payload"], r["marks"], r["n_ids"]).astype("<u4", copy=False)
+                if zlib.crc32(ids) != r["crc32"]:
+                    raise ValueError(f"block {r['part']}/{r['block']}: checksum differs")
+                lengths = np.array(r["lengths"], np.int64)
+                ends = np.cumsum(lengths)
+                begins = ends - lengths
+                columns = [
+                    pa.array(r["doc_ids"], pa.int64()), pa.array(begins + r["start"]), pa.array(lengths),
+                    pa.array([zlib.crc32(ids[a:b]) for a, b in zip(begins, ends)], pa.int64()),
+                ]
+                if with_ids:
+                    columns.append(pa.array([ids[a:b].tobytes() for a, b in zip(begins, ends)], pa.binary()))
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    kinds = dict(zip(names, ("bigint", "bigint", "bigint", "bigint", "binary")))
+    return arrow_map(spark.read.schema(BLOCKS).parquet(f"{folder}/blocks"), make, ", ".join(f"{n} {k}" for n, k in kinds.items()))
 
 
 def round_trip(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
@@ -233,4 +251,4 @@ def round_trip(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     write(docs, folder, vocabulary)
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
-    return read(spark, folder).select("doc_id", "start", "n_tokens", "ids_crc32")
+    return read(spark, folder, with_ids=False)

@@ -18,10 +18,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.chunks import encoder, vocabulary_path
+from barloom.llm.chunks import arrow_map, encoder, vocabulary_path
 from barloom.llm.common import python_map, stage
 
 LIMIT = 2048
@@ -163,18 +164,22 @@ def plan(histogram: dict[int, int], limit: int = LIMIT) -> pd.DataFrame:
 
 
 def _cut(path: str, limit: int, end_id: int):
-    def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = encoder(path)
+        end = np.array([end_id], "<u4")
         for batch in batches:
-            out = []
-            for doc, text, part in zip(batch["doc_id"], batch["text"], batch["part"]):
-                ids = np.append(code.encode(text), np.uint32(end_id)).astype("<u4")
-                doc = None if pd.isna(doc) else int(doc)
-                for piece, at in enumerate(range(0, len(ids), limit)):
-                    own = ids[at : at + limit]
-                    out.append((doc, piece, at, len(own), zlib.crc32(own.tobytes()), part))
-            frame = pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32", "part"])
-            yield frame.astype({"doc_id": "Int64"})
+            out: tuple[list, ...] = ([], [], [], [], [], [])
+            ids, parts = batch.column("doc_id").to_pylist(), batch.column("part").to_pylist()
+            for doc, part, found in zip(ids, parts, code.encode_texts(batch.column("text"))):
+                whole = np.append(found.astype("<u4"), end)
+                for piece, at in enumerate(range(0, len(whole), limit)):
+                    own = whole[at : at + limit]
+                    for column, value in zip(out, (doc, piece, at, len(own), zlib.crc32(own.tobytes()), part)):
+                        column.append(value)
+            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, k) for c, k in zip(out, kinds)], names=["doc_id", "piece", "start", "length", "ids_crc32", "part"]
+            )
 
     return make
 
@@ -183,7 +188,7 @@ def pieces(docs: DataFrame, vocabulary: str | None = None, limit: int = LIMIT, e
     """Pieces of documents (doc_id, text): doc_id, piece, start, length, ids_crc32 and the part of the input they lie in."""
     path = vocabulary or vocabulary_path("word_bpe_49k.json")
     placed = docs.select("doc_id", "text", F.spark_partition_id().alias("part"))
-    return python_map(placed, _cut(path, limit, end_id), PIECES)
+    return arrow_map(placed, _cut(path, limit, end_id), PIECES)
 
 
 def _seated(table: pd.DataFrame):

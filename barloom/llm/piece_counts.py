@@ -19,19 +19,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from barloom.llm.chunks import vocabulary_path
-from barloom.llm.common import LOWER_BYTES, python_map, slices
+from barloom.llm.chunks import byte_of_letter, vocabulary_path
+from barloom.llm.common import LOWER_BYTES, held, python_map, slices
 
 _MEMO = 1 << 20
 
 
-def byte_of_letter() -> dict[str, int]:
-    """Letters by which byte-level vocabularies show bytes: printable ones show themselves, the rest start at 256."""
-    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    hidden = [b for b in range(256) if b not in set(shown)]
-    return {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(hidden)}
-
-
 def vocabulary_pieces(path: str) -> set[bytes]:
     """Byte strings of a byte-level vocabulary file, without word-end marks."""
     with open(path, encoding="utf-8") as file:
@@ -84,14 +77,9 @@ class Automaton:
         return total
 
 
-_AUTOMATA: dict[str, tuple[Automaton, dict[bytes, int]]] = {}
-
-
 def _counted(path: str):
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        if path not in _AUTOMATA:
-            _AUTOMATA[path] = Automaton(vocabulary_pieces(path)), {}
-        automaton, memo = _AUTOMATA[path]
+        automaton, memo = held(("automaton", path), lambda: (Automaton(vocabulary_pieces(path)), {}))
         for batch in batches:
             out = []
             for doc, text in zip(batch["doc_id"], batch["text"]):
