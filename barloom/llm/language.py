@@ -18,11 +18,12 @@ from itertools import repeat
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.chunks import vocabulary_path
-from barloom.llm.common import LOWER_BYTES, discard, fold_of, mix, python_map, slices, stage
+from barloom.llm.chunks import arrow_map, vocabulary_path
+from barloom.llm.common import LOWER_BYTES, discard, fold_of, held, mix, python_map, slices, stage
 from barloom.llm.piece_counts import vocabulary_pieces
 
 SAMPLE = 1500
@@ -31,8 +32,9 @@ RUN = 32
 LONGEST = 12
 HELD_OUT = 5
 SMOOTHING = 0.1
-_MEMO_NUMBERS = 1 << 22
+_MEMO_NUMBERS = 1 << 21
 _WORDS = 1 << 19
+_ROWS = 1000
 
 
 class Pieces:
@@ -122,14 +124,9 @@ def by_length(words: list[bytes], most: int = 4096) -> Iterator[list[int]]:
             start = i
 
 
-_PIECES: dict[str, Pieces] = {}
-_SCORERS: dict[tuple[str, int], Scorer] = {}
-
 
 def pieces_of(path: str) -> Pieces:
-    if path not in _PIECES:
-        _PIECES[path] = Pieces(path)
-    return _PIECES[path]
+    return held(("pieces", path), lambda: Pieces(path))
 
 
 def _words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -202,7 +199,7 @@ class Scorer:
     """Log probabilities of texts for each language; the memo of words is emptied when full."""
 
     def __init__(self, path: str, probs: np.ndarray):
-        self.pieces, self.probs = pieces_of(path), probs
+        self.pieces, self.probs = Pieces(path), probs
         self.limit = max(10_000, _MEMO_NUMBERS // max(1, probs.shape[1]))
         self._reset()
 
@@ -251,34 +248,42 @@ class Scorer:
             out[i] += self.table[own].sum(axis=0)
 
 
-def scorer_of(path: str, probs: np.ndarray) -> Scorer:
-    """The scorer of a model; a Python worker keeps that of one model."""
-    key = (path, hash(probs.tobytes()))
-    if key not in _SCORERS:
-        _SCORERS.clear()
-        _SCORERS[key] = Scorer(path, probs)
-    return _SCORERS[key]
-
-
 def _predicted(path: str, langs: list[str], probs: np.ndarray, column: str):
-    def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        scorer = scorer_of(path, probs)
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = held(("scorer", path, probs.tobytes()), lambda: Scorer(path, probs))
         for batch in batches:
-            texts = ["" if t is None else t for t in batch[column]]
-            known = np.array([bool(langs) and any(map(str.isalpha, t)) for t in texts], bool)
+            texts = batch.column(column)
             names, scores = np.full(len(texts), "und", object), np.zeros(len(texts))
-            if known.any():
-                logs = scorer.score([t for t, k in zip(texts, known) if k])
-                best = logs.argmax(axis=1)
-                share = 1.0 / np.exp(logs - logs.max(axis=1, keepdims=True)).sum(axis=1)
-                names[known], scores[known] = np.array(langs, object)[best], share
-            yield batch.drop(columns="_text", errors="ignore").assign(lang_pred=names, score=scores)
+            for start in range(0, len(texts), _ROWS):
+                part = [t or "" for t in texts.slice(start, _ROWS).to_pylist()]
+                known = np.flatnonzero([bool(langs) and any(map(str.isalpha, t)) for t in part])
+                if len(known):
+                    logs = scorer.score([part[i] for i in known])
+                    names[start + known] = np.array(langs, object)[logs.argmax(axis=1)]
+                    scores[start + known] = 1.0 / np.exp(logs - logs.max(axis=1, keepdims=True)).sum(axis=1)
+            kept = [n for n in batch.schema.names if n != "_text"]
+            yield pa.RecordBatch.from_arrays(
+                [*map(batch.column, kept), pa.array(names, pa.string()), pa.array(scores)], names=[*kept, "lang_pred", "score"]
+            )
 
     return make
 
 
 def predict(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), vocabulary: str | None = None, labelled: DataFrame | None = None) -> DataFrame:
     """``keep`` columns, held_out, lang_pred and score, one row per document; learned from ``labelled`` (``docs`` by default)."""
+    out = _predictions(docs, keep, vocabulary, labelled)
+    return out.select(*[F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)], F.col("_held").alias("held_out"), "lang_pred", "score")
+
+
+def keep_documents(docs: DataFrame, least: float, vocabulary: str | None = None) -> DataFrame:
+    """``docs`` whose language is known with a score of ``least`` or more, columns as they were."""
+    out = _predictions(docs, tuple(docs.columns), vocabulary, None)
+    known = out.where((F.col("lang_pred") != "und") & (F.col("score") >= least))
+    return known.select(*[F.col(f"_k{i}").alias(c) for i, c in enumerate(docs.columns)])
+
+
+def _predictions(docs: DataFrame, keep: tuple[str, ...], vocabulary: str | None, labelled: DataFrame | None) -> DataFrame:
+    """``keep`` columns under names of their own, _held, lang_pred and score."""
     path = vocabulary or vocabulary_path("word_bpe_49k.json")
     langs, probs = learn(docs if labelled is None else labelled, path)
     column = f"_k{keep.index('text')}" if "text" in keep else "_text"
@@ -287,5 +292,4 @@ def predict(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), vocabulary: st
         *([F.col("text").alias("_text")] if column == "_text" else []),
     )
     kinds = ", ".join(f"`{n}` {kind}" for n, kind in own.drop("_text").dtypes)
-    out = python_map(own, _predicted(path, langs, probs, column), f"{kinds}, lang_pred string, score double")
-    return out.select(*[F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)], F.col("_held").alias("held_out"), "lang_pred", "score")
+    return arrow_map(own, _predicted(path, langs, probs, column), f"{kinds}, lang_pred string, score double")

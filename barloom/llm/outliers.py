@@ -154,7 +154,26 @@ def _start(rows: DataFrame) -> DataFrame:
 
 
 def judge(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text", cutoff: float = CUTOFF) -> DataFrame:
-    """``keep`` columns, the base counts, base_failed, distance (null for base failures) and kept, one row per document."""
+    """``keep`` columns, the base counts, base_failed, kept and distance (null for base failures), one row per document."""
+    judged, names = _judged(docs, keep, text)
+    return judged.select(
+        *[F.col(n).alias(c) for c, n in names.items()],
+        "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", _kept(cutoff).alias("kept"), "distance",
+    )
+
+
+def keep_documents(docs: DataFrame, text: str = "text", cutoff: float = CUTOFF) -> DataFrame:
+    """``docs`` that pass, columns as they were."""
+    judged, names = _judged(docs, tuple(docs.columns), text)
+    return judged.where(_kept(cutoff)).select(*[F.col(n).alias(c) for c, n in names.items()])
+
+
+def _kept(cutoff: float) -> Column:
+    return ~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= cutoff)
+
+
+def _judged(docs: DataFrame, keep: tuple[str, ...], text: str) -> tuple[DataFrame, dict[str, str]]:
+    """``keep`` columns under names of their own, the base counts and the distance."""
     names = {c: f"_k{i}" for i, c in enumerate(keep)}
     has = set(docs.columns)
     part = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("\x00")) if c in has else F.lit("\x00")
@@ -176,8 +195,4 @@ def judge(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "tex
     joined = staged.join(_held(usable), "_own", "left").withColumn(
         "distance", F.when(~F.col("base_failed"), _distance() / F.greatest(F.col("f"), F.lit(0.25)))
     )
-    return joined.select(
-        *[F.col(n).alias(c) for c, n in names.items()],
-        "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-        (~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= cutoff)).alias("kept"), "distance",
-    )
+    return joined, names

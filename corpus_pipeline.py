@@ -19,13 +19,12 @@ SURE = 0.5
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is known; no letter, no text or an even split between languages rejects."""
-    found = language.predict(docs, tuple(docs.columns))
-    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= SURE)).select(*docs.columns)
+    return language.keep_documents(docs, SURE)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rule and are no outlier of their language and source."""
-    return outliers.judge(docs, tuple(docs.columns)).where("kept").select(*docs.columns)
+    return outliers.keep_documents(docs)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,7 +32,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = jaccard.link(docs)
     heads = found.where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_rows"))
     heads = stage(heads.withColumnRenamed("doc_id", "_id"), "heads")
-    kept = docs.join(heads.select("_id"), docs["doc_id"] == F.col("_id"), "left_semi")
+    kept = docs.join(heads, docs["doc_id"] == heads["_id"], "left_semi")
     if heads.where("_rows > 1").limit(1).count():
         kept = kept.dropDuplicates(["doc_id", "text"])
     return kept.unionByName(docs.where("doc_id IS NULL"))

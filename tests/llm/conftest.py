@@ -5,7 +5,7 @@ import re
 
 import pytest
 
-SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, part string, key string, label string, _w string"
+SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, part string, kept string, score string, n_words string"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 FOLD = str.maketrans(UPPER, LOWER)
 
