@@ -54,7 +54,7 @@ def test_rans_round_trip(ids, skew):
 
 def test_rans_checkpoints_decode_alone():
     rng = np.random.default_rng(1)
-    ids = np.minimum(rng.geometric(0.1, 300_000), 200).astype(np.uint32)
+    ids = np.minimum(rng.geometric(0.1, 600_000), 200).astype(np.uint32)
     coder = packed.Coder(packed.scaled_frequencies(np.bincount(ids)))
     payload, marks = coder.encode(ids)
     each = packed.STEPS * packed.LANES
