@@ -230,9 +230,9 @@ class ChunkEncoder:
             start = end
 
 
-def encoder(path: str) -> ChunkEncoder:
+def encoder(path: str, memo: int = _MEMO) -> ChunkEncoder:
     """The encoder of a vocabulary file, kept between the tasks of a Python worker."""
-    return held(("encoder", path), lambda: ChunkEncoder(path))
+    return held(("encoder", path, memo), lambda: ChunkEncoder(path, memo))
 
 
 def vocabulary_path(name: str) -> str:

@@ -32,7 +32,7 @@ RUN = 32
 LONGEST = 12
 HELD_OUT = 5
 SMOOTHING = 0.1
-_MEMO_NUMBERS = 1 << 21
+_MEMO_NUMBERS = 1 << 20
 _WORDS = 1 << 19
 _ROWS = 1000
 

@@ -26,6 +26,8 @@ from barloom.llm.chunks import arrow_map, encoder, vocabulary_path
 from barloom.llm.common import python_map, stage
 
 LIMIT = 2048
+#: Chunks that a worker remembers; few, as later stages of a pipeline need the memory.
+_MEMO = 300_000
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, part int"
 #: Fixed rows of a plan: ranks [first, last) of a length; ``each`` of them go to each sequence from ``base`` on, from ``offset`` on.
 PLAN = ("length", "first", "last", "each", "base", "offset")
@@ -165,7 +167,7 @@ def plan(histogram: dict[int, int], limit: int = LIMIT) -> pd.DataFrame:
 
 def _cut(path: str, limit: int, end_id: int):
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code = encoder(path)
+        code = encoder(path, _MEMO)
         end = np.array([end_id], "<u4")
         for batch in batches:
             out: tuple[list, ...] = ([], [], [], [], [], [])
