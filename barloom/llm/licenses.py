@@ -2,8 +2,9 @@
 
 Templates are cut to words (ASCII letters and digits, A-Z lower-cased, and all bytes beyond ASCII). Hashes of ``GRAM`` words
 are winnowed: of each ``WINDOW`` neighbouring hashes the least is kept, with the template and place it stands for. Each hash
-of a document that is in this inverted index votes for a place; places within a band are aligned once, word by word, and a
-match is reported where at least ``COVERAGE`` of the template's words are matched.
+of a document that is in this inverted index votes for a place; places whose bands meet are aligned together, word by word, and
+a match is reported where at least ``COVERAGE`` of the template's words are matched. One alignment gives every end in its region;
+of overlapping matches of a template the best stays, and votes between the matches found are aligned again in what is left there.
 
 Results in odd cases: a null or empty text has no matches; repeated rows repeat in the result; a template given twice counts
 as one; templates of fewer than ``GRAM`` words have one hash of all their words; an empty table gives an empty result.
@@ -23,6 +24,8 @@ from barloom.llm.common import WordHasher, python_map, shingle_hashes
 GRAM = 3
 WINDOW = 2
 BAND = 8
+#: Starts of a template that are aligned together lie so far apart at most; it bounds memory, not what is found.
+SPAN = 4096
 COVERAGE = 0.8
 
 #: Public license notices.
@@ -66,17 +69,18 @@ def winnow(hashes: np.ndarray, window: int = WINDOW) -> np.ndarray:
     return np.unique(np.arange(len(views)) + window - 1 - np.argmin(views[:, ::-1], axis=1))
 
 
-def align(template: np.ndarray, region: np.ndarray) -> tuple[int, int, int]:
-    """Words of the template matched in order within the band, and first and last place (not included) of the match.
+def align(template: np.ndarray, region: np.ndarray, low: int, high: int) -> list[tuple[int, int, int, int]]:
+    """(score, words of the template matched in order, first and last place (not included)) of the best match at each end.
 
-    Row by row over the template; free ends in the region; a missing or extra word costs one, a changed word one.
+    Row by row over the template, within the band of diagonals ``low`` to ``high`` (place in the region less place in the template);
+    free ends in the region; a missing or extra word costs one, a changed word one. Where the band lies beyond an end of the
+    region, the place at that end stands in, so that a template cut off there is matched by the words that are left.
     """
     rows, cols = len(template), len(region)
-    reach = max(BAND, cols - rows)
     score: dict[int, tuple[int, int, int, int]] = {j: (0, 0, j, j) for j in range(cols + 1)}  # score, matches, first, end
     for i in range(1, rows + 1):
         new: dict[int, tuple[int, int, int, int]] = {}
-        for j in range(max(0, i - BAND), min(cols, i + reach) + 1):
+        for j in range(max(0, min(cols, i + low)), max(0, min(cols, i + high)) + 1):
             best = (-(1 << 30), 0, 0, 0)
             if j in score:
                 s, m, b, e = score[j]
@@ -92,8 +96,7 @@ def align(template: np.ndarray, region: np.ndarray) -> tuple[int, int, int]:
                 best = max(best, (s - 1, m, b, e))
             new[j] = best
         score = new
-    _, matches, first, end = max(score.values(), default=(0, 0, 0, 0))
-    return matches, first, end
+    return list(score.values())
 
 
 class Index:
@@ -121,8 +124,8 @@ class Index:
         self.owner = np.array(owner, np.int64)[order]
         self.place = np.concatenate(place)[order] if place else np.zeros(0, np.int64)
 
-    def votes(self, words: np.ndarray) -> Iterator[tuple[int, int]]:
-        """(template, start of the template in the document) for each indexed hash of a document."""
+    def votes(self, words: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(template, start of the template in the document, place of the hash) for each indexed hash of a document."""
         for width in [GRAM, *sorted(self.short)]:
             if len(words) < width:
                 continue
@@ -130,29 +133,52 @@ class Index:
             low, high = np.searchsorted(self.hashes, grams), np.searchsorted(self.hashes, grams, "right")
             for at in np.flatnonzero(high > low):
                 for k in range(low[at], high[at]):
-                    yield int(self.owner[k]), int(at - self.place[k])
+                    yield int(self.owner[k]), int(at - self.place[k]), int(at)
 
     def matches(self, words: np.ndarray, coverage: float) -> list[tuple[int, float, int, int]]:
         """(template, coverage, first word, last word not included) of a document's matches, in order."""
+        votes: dict[int, set[tuple[int, int]]] = {}
+        for owner, start, at in self.votes(words):
+            votes.setdefault(owner, set()).add((start, at))
         found: list[tuple[int, float, int, int]] = []
-        last: dict[int, int] = {}
-        for owner, start in sorted(set(self.votes(words))):
-            if owner in last and start - last[owner] <= BAND:
-                continue
-            last[owner] = start
+        for owner, places in votes.items():
             template = self.words[owner]
-            begin = max(0, start - BAND)
-            region = words[begin : start + len(template) + 2 * BAND]
-            matched, first, end = align(template, region)
-            share = matched / len(template)
-            if share >= coverage:
-                found.append((owner, share, begin + first, begin + end))
-        found.sort(key=lambda m: (m[0], -m[1], m[2]))
-        apart: list[tuple[int, float, int, int]] = []
-        for owner, share, first, end in found:  # of overlapping matches of a template the best stays
-            if not any(owner == o and first < e and b < end for o, _, b, e in apart):
-                apart.append((owner, share, first, end))
-        return sorted(apart, key=lambda m: (m[2], m[0]))
+            free = [(0, len(words), sorted(places))]
+            while free:
+                low, high, here = free.pop()
+                apart = _apart(template, words, coverage, low, high, [start for start, _ in here])
+                found += [(owner, matched / len(template), first, end) for matched, first, end in apart]
+                bounds = [low, *(place for _, first, end in apart for place in (first, end)), high]
+                for begin, stop in zip(bounds[::2], bounds[1::2]) if apart else ():
+                    left = [v for v in here if begin <= v[1] < stop]
+                    if left and stop - begin >= coverage * len(template):
+                        free.append((begin, stop, left))
+        return sorted(found, key=lambda m: (m[2], m[0]))
+
+
+def _apart(
+    template: np.ndarray, words: np.ndarray, coverage: float, low: int, high: int, starts: list[int]
+) -> list[tuple[int, int, int]]:
+    """(words matched, first, end) of matches that do not overlap among words ``low`` to ``high``, by place; starts are sorted."""
+    groups: list[list[int]] = []
+    for start in starts:
+        if groups and start - groups[-1][1] <= 4 * BAND and start - groups[-1][0] <= SPAN:
+            groups[-1][1] = start
+        else:
+            groups.append([start, start])
+    ends = set()
+    for start, last in groups:
+        begin = max(low, start - BAND)
+        region = words[begin : max(begin, min(high, last + len(template) + 2 * BAND))]
+        for score, matched, first, end in align(template, region, start - 2 * BAND - begin, last + 2 * BAND - begin):
+            if matched and matched / len(template) >= coverage:
+                ends.add((-score, -matched, begin + first, begin + end))
+    taken, apart = set(), []
+    for _, matched, first, end in sorted(ends):  # of overlapping matches the best stays
+        if taken.isdisjoint(range(first, end)):
+            taken.update(range(first, end))
+            apart.append((-matched, first, end))
+    return sorted(apart, key=lambda m: m[1])
 
 
 def _scanned(templates: Sequence[tuple[str, str]], coverage: float):

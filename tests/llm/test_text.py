@@ -148,6 +148,30 @@ def test_licenses(spark, docs, none):
     assert licenses.scan(docs).count() == docs.count() and licenses.scan(none).count() == 0
 
 
+@pytest.mark.parametrize("name", ["all-rights-reserved", "mit-line", "apache-2.0-line", "gpl-3.0-line", "mit"])
+def test_every_near_license_match_is_found(spark, name):
+    """Copies of a notice with 0 to 16 words between them, five of each, and a notice cut off at the text's start and end."""
+    notice = dict(licenses.TEMPLATES)[name]
+    size = len(re.findall(r"[A-Za-z0-9]+", notice))
+    rows = [(gap, (" ".join(f"w{i}" for i in range(gap)) + " ").join([notice + " "] * 5)) for gap in (0, 3, 5, 7, 12, 16)]
+    found = {r["doc_id"]: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    for gap, _ in rows:
+        spans = [(s["word_start"], s["word_end"], s["coverage"]) for s in found[gap]["spans"] if s["license"] == name]
+        assert spans == [(k * (size + gap), k * (size + gap) + size, 1.0) for k in range(5)]
+    words = re.findall(r"[A-Za-z0-9]+", notice)
+    lost = size // 6
+    cut = [(1, " ".join(words[lost:])), (2, " ".join(words[: len(words) - lost]))]
+    for row in licenses.scan(spark.createDataFrame(cut, "doc_id bigint, text string")).collect():
+        assert name in row["licenses"].split(",")
+
+
+def test_listing_of_licenses(spark):
+    """Each notice once, one after the other: all of them are found, also those of which others hold parts."""
+    text = "\n".join(notice for _, notice in licenses.TEMPLATES)
+    row = licenses.scan(spark.createDataFrame([(1, text)], "doc_id bigint, text string")).first()
+    assert set(row["licenses"].split(",")) == {name for name, _ in licenses.TEMPLATES}
+
+
 def test_winnowing_keeps_a_hash_of_every_window():
     rng = np.random.default_rng(0)
     hashes = rng.integers(0, 50, 200).astype(np.uint64)
