@@ -6,8 +6,10 @@ held as an inverted index from token to rule; each distinct set of indexed token
 Results in odd cases: a null url, or one without ``://``, has empty host and path, fits no listed rule and no mined one;
 without labels, or without a rule above the limits, everything not listed is allowed; repeated pages repeat in the result.
 
-``BASKET`` bounds the tokens of one labelled URL that mining sees, so that the number of item sets stays bounded;
-matching sees all tokens. The tokens of mined rules number at most ``BASKET / MIN_SUPPORT``.
+Mining sees all tokens of every labelled URL that a rule can need. Tokens in too few bad URLs are in no rule; a token that is in
+all labelled URLs lets every rule as it is, and has none of its own; and tokens that occur in the very same labelled URLs are mined
+as one item, because each of them and all of them give the same support and confidence. None of these steps loses a rule or changes
+its confidence. The tokens of mined rules number at most ``1 / MIN_SUPPORT`` times the mean number of tokens of a labelled URL.
 """
 
 from __future__ import annotations
@@ -25,7 +27,6 @@ MIN_SUPPORT = 0.002
 MIN_CONFIDENCE = 0.6
 #: A rule holds for so many labelled URLs at least, however few there are.
 LEAST_ROWS = 25
-BASKET = 12
 BAD = "!bad"
 
 
@@ -58,26 +59,46 @@ def tokens() -> Column:
     )
 
 
+def alike(rows: DataFrame, total: int, least: float) -> DataFrame:
+    """Items (item, tokens) of rows (id, bad, token): the tokens in ``least`` bad rows or more, but not in all, by equal rows.
+
+    Rows are told apart by two sums of 64-bit hashes.
+    """
+    ids = [F.sum(F.xxhash64(F.lit(k), "id").cast("decimal(38, 0)")).alias(f"_rows{k}") for k in (1, 2)]
+    counted = rows.groupBy("token").agg(F.count(F.lit(1)).alias("_n"), F.count_if("bad").alias("_bad"), *ids)
+    kept = counted.where((F.col("_bad") >= least) & (F.col("_n") < total))
+    return kept.groupBy("_n", "_rows1", "_rows2").agg(F.min("token").alias("item"), F.collect_list("token").alias("tokens")).select("item", "tokens")
+
+
 def mine(pages: DataFrame, labels: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
-    """Rules (rule_id, antecedent, confidence) from pages (page_id, tokens) and labels (doc_id, quality, toxic)."""
+    """Rules (rule_id, antecedent, confidence) from pages (page_id, tokens) and labels (doc_id, quality, toxic).
+
+    A URL fits a rule if it has one token at least of each array in ``antecedent``.
+    """
     bad = labels.where("doc_id IS NOT NULL").groupBy("doc_id").agg(
-        F.max(F.coalesce(F.col("toxic") == 1, F.lit(False)) | F.coalesce(F.col("quality") == 0, F.lit(False))).alias("_bad")
-    )
-    baskets = pages.join(bad, pages["page_id"] == bad["doc_id"]).select(
-        F.concat(F.slice("tokens", 1, BASKET), F.when(F.col("_bad"), F.array(F.lit(BAD))).otherwise(F.array().cast("array<string>"))).alias("items")
+        F.max(F.coalesce(F.col("toxic") == 1, F.lit(False)) | F.coalesce(F.col("quality") == 0, F.lit(False))).alias("bad")
     )
-    staged = stage(baskets.where("size(items) > 0"), "url-baskets")
-    support = max(min_support, min(1.0, LEAST_ROWS / max(1, staged.count())))
-    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=min_confidence).fit(staged)
+    labelled = pages.join(bad, pages["page_id"] == bad["doc_id"]).where("size(tokens) > 0 OR bad").select(F.expr("uuid()").alias("id"), "bad", "tokens")
+    rows = stage(labelled, "url-labelled")
+    total = max(1, rows.count())
+    support = max(min_support, min(1.0, LEAST_ROWS / total))
+    long = rows.select("id", "bad", F.explode("tokens").alias("token"))
+    items = stage(alike(long, total, support * total * (1 - 1e-9)), "url-items")
+    named = long.join(items.select("item", F.col("item").alias("token")), "token").groupBy("id").agg(F.collect_list("item").alias("_items"))
+    flag = F.when(F.col("bad"), F.array(F.lit(BAD))).otherwise(F.array().cast("array<string>"))
+    baskets = rows.join(named, "id", "left").select(F.concat(F.coalesce("_items", F.array().cast("array<string>")), flag).alias("items"))
+    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=min_confidence).fit(stage(baskets, "url-baskets"))
     rules = model.associationRules.where(F.array_contains("consequent", BAD) & (F.col("lift") > 1))
-    return rules.select(F.xxhash64(F.array_sort("antecedent")).alias("rule_id"), "antecedent", "confidence")
+    keyed = rules.select(F.xxhash64(F.array_sort("antecedent")).alias("rule_id"), F.explode("antecedent").alias("item"), "confidence")
+    return keyed.join(items, "item").groupBy("rule_id", "confidence").agg(F.collect_list("tokens").alias("antecedent"))
 
 
 def match(sets: DataFrame, rules: DataFrame) -> DataFrame:
-    """Token sets (column pattern) that hold all tokens of a rule, with the best confidence, by the inverted index."""
-    index = rules.select(F.explode("antecedent").alias("token"), "rule_id", F.size("antecedent").alias("_size"), "confidence")
+    """Token sets (column pattern) that fit a rule, with the best confidence, by the inverted index."""
+    index = rules.select(F.posexplode("antecedent").alias("_item", "_tokens"), "rule_id", F.size("antecedent").alias("_size"), "confidence")
+    index = index.select(F.explode("_tokens").alias("token"), "_item", "rule_id", "_size", "confidence")
     hits = sets.select("pattern", F.explode("pattern").alias("token")).join(index, "token")
-    full = hits.groupBy("pattern", "rule_id", "_size", "confidence").agg(F.count(F.lit(1)).alias("_n")).where("_n = _size")
+    full = hits.groupBy("pattern", "rule_id", "_size", "confidence").agg(F.count_distinct("_item").alias("_n")).where("_n = _size")
     return full.groupBy("pattern").agg(F.max("confidence").alias("confidence"))
 
 
@@ -90,7 +111,7 @@ def judge(
     host, path = split_url(F.col("url"))
     parsed = only.withColumns({"host": host, "path": path}).withColumns({"_rule": listed(rules), "tokens": tokens()})
     mined = stage(mine(parsed.where("host <> ''"), labels, min_support, min_confidence), "url-rules")
-    known = [r[0] for r in mined.select(F.explode("antecedent")).distinct().orderBy("col").collect()]
+    known = [r[0] for r in mined.select(F.explode(F.flatten("antecedent"))).distinct().orderBy("col").collect()]
     if not known:
         out = parsed.withColumn("confidence", F.lit(None).cast("double"))
     else:

@@ -1,7 +1,9 @@
 """Decontamination, URL rules, quality rules, licenses, scores and languages against direct computation."""
 
 import hashlib
+import itertools
 import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -98,6 +100,48 @@ def test_mined_rules_equal_counting(pages):
     assert all(r["verdict"] == ("block" if (r["page_id"] - 1000) % 3 else "allow") for r in found)
 
 
+def test_rules_on_late_tokens_equal_counting(spark):
+    """URLs of 20 to 40 tokens: a path word and a query name near the end tell the bad ones, alone or together."""
+    rng = random.Random(3)
+    rows, labels, parsed = [], [], []
+    for i in range(600):
+        deep = [f"d{k}" for k in range(16)] + [f"slug{rng.randrange(10**6)}" for _ in range(rng.randrange(16))]
+        marks = [m for m in ("casino", "win") if rng.random() < 0.4]
+        names = [n for n in ("aff", "ref") if rng.random() < 0.4]
+        bad = ("casino" in marks and rng.random() < 0.95) or ("win" in marks and "aff" in names) or rng.random() < 0.05
+        rows.append((i, "http://www.example.com/" + "/".join(deep + marks) + "?id=1" + "".join(f"&{n}=2" for n in names), None))
+        parsed.append((frozenset([*marks, *names]), bad, i % 3 > 0))
+        if i % 3:
+            labels.append((i, 1, int(bad)))
+    found = {r["page_id"]: r["confidence"] for r in url_rules.judge(
+        spark.createDataFrame(rows, "page_id bigint, url string, html string"), spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")
+    ).collect()}
+    known = [(have, bad) for have, bad, labelled in parsed if labelled]
+    base = sum(bad for _, bad in known) / len(known)
+    rules = {}
+    for size in (1, 2, 3, 4):
+        for want in itertools.combinations(("casino", "win", "aff", "ref"), size):
+            fits = [bad for have, bad in known if have >= set(want)]
+            if sum(fits) >= 25 and sum(fits) / len(fits) >= max(url_rules.MIN_CONFIDENCE, base + 1e-12):
+                rules[frozenset(want)] = sum(fits) / len(fits)
+    assert len(rules) > 2
+    for i, (have, _, _) in enumerate(parsed):
+        best = max((c for want, c in rules.items() if have >= want), default=None)
+        assert found[i] == (best if best is None else pytest.approx(best))
+
+
+def test_tokens_of_the_same_urls_each_fit_a_rule(spark):
+    """30 path words that go together in labelled URLs: one of them is enough in a page that has no label."""
+    together = [f"t{k}" for k in range(30)]
+    rows = [(i, "http://a.io/" + ("/".join(together) if i % 2 else "plain"), None) for i in range(200)]
+    rows += [(1000, "http://b.io/t7", None), (1001, "http://b.io/t29/other", None), (1002, "http://b.io/none", None)]
+    labels = [(i, 1, i % 2) for i in range(200)]
+    found = {r["page_id"]: r["verdict"] for r in url_rules.judge(
+        spark.createDataFrame(rows, "page_id bigint, url string, html string"), spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")
+    ).collect()}
+    assert (found[1], found[2], found[1000], found[1001], found[1002]) == ("block", "allow", "block", "block", "allow")
+
+
 def test_no_labels_allow_and_no_pages(pages):
     found = url_rules.judge(pages[0], pages[1].limit(0)).collect()
     assert len(found) == len(URLS) + 300 and all(r["verdict"] == "allow" for r in found if r["rule"] is None)
