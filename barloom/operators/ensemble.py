@@ -132,11 +132,13 @@ def stack_fit(scores: DataFrame, models: Sequence[str], c: float = 0.5):
 
 
 def stack_predict(model, scores: DataFrame, models: Sequence[str]) -> DataFrame:
-    """Probability of the meta-model per bar; bars lacking a score are not scored."""
+    """Probability of the meta-model, one row per bar; where a score is lacking, ``p`` is null and ``missing`` true."""
     from pyspark.ml.functions import vector_to_array
 
-    scored = model.transform(score_matrix(scores, models).dropna())
-    return scored.select(*BAR, vector_to_array("probability")[1].alias("p"))
+    lacking = " OR ".join(f"`{m}` IS NULL OR isnan(`{m}`)" for m in models)
+    matrix = score_matrix(scores, models).withColumn("missing", F.expr(lacking))
+    scored = model.transform(matrix.fillna(0.0, list(models)))
+    return scored.select(*BAR, F.when(~F.col("missing"), vector_to_array("probability")[1]).alias("p"), "missing")
 
 
 def latest_forecast(scores: DataFrame) -> DataFrame:

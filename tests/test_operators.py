@@ -190,3 +190,23 @@ def test_sources_and_sinks_round_trip(spark, bars, tmp_path):
     sinks.write_feature_list(spark.createDataFrame([(1, "b"), (0, "a")], "ordinal int, feature string"), names)
     assert sinks.read_feature_list(spark, names, []) == ["a", "b"]
     assert sinks.read_feature_list(spark, str(tmp_path / "absent"), ["x"]) == ["x"]
+
+
+def test_stacking_keeps_bars_that_lack_a_score(spark):
+    """A score that is null, NaN or not there at all: the bar keeps its row, without a probability and marked."""
+    rng = np.random.default_rng(2)
+    rows = []
+    for i, day in enumerate(dates(60)):
+        y = int(rng.random() < 0.5)
+        rows.append(("m1", "A", day, float(0.3 + 0.4 * y + 0.1 * rng.normal()), y))
+        if i % 10 == 3:
+            continue
+        p = None if i % 10 == 0 else float("nan") if i % 10 == 7 else float(rng.random())
+        rows.append(("m2", "A", day, p, y))
+    lacking = {day for i, day in enumerate(dates(60)) if i % 10 in (0, 3, 7)}
+    scores = spark.createDataFrame(rows, "model string, ticker string, date date, p double, y int")
+    got = ensemble.stack_predict(ensemble.stack_fit(scores, ("m1", "m2")), scores, ("m1", "m2")).collect()
+    assert len(got) == 60 == len({r.date for r in got})
+    for r in got:
+        assert r.missing == (r.date in lacking) and (r.p is None) == r.missing
+        assert r.missing or 0 < r.p < 1
