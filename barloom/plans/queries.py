@@ -215,7 +215,7 @@ def _gbt(spark: SparkSession, sf_dir: str) -> DataFrame:
     from barloom.session import cut_lineage
 
     panel = cut_lineage(_labelled_panel(spark, sf_dir))
-    model = gbt_fit(panel.where("split = 'train'"), PANEL_FEATURES, "target_1d", trees=20)
+    model = gbt_fit(panel.where("split = 'train'"), PANEL_FEATURES, "target_1d")
     return score(model, panel.where("split = 'test'"), PANEL_FEATURES, "gbt", "target_1d")
 
 
