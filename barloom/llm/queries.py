@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barloom.llm import decontaminate, jaccard, katz, language, licenses, outliers, packed, packing, piece_counts, url_rules
+from barloom.llm import (
+    centroids, decontaminate, jaccard, katz, language, licenses, outliers, packed, packing, piece_counts, spelling, url_rules,
+)
 from barloom.llm.common import table
 
 
@@ -49,6 +51,14 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(table(spark, sf_dir, "documents"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"), divisor=97)
+
+
+def op13_heap_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_rans_tokens": op1_rans_tokens,
     "op2_ngram_jaccard": op2_ngram_jaccard,
@@ -60,4 +70,6 @@ QUERIES = {
     "op8_licenses": op8_licenses,
     "op9_katz_backoff": op9_katz_backoff,
     "op10_language_id": op10_language_id,
+    "op11_spelling_variants": op11_spelling_variants,
+    "op13_heap_centroids": op13_heap_centroids,
 }
