@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from barloom.llm import (
-    centroids, decontaminate, jaccard, katz, language, licenses, outliers, packed, packing, piece_counts, spelling, url_rules,
+    centroids, decontaminate, jaccard, katz, language, licenses, outliers, packed, packing, piece_counts, spelling, toxicity, url_rules,
 )
 from barloom.llm.common import table
 
@@ -55,6 +55,10 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(table(spark, sf_dir, "documents"), divisor=97)
 
 
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op13_heap_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.cluster(table(spark, sf_dir, "embeddings"))
 
@@ -71,5 +75,6 @@ QUERIES = {
     "op9_katz_backoff": op9_katz_backoff,
     "op10_language_id": op10_language_id,
     "op11_spelling_variants": op11_spelling_variants,
+    "op12_toxicity": op12_toxicity,
     "op13_heap_centroids": op13_heap_centroids,
 }

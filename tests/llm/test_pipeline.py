@@ -4,7 +4,7 @@ import corpus_pipeline
 from __spark_entry__ import queries
 from tests.llm.test_jaccard import by_all_pairs
 
-NUMBERED = [f"op{n}_" for n in range(1, 11)]
+NUMBERED = [f"op{n}_" for n in range(1, 14)]
 
 
 def test_registry():

@@ -32,6 +32,11 @@ def test_contract_columns(spark):
             "base_score": "double", "score": "double",
         },
         "op10_language_id": {"doc_id": "bigint", "held_out": "boolean", "lang_pred": "string", "score": "double"},
+        "op11_spelling_variants": {"word": "string", "form": "string", "root": "string", "n": "bigint", "n_near": "bigint", "form_n": "bigint"},
+        "op12_toxicity": {"doc_id": "bigint", "held_out": "boolean", "score": "double", "predicted": "int"},
+        "op13_heap_centroids": {
+            "vec_id": "bigint", "cluster": "int", "distance": "bigint", "cluster_inertia": "bigint", "inertia": "bigint", "centroid_sha256": "string",
+        },
     }
     for name, columns in fixed.items():
         found = dict(QUERIES[name](spark, str(DATA / SF)).dtypes)
