@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 from itertools import combinations
 
 from pyspark.sql import DataFrame
@@ -10,6 +11,8 @@ from pyspark.sql import functions as F
 
 from barloom.functions.windows import extend, num
 from barloom.operators.classification import auc
+from barloom.operators.logistic import linear, newton_logistic
+from barloom.session import cut_lineage
 
 BAR = ("ticker", "date")
 TEMPERATURE, TOLERATED, PENALTY = 4.0, 0.5, 0.1
@@ -66,37 +69,22 @@ def ensemble_weights(scores: DataFrame, models: Sequence[str]) -> DataFrame:
     return raised.selectExpr("model", "auc", "adjusted", f"_raised / sum(_raised) {everyone} AS weight")
 
 
-def weighted_mean(scores: DataFrame, weights: DataFrame) -> DataFrame:
-    """Weighted mean per bar over the models present, weights renormalised; 0 when none is."""
+def weighted_mean(scores: DataFrame, weights: DataFrame, parity: bool = False) -> DataFrame:
+    """Weighted mean per bar over the models present, weights renormalised; null when none is (``parity=True``: 0)."""
     joined = scores.join(weights.select("model", "weight"), "model")
     summed = joined.groupBy(*BAR).agg(
         F.expr("sum(weight * p) FILTER (WHERE p IS NOT NULL)").alias("_sum"),
         F.expr("sum(weight) FILTER (WHERE p IS NOT NULL)").alias("_weight"),
     )
-    return summed.selectExpr(*BAR, "coalesce(try_divide(_sum, _weight), 0D) AS p")
+    mean = "try_divide(_sum, _weight)"
+    return summed.selectExpr(*BAR, f"{f'coalesce({mean}, 0D)' if parity else mean} AS p")
 
 
 def platt_fit(scores: DataFrame, models: Sequence[str], c: float = 1.0) -> DataFrame:
-    """(model, intercept, slope) of a one-feature logistic fit per model.
-
-    The model list is short and fixed; each fit is a distributed job.
-    """
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import VectorAssembler
-
-    complete = VectorAssembler(inputCols=["p"], outputCol="features").transform(
-        scores.where("p IS NOT NULL").selectExpr("model", "p", "double(y) AS label")
-    ).persist()
-    sizes = {r["model"]: r["count"] for r in complete.groupBy("model").count().collect()}
-    rows = []
-    for model in models:
-        if sizes.get(model):
-            fit = LogisticRegression(regParam=1.0 / (c * sizes[model]), standardization=False).fit(
-                complete.where(F.col("model") == model)
-            )
-            rows.append((model, float(fit.intercept), float(fit.coefficients[0])))
-    complete.unpersist()
-    return scores.sparkSession.createDataFrame(rows, "model string, intercept double, slope double")
+    """(model, intercept, slope) of a one-feature logistic fit per model, all models in the same Newton steps."""
+    known = scores.where(F.col("model").isin(list(models)) & ~F.isnan(F.coalesce("p", F.lit(0.0))))
+    fitted = newton_logistic(known, ["p"], "y", ["model"], c)
+    return fitted.selectExpr("model", "intercept", "weights[0] AS slope")
 
 
 def calibrate(scores: DataFrame, calibration: DataFrame) -> DataFrame:
@@ -110,35 +98,42 @@ def calibrated_mean(scores: DataFrame, calibration: DataFrame, weights: DataFram
     return weighted_mean(calibrate(scores, calibration), weights)
 
 
-def stack_fit(scores: DataFrame, models: Sequence[str], c: float = 0.5):
-    """Logistic meta-model on standardised model columns; bars lacking a score are left out of the fit."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import StandardScaler, VectorAssembler
-
-    labels = scores.groupBy(*BAR).agg(F.max("y").cast("double").alias("label"))
-    matrix = score_matrix(scores, models).join(labels, list(BAR)).dropna().persist()
-    rows = matrix.count()
-    pipeline = Pipeline(
-        stages=[
-            VectorAssembler(inputCols=list(models), outputCol="raw"),
-            StandardScaler(inputCol="raw", outputCol="features", withMean=True, withStd=True),
-            LogisticRegression(regParam=1.0 / (c * rows), standardization=False),
-        ]
-    )
-    fitted = pipeline.fit(matrix)
-    matrix.unpersist()
-    return fitted
+@dataclass(frozen=True)
+class Stack:
+    """Meta-model over standardised scores: one number of each kind per model."""
 
+    models: tuple[str, ...]
+    means: tuple[float, ...]
+    spreads: tuple[float, ...]
+    intercept: float
+    weights: tuple[float, ...]
 
-def stack_predict(model, scores: DataFrame, models: Sequence[str]) -> DataFrame:
-    """Probability of the meta-model, one row per bar; where a score is lacking, ``p`` is null and ``missing`` true."""
-    from pyspark.ml.functions import vector_to_array
 
-    lacking = " OR ".join(f"`{m}` IS NULL OR isnan(`{m}`)" for m in models)
-    matrix = score_matrix(scores, models).withColumn("missing", F.expr(lacking))
-    scored = model.transform(matrix.fillna(0.0, list(models)))
-    return scored.select(*BAR, F.when(~F.col("missing"), vector_to_array("probability")[1]).alias("p"), "missing")
+def _complete(models: Sequence[str]) -> str:
+    return " AND ".join(f"`{m}` IS NOT NULL AND NOT isnan(`{m}`)" for m in models)
+
+
+def stack_fit(scores: DataFrame, models: Sequence[str], c: float = 0.5) -> Stack:
+    """Logistic meta-model on standardised model columns; bars lacking a score are left out of the fit."""
+    labels = scores.groupBy(*BAR).agg(F.max("y").cast("double").alias("_label"))
+    matrix = cut_lineage(score_matrix(scores, models).where(_complete(models)).join(labels, list(BAR)).where("_label IS NOT NULL"))
+    row = matrix.agg(*[f(m).alias(f"{name}_{i}") for i, m in enumerate(models) for name, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
+    if row["m_0"] is None:
+        raise ValueError("no bar has a score of every model")
+    means = tuple(row[f"m_{i}"] for i in range(len(models)))
+    spreads = tuple(row[f"s_{i}"] or 1.0 for i in range(len(models)))
+    scaled = matrix.selectExpr("1 AS _all", "_label", *[f"(`{m}` - {num(a)}) / {num(b)} AS `{m}`" for m, a, b in zip(models, means, spreads)])
+    fitted = newton_logistic(scaled, models, "_label", ["_all"], c, cut=False).first()
+    return Stack(tuple(models), means, spreads, fitted["intercept"], tuple(fitted["weights"]))
+
+
+def stack_predict(model: Stack, scores: DataFrame) -> DataFrame:
+    """Probability of the meta-model, one row per bar; where a score is lacking, ``p`` is null and ``missing`` true."""
+    columns = [f"((`{m}` - {num(a)}) / {num(b)})" for m, a, b in zip(model.models, model.means, model.spreads)]
+    whole = _complete(model.models)
+    return score_matrix(scores, model.models).selectExpr(
+        *BAR, f"CASE WHEN {whole} THEN {linear(model.intercept, model.weights, columns)} END AS p", f"NOT ({whole}) AS missing"
+    )
 
 
 def latest_forecast(scores: DataFrame) -> DataFrame:

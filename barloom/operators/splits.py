@@ -138,6 +138,14 @@ def stack_slices(scored: DataFrame) -> DataFrame:
     return extend(scored, {"slice": "CASE WHEN pos < greatest(n div 2, 32) THEN 'stack' ELSE 'eval' END"})
 
 
+def time_slices(scored: DataFrame) -> DataFrame:
+    """Add ``slice`` by thirds of each series: ``fit`` for a meta-model, ``weigh`` for weights and calibration, ``predict``
+    for what they are applied to, so that nothing is applied to bars it was fitted on or that came before those."""
+    return extend(
+        scored, {"slice": "CASE WHEN pos < n div 3 THEN 'fit' WHEN pos < 2 * n div 3 THEN 'weigh' ELSE 'predict' END"}
+    )
+
+
 def class_weights(labels: DataFrame, label: str, keys: Sequence[str] = ()) -> DataFrame:
     """Balanced weights per class; 1 for both when a class is missing."""
     counted = labels.groupBy(*keys).agg(

@@ -601,6 +601,79 @@ ex AS (SELECT *, exp(4.0 * (adjusted - (SELECT avg(adjusted) FROM adj))) AS rais
 weights AS (SELECT model, auc, adjusted, raised / (SELECT sum(raised) FROM ex) AS weight FROM ex)"""
 
 
+THIRDS = "sliced AS (SELECT *, CASE WHEN pos < n // 3 THEN 'fit' WHEN pos < 2 * n // 3 THEN 'weigh' ELSE 'predict' END AS slice FROM scores)"
+
+
+def _part(name: str, slice_: str) -> str:
+    return f"{name} AS (SELECT * FROM sliced WHERE slice = '{slice_}')"
+
+
+def _newton(source: str, columns: Sequence[str], key: str, c: float, steps: int = 12) -> list[str]:
+    """CTEs of Newton steps of a logistic fit per ``key``; ``fitted`` holds b0 (intercept), b1, ... The equations of each step
+    are solved by elimination, one column a CTE."""
+    x = ["1.0::DOUBLE", *columns]
+    d = len(x)
+    names = [f"b{i}" for i in range(d)]
+    ctes = [f"fit0 AS MATERIALIZED (SELECT DISTINCT {key}, {', '.join(f'0.0::DOUBLE AS {b}' for b in names)} FROM {source})"]
+    cells = [(i, j) for i in range(d) for j in range(d + 1)]
+    for t in range(steps):
+        z = " + ".join(f"{b} * {v}" for b, v in zip(names, x))
+        ctes.append(f"z{t} AS (SELECT {source}.*, {', '.join(names)}, 1 / (1 + exp(-({z}))) AS s FROM {source} JOIN fit{t} USING ({key}))")
+        entry = {}
+        for i, j in cells:
+            ridge = f" + {1 / c!r}::DOUBLE" if i else ""
+            if j == d:
+                entry[i, j] = f"sum((s - y) * {x[i]})" + (f"{ridge} * {names[i]}" if i else "")
+            else:
+                entry[i, j] = f"sum(s * (1 - s) * {x[i]} * {x[j]})" + (ridge if i == j else "")
+        shown = ", ".join(f"{text} AS m{i}_{j}" for (i, j), text in entry.items())
+        ctes.append(f"e{t}_0 AS MATERIALIZED (SELECT {key}, {', '.join(names)}, {shown} FROM z{t} GROUP BY {key}, {', '.join(names)})")
+        for k in range(d):
+            step = ", ".join(
+                f"m{k}_{j} / m{k}_{k} AS m{k}_{j}" if i == k else f"m{i}_{j} - m{i}_{k} * m{k}_{j} / m{k}_{k} AS m{i}_{j}" for i, j in cells
+            )
+            ctes.append(f"e{t}_{k + 1} AS MATERIALIZED (SELECT {key}, {', '.join(names)}, {step} FROM e{t}_{k})")
+        moved = ", ".join(f"{b} - m{i}_{d} AS {b}" for i, b in enumerate(names))
+        ctes.append(f"fit{t + 1} AS MATERIALIZED (SELECT {key}, {moved} FROM e{t}_{d})")
+    return [*ctes, f"fitted AS (SELECT * FROM fit{steps})"]
+
+
+def _out_of_sample_queries() -> dict[str, str]:
+    """Fitted on earlier thirds of each series, applied to the last."""
+    sc = [_scores(), THIRDS]
+    platt = [_part("part", "weigh"), "known AS (SELECT * FROM part WHERE p IS NOT NULL)", *_newton("known", ["p"], "model", 1.0)]
+    wide = ", ".join(f"max(p) FILTER (WHERE model = '{m}') AS x{i}" for i, m in enumerate(MODELS))
+    whole = " AND ".join(f"x{i} IS NOT NULL" for i in range(len(MODELS)))
+    scaled = ", ".join(f"(x{i} - a{i}) / d{i} AS x{i}" for i in range(len(MODELS)))
+    stack = [
+        _part("part", "fit"), _part("later", "predict"),
+        f"mx AS (SELECT ticker, date, max(y) AS y, {wide} FROM part GROUP BY ticker, date HAVING {whole})",
+        "sc AS (SELECT " + ", ".join(f"avg(x{i}) AS a{i}, stddev_pop(x{i}) AS d{i}" for i in range(len(MODELS))) + " FROM mx)",
+        f"st AS MATERIALIZED (SELECT 1 AS one, y, {scaled} FROM mx, sc)", *_newton("st", [f"x{i}" for i in range(len(MODELS))], "one", 0.5),
+        f"nx AS (SELECT ticker, date, {wide} FROM later GROUP BY ticker, date)",
+        f"ns AS (SELECT ticker, date, {whole} AS known, {scaled} FROM nx, sc)",
+    ]
+    total = " + ".join(["b0", *[f"b{i + 1} * x{i}" for i in range(len(MODELS))]])
+    return {
+        "ens_auc_weighted": _with(
+            [*sc, _part("part", "weigh"), _part("later", "predict"), _weights()],
+            "SELECT ticker, date, round(sum(weight * p) / sum(weight) FILTER (WHERE p IS NOT NULL), 6) AS p"
+            " FROM later JOIN weights USING (model) GROUP BY ticker, date",
+        ),
+        "ens_calibration": _with([*sc, *platt], "SELECT model, round(b0, 6) AS intercept, round(b1, 6) AS slope FROM fitted"),
+        "ens_calibrated": _with(
+            [*sc, *platt, _part("later", "predict"), _weights(),
+             "cal AS (SELECT ticker, date, model, 1 / (1 + exp(-(b0 + b1 * p))) AS p FROM later JOIN fitted USING (model))"],
+            "SELECT ticker, date, round(sum(weight * p) / sum(weight) FILTER (WHERE p IS NOT NULL), 6) AS p"
+            " FROM cal JOIN weights USING (model) GROUP BY ticker, date",
+        ),
+        "ens_stacking": _with(
+            [*sc, *stack],
+            f"SELECT ticker, date, round(CASE WHEN known THEN 1 / (1 + exp(-({total}))) END, 6) AS p, NOT known AS missing FROM ns, fitted",
+        ),
+    }
+
+
 def _ensemble_queries() -> dict[str, str]:
     sc = _scores()
     edge = "abs(p - 0.5)"
@@ -613,11 +686,6 @@ def _ensemble_queries() -> dict[str, str]:
         ),
         "ens_equal": _with([sc], "SELECT ticker, date, round(avg(p), 6) AS p FROM scores GROUP BY ticker, date"),
         "ens_weights": _with([sc, _sliced("eval"), _weights()], f"SELECT model, {_r(('auc', 'adjusted', 'weight'))} FROM weights"),
-        "ens_auc_weighted": _with(
-            [sc, _sliced("eval"), _weights()],
-            "SELECT ticker, date, round(coalesce(sum(weight * p) / sum(weight) FILTER (WHERE p IS NOT NULL), 0), 6) AS p"
-            " FROM part JOIN weights USING (model) GROUP BY ticker, date",
-        ),
         "latest_forecast": _with(
             [sc, "f AS (SELECT model, ticker, date, p FROM scores WHERE p IS NOT NULL QUALIFY row_number() OVER"
              " (PARTITION BY model, ticker ORDER BY date DESC) = 1)",
@@ -1001,5 +1069,5 @@ def _other_queries() -> dict[str, str]:
 
 ORACLES: dict[str, str] = {
     **_quality_queries(), **_other_queries(), **_ema_queries(), **_targets_queries(), **_panel_queries(),
-    **_classification_queries(), **_ensemble_queries(), **_ledger_queries(), **_walk_forward_queries(),
+    **_classification_queries(), **_ensemble_queries(), **_out_of_sample_queries(), **_ledger_queries(), **_walk_forward_queries(),
 }

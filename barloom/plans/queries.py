@@ -200,14 +200,23 @@ def _regimes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.classify_regime(bars(spark, sf_dir, damped=True)).select(*BAR, "regime")
 
 
+def _timed(spark: SparkSession, sf_dir: str, part: str) -> DataFrame:
+    return splits.time_slices(scores(spark, sf_dir)).where(F.col("slice") == part)
+
+
+def _auc_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    weights = ensemble.ensemble_weights(_timed(spark, sf_dir, "weigh"), MODELS)
+    return ensemble.weighted_mean(_timed(spark, sf_dir, "predict"), weights)
+
+
 def _stacking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = ensemble.stack_fit(_sliced(spark, sf_dir, "stack"), MODELS)
-    return ensemble.stack_predict(model, _sliced(spark, sf_dir, "eval"), MODELS)
+    return ensemble.stack_predict(ensemble.stack_fit(_timed(spark, sf_dir, "fit"), MODELS), _timed(spark, sf_dir, "predict"))
 
 
 def _calibrated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    calibration = ensemble.platt_fit(_sliced(spark, sf_dir, "eval"), MODELS)
-    return ensemble.calibrated_mean(_sliced(spark, sf_dir, "stack"), calibration, _weights(spark, sf_dir))
+    weighed = _timed(spark, sf_dir, "weigh")
+    calibration = ensemble.platt_fit(weighed, MODELS)
+    return ensemble.calibrated_mean(_timed(spark, sf_dir, "predict"), calibration, ensemble.ensemble_weights(weighed, MODELS))
 
 
 def _gbt(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -290,9 +299,10 @@ QUERIES: dict[str, Query] = {
     "probability_audit": _probability_audit,
     "ens_equal": lambda s, d: rounded(ensemble.equal_mean(scores(s, d))),
     "ens_weights": lambda s, d: rounded(_weights(s, d)),
-    "ens_auc_weighted": lambda s, d: rounded(ensemble.weighted_mean(_sliced(s, d, "eval"), _weights(s, d))),
-    "ens_calibrated": _calibrated,
-    "ens_stacking": _stacking,
+    "ens_auc_weighted": lambda s, d: rounded(_auc_weighted(s, d)),
+    "ens_calibration": lambda s, d: rounded(ensemble.platt_fit(_timed(s, d, "weigh"), MODELS)),
+    "ens_calibrated": lambda s, d: rounded(_calibrated(s, d)),
+    "ens_stacking": lambda s, d: rounded(_stacking(s, d)),
     "gbt_scores": _gbt,
     "latest_forecast": lambda s, d: rounded(ensemble.latest_forecast(scores(s, d))),
     "ticker_ranking": lambda s, d: rounded(ensemble.ticker_ranking(ensemble.equal_mean(scores(s, d)))),

@@ -205,7 +205,7 @@ def test_stacking_keeps_bars_that_lack_a_score(spark):
         rows.append(("m2", "A", day, p, y))
     lacking = {day for i, day in enumerate(dates(60)) if i % 10 in (0, 3, 7)}
     scores = spark.createDataFrame(rows, "model string, ticker string, date date, p double, y int")
-    got = ensemble.stack_predict(ensemble.stack_fit(scores, ("m1", "m2")), scores, ("m1", "m2")).collect()
+    got = ensemble.stack_predict(ensemble.stack_fit(scores, ("m1", "m2")), scores).collect()
     assert len(got) == 60 == len({r.date for r in got})
     for r in got:
         assert r.missing == (r.date in lacking) and (r.p is None) == r.missing

@@ -22,7 +22,7 @@ def duck():
 
 def test_registry_is_consistent():
     assert set(oracle_sql()) <= set(queries())
-    assert set(QUERIES) - set(oracle_sql()) == {"ens_calibrated", "ens_stacking", "gbt_scores"}
+    assert set(QUERIES) - set(oracle_sql()) == {"gbt_scores"}
 
 
 def test_entry(spark):
