@@ -64,8 +64,9 @@ def class_report(scores: DataFrame, keys: Sequence[str] = MODEL, threshold: floa
 
 
 def auc(scores: DataFrame, keys: Sequence[str] = MODEL) -> DataFrame:
-    """ROC area from ranks; 0.5 when a class is missing. Works on distinct scores, not on rows."""
-    table = rank_table(scores, keys, "p", {"pos": F.expr("int(y = 1)"), "neg": F.expr("int(y = 0)")})
+    """ROC area from ranks; 0.5 when a class is missing. Works on distinct scores, not on rows. A missing or infinite score
+    counts as 0.5, as in the other figures."""
+    table = rank_table(predictions(scores), keys, "prob", {"pos": F.expr("int(y = 1)"), "neg": F.expr("int(y = 0)")})
     area = table.groupBy(*keys).agg(
         F.expr("sum(pos * (below_neg + neg / 2D))").alias("_area"),
         F.expr("max(all_pos) * double(max(all_neg))").alias("_pairs"),
@@ -74,11 +75,11 @@ def auc(scores: DataFrame, keys: Sequence[str] = MODEL) -> DataFrame:
 
 
 def roc_points(scores: DataFrame, keys: Sequence[str] = MODEL) -> DataFrame:
-    """(threshold, fpr, tpr) for every distinct score: rates when rows at or above it count as positive."""
-    table = rank_table(scores, keys, "p", {"pos": F.expr("int(y = 1)"), "neg": F.expr("int(y = 0)")})
+    """(threshold, fpr, tpr) for every distinct score (0.5 where missing): rates when rows at or above it count as positive."""
+    table = rank_table(predictions(scores), keys, "prob", {"pos": F.expr("int(y = 1)"), "neg": F.expr("int(y = 0)")})
     return table.selectExpr(
         *keys,
-        "p AS threshold",
+        "prob AS threshold",
         "try_divide(all_neg - below_neg, all_neg) AS fpr",
         "try_divide(all_pos - below_pos, all_pos) AS tpr",
     )
@@ -139,14 +140,14 @@ def calibration_table(scores: DataFrame, keys: Sequence[str] = MODEL, bins: int
 
 
 def confidence_labels(scores: DataFrame, threshold: float = 0.5, horizon: int = 1) -> DataFrame:
-    """Direction, strength and horizon names of scored rows."""
-    edge = "abs(p - 0.5D)"
+    """Direction, strength and horizon names; a row without a score has neither direction nor strength."""
+    edge, lacking = "abs(p - 0.5D)", "p IS NULL OR isnan(p)"
     when = "TOMORROW" if horizon == 1 else "NEXT WEEK" if horizon <= 7 else "NEXT MONTH"
     return extend(
         scores,
         {
-            "direction": f"CASE WHEN p >= {num(threshold)} THEN 'UP' ELSE 'DOWN' END",
-            "strength": f"CASE WHEN {edge} > 0.2D THEN 'STRONG' WHEN {edge} > 0.1D THEN 'MODERATE' ELSE 'WEAK' END",
+            "direction": f"CASE WHEN {lacking} THEN NULL WHEN p >= {num(threshold)} THEN 'UP' ELSE 'DOWN' END",
+            "strength": f"CASE WHEN {lacking} THEN NULL WHEN {edge} > 0.2D THEN 'STRONG' WHEN {edge} > 0.1D THEN 'MODERATE' ELSE 'WEAK' END",
             "horizon": f"'{when}'",
         },
     )

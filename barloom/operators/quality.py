@@ -153,13 +153,16 @@ def drop_short_histories(df: DataFrame, min_rows: int = MIN_BARS) -> DataFrame:
 
 
 def drop_non_finite(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Infinite and NaN values become null; rows with any null among ``columns`` drop."""
-    finite = {
-        c: F.when(~F.isnan(c) & (F.abs(c) != float("inf")), F.col(c)).alias(c)
-        for c, kind in df.select(*columns).dtypes
-        if kind in ("double", "float")
-    }
-    return df.withColumns(finite).dropna(subset=list(columns))
+    """Rows whose ``columns`` are all there: null, NaN and infinite values count as missing.
+
+    One condition per column: a single condition over all columns would be rewritten by the optimizer once for every subset
+    of renamed columns.
+    """
+    kinds = dict(df.dtypes)
+    for c in columns:
+        fine = f"abs(`{c}`) < double('Infinity')" if kinds[c] in ("double", "float") else f"`{c}` IS NOT NULL"
+        df = df.where(fine)
+    return df
 
 
 def complete_bars(raw: DataFrame, arrival: str = "ingest_seq") -> DataFrame:

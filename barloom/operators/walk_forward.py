@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barloom.functions.windows import EPS, extend, in_segments, num, running
-from barloom.operators.classification import auc, rank_ic
+from barloom.operators.boosting import Boosting, fold_predictions
+from barloom.operators.classification import auc, predictions, rank_ic
 from barloom.operators.features import ma_crossover_signal
 from barloom.operators.splits import expanding_folds, fold_members
 from barloom.session import cut_lineage
@@ -19,7 +20,7 @@ SCORED = ("model", *FOLD)
 
 
 def fold_scores(bars: DataFrame, scores: DataFrame, **fold_options) -> DataFrame:
-    """Test-window rows: score, label, next close return and the crossover baseline of the same window."""
+    """Test-window rows: score (0.5 where it is missing), label, next close return and the crossover baseline of the same window."""
     outlook = in_segments(
         bars,
         lambda panel, axis: extend(panel, {"realised": f"({axis.lead('close')} - close) / (close + {EPS})"}),
@@ -29,9 +30,8 @@ def fold_scores(bars: DataFrame, scores: DataFrame, **fold_options) -> DataFrame
     baseline = ma_crossover_signal(tests.drop("pos", "role"), keys=FOLD).selectExpr(
         *FOLD, "date", "is_clean", "realised", "int(p) AS baseline"
     )
-    return baseline.join(scores.select("model", "ticker", "date", "p", "y"), ["ticker", "date"]).where(
-        "realised IS NOT NULL AND p IS NOT NULL"
-    )
+    rated = predictions(scores).selectExpr("model", "ticker", "date", "prob AS p", "y")
+    return baseline.join(rated, ["ticker", "date"]).where("realised IS NOT NULL")
 
 
 def fold_pnl(scored: DataFrame, threshold: float = 0.5) -> DataFrame:
@@ -89,6 +89,24 @@ def walk_forward_table(bars: DataFrame, scores: DataFrame, purge: int = 5, seq_l
     )
 
 
+def walk_forward_fitted(
+    panel: DataFrame, features: Sequence[str], label: str, settings: Boosting = Boosting(), name: str = "boosted", **fold_options
+) -> DataFrame:
+    """``walk_forward_table`` of a model fitted anew on each fold's training bars, with what it was fitted on.
+
+    ``panel`` has complete rows of bars, ``features`` and ``label``; folds are counted over these rows.
+    """
+    fits = cut_lineage(fold_predictions(panel, features, label, settings, **fold_options))
+    scores = fits.join(panel.select("ticker", "date", label), ["ticker", "date"]).selectExpr(
+        f"'{name}' AS model", "ticker", "date", "p", f"int({label}) AS y"
+    )
+    provenance = fits.groupBy(*FOLD).agg(
+        *[F.max(c).alias(c) for c in ("train_start", "train_end", "pos_weight", "trees")]
+    )
+    table = walk_forward_table(panel, scores, **fold_options)
+    return table.join(provenance, list(FOLD)).select("model", *FOLD, "train_start", "train_end", *table.columns[3:], "pos_weight", "trees")
+
+
 def walk_forward_summary(table: DataFrame) -> DataFrame:
     """Mean and deviation of each figure per model over all folds, clean folds, and whether there is an edge."""
     figures = ("acc", "auc", "ic", "sharpe", "sortino", "win_rate", "max_dd", "baseline_acc", "vs_baseline")

@@ -484,6 +484,93 @@ def _panel_queries() -> dict[str, str]:
     return queries
 
 
+#: Families whose twins are plain window expressions, in the order of the columns of the panel queries.
+PANEL_FAMILIES = ("feat_returns", "feat_sma", "feat_bands", "feat_volatility", "feat_zscore", "feat_regime")
+
+
+def panel_columns() -> list[str]:
+    plain = _plain_features()
+    return [c for name in PANEL_FAMILIES for c in plain[name]]
+
+
+def _built_panel(isolated: bool) -> str:
+    """Features and the next-day label per ticker, or per ticker and split; z-scores per date."""
+    plain = {c: text for name in PANEL_FAMILIES for c, text in _plain_features()[name].items()}
+    columns = list(plain)
+    ctes = [_bars("region").replace("bars AS (", "daily AS (")]
+    days = "days AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS day, count(*) OVER () AS days FROM (SELECT DISTINCT date FROM {source}))"
+    if isolated:
+        ctes += [days.format(source="daily"), f"""bars AS (SELECT * REPLACE (ticker || '/' || {_split_label('day', 'days')} AS ticker)
+    FROM daily JOIN days USING (date))"""]
+    else:
+        ctes.append("bars AS (SELECT * FROM daily)")
+    whole = " AND ".join(f'"{c}" IS NOT NULL AND isfinite("{c}")' for c in columns)
+    ctes += [
+        SERIES,
+        "f AS (SELECT ticker, date, " + ", ".join(f'{text} AS "{c}"' for c, text in plain.items())
+        + f", CAST(lead(close) {_over()} > close AS DOUBLE) AS target_1d FROM s)",
+        f"clean AS (SELECT * FROM f WHERE {whole} AND target_1d IS NOT NULL)",
+    ]
+    if isolated:
+        ctes.append("panel AS (SELECT * REPLACE (split_part(ticker, '/', 1) AS ticker), split_part(ticker, '/', 2) AS split FROM clean)")
+    else:
+        ctes += [days.format(source="clean"), f"panel AS (SELECT clean.*, {_split_label('day', 'days')} AS split FROM clean JOIN days USING (date))"]
+    day = "OVER (PARTITION BY date)"
+    scaled = {
+        c: f'CASE WHEN count(*) {day} < 3 THEN "{c}" ELSE ("{c}" - avg("{c}") {day}) / (stddev_pop("{c}") {day} + 1e-8) END' for c in columns
+    }
+    return _with(ctes, f"SELECT ticker, date, split, {_r(scaled, 5)}, target_1d FROM panel")
+
+
+#: Columns without two that order the bars alike, so that no two splits of a tree part them alike.
+STUMP_COLUMNS = (
+    "ret_1d", "ret_5d", "ret_20d", "price_vs_sma_10", "price_vs_sma_50", "sma_cross_5_20", "sma_cross_20_50", "bb_width_20",
+    "bb_pos_10", "vol_5d", "vol_20d", "vol_60d", "hv_ratio_5_20", "hv_ratio_10_60", "zscore_60", "zscore_120", "regime_trend", "regime_vol",
+    "regime_mr", "ret_10d",
+)
+
+
+def _stumps() -> str:
+    """One split per ticker and fold, the best of all features and thresholds, by running sums of gradients."""
+    plain = {c: text for name in PANEL_FAMILIES for c, text in _plain_features()[name].items() if c in STUMP_COLUMNS}
+    whole = " AND ".join(f'"{c}" IS NOT NULL AND isfinite("{c}")' for c in STUMP_COLUMNS)
+    ordinal = "list_position([" + ", ".join(f"'{c}'" for c in STUMP_COLUMNS) + "], feature)"
+    soft = "(sign({g}) * greatest(abs({g}) - 0.15, 0))"
+    value = f"(pow({soft}, 2) / ({{h}} + 1.5))"
+    gain = f"{value.format(g='g', h='h')} + {value.format(g='(gt - g)', h='(ht - h)')} - {value.format(g='gt', h='ht')}"
+    leaf = f"(-0.02 * {soft} / ({{h}} + 1.5))"
+    return _with([
+        _bars("region"), SERIES,
+        "f AS (SELECT ticker, date, " + ", ".join(f'{text} AS "{c}"' for c, text in plain.items())
+        + f", CAST(lead(close) {_over()} > close AS DOUBLE) AS y FROM s)",
+        f"clean AS (SELECT *, row_number() {_over()} - 1 AS pos, count(*) OVER (PARTITION BY ticker) AS n FROM f WHERE {whole} AND y IS NOT NULL)",
+        "widths AS (SELECT ticker, n, greatest((n - 351) // 8, 20) AS w FROM clean GROUP BY ticker, n)",
+        "folds AS (SELECT ticker, k + 1 AS fold, 300 + k * w AS train_end, 351 + k * w AS a, 351 + (k + 1) * w AS b"
+        " FROM widths, range(8) r(k) WHERE 351 + (k + 1) * w <= n)",
+        "tr AS (SELECT fold, clean.* FROM clean JOIN folds ON clean.ticker = folds.ticker AND pos < train_end)",
+        "pw AS (SELECT ticker, fold, CASE WHEN sum(y) > 0 THEN (count(*) - sum(y)) / sum(y) ELSE 1 END AS pw FROM tr GROUP BY ticker, fold)",
+        "gr AS (SELECT tr.*, CASE WHEN y = 1 THEN pw ELSE 1 END AS w FROM tr JOIN pw USING (ticker, fold))",
+        "lg AS (UNPIVOT (SELECT ticker, fold, w * (0.5 - y) AS g, w * 0.25 AS h, " + ", ".join(f'"{c}"' for c in STUMP_COLUMNS)
+        + " FROM gr) ON " + ", ".join(f'"{c}"' for c in STUMP_COLUMNS) + " INTO NAME feature VALUE x)",
+        "vs AS (SELECT ticker, fold, feature, x, sum(g) AS g, sum(h) AS h FROM lg GROUP BY ticker, fold, feature, x)",
+        "cs AS (SELECT ticker, fold, feature, x, sum(g) OVER w AS g, sum(h) OVER w AS h, sum(g) OVER k AS gt, sum(h) OVER k AS ht FROM vs"
+        " WINDOW w AS (PARTITION BY ticker, fold, feature ORDER BY x), k AS (PARTITION BY ticker, fold, feature))",
+        f"sp AS (SELECT *, {gain} AS gain FROM cs WHERE h >= 5 AND ht - h >= 5)",
+        f"best AS (SELECT * FROM sp QUALIFY row_number() OVER (PARTITION BY ticker, fold ORDER BY round(gain, 9) DESC, {ordinal}, x) = 1)",
+        "whole AS (SELECT ticker, fold, sum(w * (0.5 - y)) AS gt, sum(w * 0.25) AS ht FROM gr GROUP BY ticker, fold)",
+        "te AS (SELECT fold, clean.* FROM clean JOIN folds ON clean.ticker = folds.ticker AND pos >= a AND pos < b)",
+        "tl AS (SELECT te.ticker, te.fold, te.date, CASE feature " + " ".join(f"WHEN '{c}' THEN \"{c}\"" for c in STUMP_COLUMNS)
+        + " END AS v, b.x, b.g, b.h, b.gt, b.ht, b.gain, o.gt AS go, o.ht AS ho FROM te JOIN whole o USING (ticker, fold)"
+        " LEFT JOIN best b ON te.ticker = b.ticker AND te.fold = b.fold)",
+        f"z AS (SELECT *, CASE WHEN gain > 0.2 THEN CASE WHEN v <= x THEN {leaf.format(g='g', h='h')} ELSE {leaf.format(g='(gt - g)', h='(ht - h)')}"
+        f" END ELSE {leaf.format(g='go', h='ho')} END AS z FROM tl)",
+    ], "SELECT ticker, fold, date, round(1 / (1 + exp(-z)), 6) AS p FROM z")
+
+
+def _panel_build_queries() -> dict[str, str]:
+    return {"panel_shared": _built_panel(False), "panel_isolated": _built_panel(True), "boosted_stumps": _stumps()}
+
+
 def _regime_cte() -> str:
     trend = (
         f"{_roll('avg', 'lr', 60, 30)} / ({_roll('stddev_samp', 'lr', 60, 30)} + {E}) * {ROOT_YEAR}"
@@ -515,7 +602,7 @@ MID = "(rank() OVER (PARTITION BY {k} ORDER BY {x}) + (count(*) OVER (PARTITION
 
 def _auc(source: str, keys: str, name: str = "aucs") -> str:
     return (
-        f"{name}_r AS (SELECT {keys}, y, {MID.format(k=keys, x='p')} AS rk FROM {source} WHERE p IS NOT NULL),"
+        f"{name}_r AS (SELECT {keys}, y, {MID.format(k=keys, x='coalesce(p, 0.5)')} AS rk FROM {source}),"
         f"{name} AS (SELECT {keys}, coalesce((sum(rk) FILTER (WHERE y = 1) - count(*) FILTER (WHERE y = 1)"
         f" * (count(*) FILTER (WHERE y = 1) + 1) / 2.0::DOUBLE) / nullif(count(*) FILTER (WHERE y = 1)"
         f" * count(*) FILTER (WHERE y = 0), 0), 0.5) AS auc FROM {name}_r GROUP BY {keys})"
@@ -546,9 +633,9 @@ def _classification_queries() -> dict[str, str]:
         "auc": _with([sc, _auc("scores", "model, ticker")], "SELECT model, ticker, round(auc, 6) AS auc FROM aucs"),
         "confidence_labels": _with(
             [sc],
-            "SELECT model, ticker, date, round(p, 6) AS p, y, CASE WHEN p >= 0.5 THEN 'UP' ELSE 'DOWN' END AS direction,"
-            " CASE WHEN abs(p - 0.5) > 0.2 THEN 'STRONG' WHEN abs(p - 0.5) > 0.1 THEN 'MODERATE' ELSE 'WEAK' END AS strength,"
-            " 'TOMORROW' AS horizon FROM scores WHERE p IS NOT NULL",
+            "SELECT model, ticker, date, round(p, 6) AS p, y, CASE WHEN p >= 0.5 THEN 'UP' WHEN p < 0.5 THEN 'DOWN' END AS direction,"
+            " CASE WHEN abs(p - 0.5) > 0.2 THEN 'STRONG' WHEN abs(p - 0.5) > 0.1 THEN 'MODERATE' WHEN p IS NOT NULL THEN 'WEAK' END"
+            " AS strength, 'TOMORROW' AS horizon FROM scores",
         ),
         "calibration": _with(
             [sc],
@@ -561,8 +648,8 @@ def _classification_queries() -> dict[str, str]:
             " AS up_pct FROM pr JOIN regimes USING (ticker, date) GROUP BY model, regime HAVING count(*) >= 10",
         ),
         "roc_points": _with(
-            [_scores("region"), "d AS (SELECT model, ticker, p, sum(y) AS pos, count(*) - sum(y) AS neg FROM scores"
-             " WHERE p IS NOT NULL GROUP BY model, ticker, p)",
+            [_scores("region"), "d AS (SELECT model, ticker, coalesce(p, 0.5) AS p, sum(y) AS pos, count(*) - sum(y) AS neg FROM scores"
+             " GROUP BY model, ticker, coalesce(p, 0.5))",
              "c AS (SELECT model, ticker, p, sum(pos) OVER (w ORDER BY p DESC) / (sum(pos) OVER w)::DOUBLE AS tpr,"
              " sum(neg) OVER (w ORDER BY p DESC) / (sum(neg) OVER w)::DOUBLE AS fpr FROM d WINDOW w AS (PARTITION BY model, ticker))"],
             "SELECT model, ticker, round(p, 6) AS threshold, round(fpr, 6) AS fpr, round(tpr, 6) AS tpr FROM c",
@@ -980,9 +1067,9 @@ def _walk_ctes() -> list[str]:
         "te AS (SELECT pb.*, fold, train_end FROM pb JOIN folds ON pb.ticker = folds.ticker AND pos >= a AND pos < b)",
         f"bl AS (SELECT *, CAST(coalesce({_roll('avg', 'close', 5, keys='ticker, fold')} > {_roll('avg', 'close', 20, keys='ticker, fold')},"
         " false) AS INT) AS baseline FROM te)",
-        "tt AS (SELECT sc.model, bl.ticker, bl.date, fold, train_end, realised, baseline, p, y, CAST(p >= 0.5 AS INT) AS pred,"
-        " CASE WHEN p >= 0.5 THEN realised ELSE -realised END AS pnl FROM bl JOIN scores sc ON bl.ticker = sc.ticker AND bl.date = sc.date"
-        " WHERE p IS NOT NULL AND realised IS NOT NULL)",
+        "tt AS (SELECT sc.model, bl.ticker, bl.date, fold, train_end, realised, baseline, coalesce(p, 0.5) AS p, y,"
+        " CAST(coalesce(p, 0.5) >= 0.5 AS INT) AS pred, CASE WHEN coalesce(p, 0.5) >= 0.5 THEN realised ELSE -realised END AS pnl"
+        " FROM bl JOIN scores sc ON bl.ticker = sc.ticker AND bl.date = sc.date WHERE realised IS NOT NULL)",
         _auc("tt", fold_key),
         f"rk AS (SELECT model, ticker, fold, {MID.format(k=fold_key, x='p')} AS ra, {MID.format(k=fold_key, x='realised')} AS rb FROM tt)",
         "ic AS (SELECT model, ticker, fold, CASE WHEN count(*) < 5 THEN 0 ELSE corr(ra, rb) END AS ic FROM rk GROUP BY model, ticker, fold)",
@@ -1069,5 +1156,5 @@ def _other_queries() -> dict[str, str]:
 
 ORACLES: dict[str, str] = {
     **_quality_queries(), **_other_queries(), **_ema_queries(), **_targets_queries(), **_panel_queries(),
-    **_classification_queries(), **_ensemble_queries(), **_out_of_sample_queries(), **_ledger_queries(), **_walk_forward_queries(),
+    **_classification_queries(), **_ensemble_queries(), **_out_of_sample_queries(), **_panel_build_queries(), **_ledger_queries(), **_walk_forward_queries(),
 }

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.functions.windows import extend
-from barloom.operators import alignment, classification, cross_section, ensemble, features, ledger, quality
+from barloom.operators import alignment, boosting, classification, cross_section, ensemble, features, ledger, panel, quality
 from barloom.operators import report, risk, scaling, selection, significance, splits, targets, walk_forward
 from barloom.plans.fixtures import MODELS, bars, raw_bars, scores
 from barloom.sources.bars import PRICES
@@ -219,6 +219,40 @@ def _calibrated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ensemble.calibrated_mean(_timed(spark, sf_dir, "predict"), calibration, ensemble.ensemble_weights(weighed, MODELS))
 
 
+PANEL_FAMILIES = ("returns", "sma", "bands", "volatility", "zscore", "regime")
+STUMP_COLUMNS = (
+    "ret_1d", "ret_5d", "ret_20d", "price_vs_sma_10", "price_vs_sma_50", "sma_cross_5_20", "sma_cross_20_50", "bb_width_20",
+    "bb_pos_10", "vol_5d", "vol_20d", "vol_60d", "hv_ratio_5_20", "hv_ratio_10_60", "zscore_60", "zscore_120", "regime_trend", "regime_vol",
+    "regime_mr", "ret_10d",
+)
+
+
+def _built_panel(isolate: bool) -> Query:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        columns = [c for name in PANEL_FAMILIES for c in features.FAMILIES[name]]
+        built = panel.build_panel(bars(spark, sf_dir, "region"), columns, ["target_1d"], isolate_splits=isolate)
+        return rounded(built.select(*BAR, "split", *columns, "target_1d"), 5)
+
+    return query
+
+
+def _complete_panel(spark: SparkSession, sf_dir: str, columns: Sequence[str], damped: bool = False) -> DataFrame:
+    return panel.build_panel(bars(spark, sf_dir, "region", damped), columns, ["target_1d"], normalisation="none")
+
+
+def _stumps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first split of each fold's model, over every threshold."""
+    one = boosting.Boosting(trees=1, depth=1, subsample=1.0, column_share=1.0, holdout=0.0, bins=1 << 20)
+    found = boosting.fold_predictions(_complete_panel(spark, sf_dir, STUMP_COLUMNS), STUMP_COLUMNS, "target_1d", one)
+    return rounded(found.select("ticker", "fold", "date", "p"))
+
+
+def _walk_forward_fitted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All indicators, the published model settings, a model for every ticker and fold."""
+    rows = _complete_panel(spark, sf_dir, features.FEATURES, damped=True)
+    return rounded(walk_forward.walk_forward_fitted(rows, features.FEATURES, "target_1d"))
+
+
 def _gbt(spark: SparkSession, sf_dir: str) -> DataFrame:
     from barloom.operators.models import gbt_fit, score
     from barloom.session import cut_lineage
@@ -304,10 +338,14 @@ QUERIES: dict[str, Query] = {
     "ens_calibrated": lambda s, d: rounded(_calibrated(s, d)),
     "ens_stacking": lambda s, d: rounded(_stacking(s, d)),
     "gbt_scores": _gbt,
+    "panel_shared": _built_panel(False),
+    "panel_isolated": _built_panel(True),
+    "boosted_stumps": _stumps,
+    "walk_forward_fitted": _walk_forward_fitted,
     "latest_forecast": lambda s, d: rounded(ensemble.latest_forecast(scores(s, d))),
     "ticker_ranking": lambda s, d: rounded(ensemble.ticker_ranking(ensemble.equal_mean(scores(s, d)))),
     "confidence_labels": lambda s, d: rounded(
-        classification.confidence_labels(scores(s, d).where("p IS NOT NULL")).drop("pos", "n")
+        classification.confidence_labels(scores(s, d)).drop("pos", "n")
     ),
     "ledger": _ledger_shown(False),
     "ledger_parity": _ledger_shown(True),

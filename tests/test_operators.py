@@ -210,17 +210,3 @@ def test_stacking_keeps_bars_that_lack_a_score(spark):
     for r in got:
         assert r.missing == (r.date in lacking) and (r.p is None) == r.missing
         assert r.missing or 0 < r.p < 1
-
-
-def test_gbt_scores_leaves_the_number_of_trees_at_its_default(spark, monkeypatch):
-    from barloom import session
-    from barloom.operators import models
-    from barloom.plans import queries
-
-    asked = {}
-    monkeypatch.setattr(queries, "_labelled_panel", lambda *_: spark.createDataFrame([("train",), ("test",)], "split string"))
-    monkeypatch.setattr(session, "cut_lineage", lambda df: df)
-    monkeypatch.setattr(models, "gbt_fit", lambda *args, **options: asked.update(args=args, options=options))
-    monkeypatch.setattr(models, "score", lambda model, df, *rest: df)
-    queries.QUERIES["gbt_scores"](spark, "nowhere")
-    assert len(asked["args"]) == 3 and "trees" not in asked["options"]

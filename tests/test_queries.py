@@ -11,7 +11,8 @@ QUICK = (
     "split_position", "fold_members", "cs_zscore", "cs_rank", "sequences", "select_top_k", "ens_equal", "ens_auc_weighted",
     "ledger", "ledger_parity", "kelly_history", "cost_stress", "deciles", "roc_points", "drawdown", "var_cvar", "benchmark",
     "rolling_sharpe", "rank_ic", "walk_forward", "latest_forecast", "trade_stats_confident", "ledger_long_only", "ledger_audit",
-    "diagnostics", "ens_weights", "model_report",
+    "diagnostics", "ens_weights", "model_report", "ens_calibration", "ens_calibrated", "ens_stacking", "panel_shared", "panel_isolated",
+    "boosted_stumps", "confidence_labels",
 )
 
 
@@ -22,7 +23,7 @@ def duck():
 
 def test_registry_is_consistent():
     assert set(oracle_sql()) <= set(queries())
-    assert set(QUERIES) - set(oracle_sql()) == {"gbt_scores"}
+    assert set(QUERIES) - set(oracle_sql()) == {"gbt_scores", "walk_forward_fitted"}
 
 
 def test_entry(spark):
