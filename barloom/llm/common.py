@@ -115,6 +115,15 @@ def discard(*staged: DataFrame) -> None:
         files.delete(path, True)
 
 
+#: Rows of ids up to which ``small_side`` broadcasts: some tens of MB.
+SMALL_ROWS = 2_000_000
+
+
+def small_side(ids: DataFrame, most: int = SMALL_ROWS) -> DataFrame:
+    """A staged frame of a few numbers a row, marked for broadcast if it counts ``most`` rows at most; else left to Spark's joins."""
+    return F.broadcast(ids) if ids.count() <= most else ids
+
+
 def fold_of(column: str, divisor: int) -> Column:
     """crc32 of the column as text, modulo ``divisor``."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % divisor

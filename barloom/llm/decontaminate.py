@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import LOWER, UPPER
+from barloom.llm.common import LOWER, UPPER, small_side, stage
 
 WINDOW = 13
 #: Word characters before lower-casing: digits, letters A-Z and a-z, and everything beyond ASCII.
@@ -122,6 +122,7 @@ def judge(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) -> DataFra
 def remove_documents(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) -> DataFrame:
     """``docs`` without contaminated documents, columns as they were."""
     bad = judge(docs, benchmark, width).where("contaminated").select(F.col("doc_id").alias("_bad"), F.col("_text_hash").alias("_bad_hash"))
+    bad = small_side(stage(bad, "contaminated"))
     same = docs["doc_id"].eqNullSafe(bad["_bad"]) & (F.xxhash64(docs["text"]) == bad["_bad_hash"])
     return docs.join(bad, same, "left_anti")
 
