@@ -347,7 +347,8 @@ def link(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id, one row per document."""
     ship(docs.sparkSession)
     profiles = stage(arrow_map(docs.select("doc_id", "text"), _profile, "doc_id bigint, n_shingles bigint, sid bigint, keys array<bigint>"), "profiles")
-    keyed = profiles.where("keys IS NOT NULL").select("sid", F.explode("keys").alias("key"))
+    # dealt by key once: counting the sets of a key and picking the rows of shared keys both read this one exchange
+    keyed = profiles.where("keys IS NOT NULL").select("sid", F.explode("keys").alias("key")).repartition("key")
     shared = keyed.groupBy("key").agg(F.min("sid").alias("_lo"), F.max("sid").alias("_hi")).where("_lo <> _hi").select("key")
     members = stage(keyed.join(shared, "key").select("key", "sid").distinct(), "page-members")
     degree = members.groupBy("sid").agg(F.count(F.lit(1)).alias("_d"))
