@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.llm import decontaminate, jaccard, language, outliers, packing
-from barloom.llm.common import stage, table
+from barloom.llm.common import small_side, stage, table
 
 #: A language is taken as known from this share of the probability on.
 SURE = 0.5
@@ -28,14 +28,24 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least doc_id of each group of linked documents; rows without a doc_id stay."""
-    found = jaccard.link(docs)
-    heads = found.where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_rows"))
-    heads = stage(heads.withColumnRenamed("doc_id", "_id"), "heads")
-    kept = docs.join(heads, docs["doc_id"] == heads["_id"], "left_semi")
-    if heads.where("_rows > 1").limit(1).count():
-        kept = kept.dropDuplicates(["doc_id", "text"])
-    return kept.unionByName(docs.where("doc_id IS NULL"))
+    """The document with the least doc_id of each group of linked documents (the join's own width and ratio).
+
+    Rows without a doc_id stay; texts without words are linked with nothing and stay; of rows with the same doc_id and text
+    the one that sorts first as JSON stays. Only ids are shuffled; texts are, where more ids go than can be broadcast.
+    """
+    found = jaccard.link(docs).where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_id")).agg(
+        F.max(F.col("doc_id") == F.col("component_id")).alias("_head"), F.count(F.lit(1)).alias("_rows")
+    )
+    found = stage(found.where("NOT _head OR _rows > 1"), "classes")
+    gone, again = found.where("NOT _head").select("_id"), found.where("_head").select("_id")
+    kept = docs.join(small_side(gone), docs["doc_id"] == F.col("_id"), "left_anti")
+    if not again.limit(1).count():
+        return kept
+    several = small_side(again)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    first = kept.join(several, kept["doc_id"] == F.col("_id"), "left_semi").groupBy("doc_id", F.sha2("text", 256).alias("_text"))
+    one = first.agg(F.min_by(row, F.to_json(row)).alias("_row")).select("_row.*")
+    return kept.join(several, kept["doc_id"] == F.col("_id"), "left_anti").union(one)
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
