@@ -26,8 +26,8 @@ from barloom.llm.chunks import arrow_map, encoder, vocabulary_path
 from barloom.llm.common import python_map, stage
 
 LIMIT = 2048
-#: Chunks that a worker remembers; few, as later stages of a pipeline need the memory.
-_MEMO = 300_000
+#: Chunks that a worker remembers, fewer than in op1: later stages of a pipeline need the memory.
+_MEMO = 700_000
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, part int"
 #: Fixed rows of a plan: ranks [first, last) of a length; ``each`` of them go to each sequence from ``base`` on, from ``offset`` on.
 PLAN = ("length", "first", "last", "each", "base", "offset")
