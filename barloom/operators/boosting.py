@@ -8,7 +8,8 @@ binned features, with the usual penalties: least curvature in a child, least gai
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
+from types import SimpleNamespace
 
 import numpy as np
 import pandas as pd
@@ -17,9 +18,9 @@ from pyspark.sql import DataFrame
 from barloom.operators.splits import expanding_folds
 
 
-#: The published model settings.
 @dataclass(frozen=True)
 class Boosting:
+    #: The published model settings, down to ``holdout``.
     trees: int = 600
     depth: int = 3
     rate: float = 0.02
@@ -43,6 +44,7 @@ def fold_predictions(rows: DataFrame, features: Sequence[str], label: str, setti
     (0: all trees). Ties between splits go to the first feature, then the lowest threshold.
     """
     names = list(features)
+    settings = SimpleNamespace(**asdict(settings))  # travels to tasks, which need not have this package
 
     def soft(g):
         return np.sign(g) * np.maximum(np.abs(g) - settings.l1, 0.0)
