@@ -139,8 +139,9 @@ def test_weighted_mean_renormalises_and_handles_missing(spark):
         [("a", "T", DAY, 0.2), ("b", "T", DAY, None), ("a", "U", DAY, None), ("b", "U", DAY, None)],
         "model string, ticker string, date date, p double")
     weights = spark.createDataFrame([("a", 0.25), ("b", 0.75)], "model string, weight double")
-    got = {r.ticker: r.p for r in ensemble.weighted_mean(scores, weights).collect()}
-    assert got == {"T": 0.2, "U": 0.0}
+    for parity, none in ((False, None), (True, 0.0)):
+        got = {r.ticker: r.p for r in ensemble.weighted_mean(scores, weights, parity=parity).collect()}
+        assert got == {"T": 0.2, "U": none}
 
 
 def test_ensemble_weights_sum_to_one(spark):
