@@ -3,7 +3,7 @@
 Spark's FP-growth mines combinations of URL tokens that go with bad labels. Rules pruned by support and confidence are
 held as an inverted index from token to rule; each distinct set of indexed tokens is matched once and joined back.
 
-Results in odd cases: a null url, or one without ``://``, has empty host and path, fits no listed rule and no mined one;
+Results in odd cases: a null url, or one without ``://``, has empty host and path; a url without a host has no tokens and fits no rule;
 without labels, or without a rule above the limits, everything not listed is allowed; repeated pages repeat in the result.
 
 Mining sees all tokens of every labelled URL that a rule can need. Tokens in too few bad URLs are in no rule; a token that is in
@@ -50,12 +50,16 @@ def listed(rules: Sequence[tuple[str, str]]) -> Column:
 
 
 def tokens() -> Column:
-    """Distinct tokens of columns host, path and url: host labels, path words, names of query parameters."""
+    """Distinct tokens of columns host, path and url: host labels, path words, names of query parameters; none without a host.
+
+    Parameters stand between the first ``?`` after the host and ``#`` or the end, parted by ``&``.
+    """
+    query = "regexp_extract(substring(url, instr(url, '://') + 3), '^[^?#]*[?]([^#]*)', 1)"
     return F.expr(
-        "array_distinct(concat("
+        "IF(host = '', CAST(array() AS array<string>), array_distinct(concat("
         "transform(filter(split(host, '[.]'), x -> x <> ''), x -> 'h:' || x),"
         "transform(filter(split(lower(path), '[^a-z0-9]+'), x -> x <> ''), x -> 'p:' || x),"
-        "transform(regexp_extract_all(coalesce(url, ''), '[?&]([^=&#]+)', 1), x -> 'q:' || x)))"
+        f"transform(regexp_extract_all('&' || {query}, '&([^=&]+)', 1), x -> 'q:' || x))))"
     )
 
 

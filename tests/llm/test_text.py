@@ -142,6 +142,22 @@ def test_tokens_of_the_same_urls_each_fit_a_rule(spark):
     assert (found[1], found[2], found[1000], found[1001], found[1002]) == ("block", "allow", "block", "block", "allow")
 
 
+def test_parameter_names_come_from_the_query_alone(spark):
+    """A rule on a parameter does not fit the same text in a path, a fragment, a value, or a url without a host."""
+    rows = [(i, "http://a.io/p" + ("?bad=1" if i % 2 else "?good=1"), None) for i in range(200)]
+    fits = ("http://b.io?bad", "http://b.io/p?x=1&bad=2#t", "HTTP://b.io/?&&bad&")
+    fails = (
+        "nohost?bad=1", "?bad=1", "://?bad=1", "file:///p?bad=1", "http://z.com/x&bad", "http://z.com/x&bad=1?y", "http://z.com/x#?bad=1",
+        "http://z.com/x?y=1#&bad=1", "http://z.com/x?y=?bad", "http://z.com/?badly=1", "nohost?bad=1://", "",
+    )
+    rows += [(1000 + i, url, None) for i, url in enumerate(fits + fails)] + [(1000 + len(fits + fails), None, None)]
+    labels = [(i, 1, i % 2) for i in range(200)]
+    found = url_rules.judge(
+        spark.createDataFrame(rows, "page_id bigint, url string, html string"), spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")
+    ).where("page_id >= 1000").orderBy("page_id").collect()
+    assert [r["verdict"] for r in found] == ["block"] * len(fits) + ["allow"] * (len(fails) + 1)
+
+
 def test_no_labels_allow_and_no_pages(pages):
     found = url_rules.judge(pages[0], pages[1].limit(0)).collect()
     assert len(found) == len(URLS) + 300 and all(r["verdict"] == "allow" for r in found if r["rule"] is None)
