@@ -5,13 +5,15 @@ Tokens never span the cuts used here, so a text's ids are the ids of its chunks
 * byte-level vocabularies part a text before a single space that a visible character follows, and before line ends;
 * lower-casing vocabularies with word ends drop white space, so spaces and line ends part words.
 
-A text with other runs of white space after a space, or with characters that may be classed differently, is encoded whole.
+A text with other runs of white space after a space, with characters that may be classed differently, or with the text of a
+special token (which the library takes as that token), is encoded whole.
 """
 
 from __future__ import annotations
 
 import json
 import os
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -49,7 +51,6 @@ class ChunkEncoder:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         with open(path, encoding="utf-8") as file:
             model = json.load(file)
         self.word_ends = model.get("normalizer") is not None
@@ -62,7 +63,8 @@ class ChunkEncoder:
         self.plain.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         self.stops = {m: self.tokenizer.encode(m, add_special_tokens=False).ids for m in _STOPS}
         self.line = self.tokenizer.encode("\n", add_special_tokens=False).ids
-        self.odd = _ODD if self.word_ends else f"{_ODD}|{_RUN}"
+        special = [re.escape(t["content"]) for t in model.get("added_tokens") or []]
+        self.odd = "|".join([_ODD, *([] if self.word_ends else [_RUN]), *special])
         self.limit = memo
         self._reset()
 
