@@ -6,7 +6,8 @@ those carry their window's text into a join that compares the words themselves.
 ``BROADCAST_ROWS`` windows and left to Spark's join choice beyond.
 
 Results in odd cases: a null or empty text has no words and no hits; an item without words has no window; an empty
-benchmark hits nothing; equal items each count; rows with the same doc_id and text give one row.
+benchmark hits nothing; equal items each count; rows with the same doc_id and text each give a row. Items without an id
+hit like others; together they count as one item, whose id is the empty string.
 """
 
 from __future__ import annotations
@@ -73,7 +74,7 @@ def _bitmap(windows: DataFrame, lengths: list[int]) -> Column:
 
 
 def find(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) -> DataFrame:
-    """doc_id, _text_hash, n_words, hits (array of struct i, k: first word and length) and items (item_ids), one row per document."""
+    """doc_id, _text_hash, n_words, hits (array of struct i, k: first word and length) items (item_ids) and n_rows, one row per distinct document."""
     windows = benchmark_windows(benchmark, width)
     counted = {r["_k"]: r["n"] for r in windows.groupBy("_k").agg(F.count(F.lit(1)).alias("n")).collect()}
     lengths = sorted(counted)
@@ -84,34 +85,39 @@ def find(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) -> DataFram
         return base.select(
             "doc_id", "_text_hash", "n_words",
             F.expr("CAST(array() AS array<struct<i: int, k: int>>)").alias("hits"), F.expr("CAST(array() AS array<string>)").alias("items"),
-        ).distinct()
+        ).groupBy("doc_id", "_text_hash", "n_words", "hits", "items").agg(F.count(F.lit(1)).alias("n_rows"))
     base = _hashes(base, lengths).withColumn("_bits", _bitmap(windows, lengths))
     tests = [
         f"transform(filter(transform(_r{k}, (x, i) -> IF(i <= n_words - {k} AND getbit(get(_bits, CAST(shiftright(x & {(1 << BITMAP_BITS) - 1}L, 6) AS INT)),"
         f" CAST(x & 63 AS INT)) = 1, i, NULL)), i -> i IS NOT NULL), i -> struct(i AS i, {k} AS k, {_window_text('i', str(k))} AS t))"
         for k in lengths
     ]
-    found = base.select("doc_id", "_text_hash", "n_words", F.explode_outer(F.expr(f"concat({', '.join(tests)})")).alias("_c"))
+    found = base.select("doc_id", "_text_hash", "n_words", F.posexplode_outer(F.expr(f"concat({', '.join(tests)})")).alias("_at", "_c"))
     keyed = found.select(
-        "doc_id", "_text_hash", "n_words", F.struct("_c.i", "_c.k").alias("_hit"),
+        "doc_id", "_text_hash", "n_words", F.struct("_c.i", "_c.k").alias("_hit"), F.expr("int(coalesce(_at, 0) = 0)").alias("_first"),
         F.coalesce(F.col("_c.t"), F.concat(F.lit("\x00"), F.col("doc_id").cast("string"), F.lit("\x00"))).alias("_window"),
     )
-    items = windows.select("_window", F.col("item_id").cast("string").alias("_item"))
+    items = windows.groupBy("_window").agg(F.collect_set(F.coalesce(F.col("item_id").cast("string"), F.lit(""))).alias("_items"))
     small = sum(counted.values()) <= BROADCAST_ROWS
     joined = keyed.join(F.broadcast(items) if small else items, "_window", "left")
     return joined.groupBy("doc_id", "_text_hash", "n_words").agg(
-        F.array_sort(F.collect_set(F.when(F.col("_item").isNotNull(), F.col("_hit")))).alias("hits"),
-        F.array_sort(F.collect_set("_item")).alias("items"),
+        F.array_sort(F.collect_set(F.when(F.col("_items").isNotNull(), F.col("_hit")))).alias("hits"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("_items")))).alias("items"), F.sum("_first").alias("n_rows"),
     )
 
 
-def judge(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) -> DataFrame:
-    """doc_id, _text_hash, n_words, n_hit, n_items, items_sha256, contaminated, hits; one row per document."""
+def judge(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, repeat: bool = True) -> DataFrame:
+    """doc_id, _text_hash, n_words, n_hit, n_items, items_sha256, contaminated, hits; one row per document.
+
+    Without ``repeat`` rows of the same doc_id and text give one row.
+    """
     covered = (
         "aggregate(hits, struct(0 AS e, 0L AS n), (a, h) -> struct(greatest(a.e, h.i + h.k) AS e,"
         " a.n + greatest(0, h.i + h.k - greatest(h.i, a.e)) AS n), a -> a.n)"
     )
     out = find(docs, benchmark, width).withColumn("n_hit", F.expr(covered))
+    if repeat:
+        out = out.withColumn("_row", F.explode(F.sequence(F.lit(1), F.col("n_rows"))))
     return out.select(
         "doc_id", "_text_hash", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
@@ -121,7 +127,7 @@ def judge(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) -> DataFra
 
 def remove_documents(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) -> DataFrame:
     """``docs`` without contaminated documents, columns as they were."""
-    bad = judge(docs, benchmark, width).where("contaminated").select(F.col("doc_id").alias("_bad"), F.col("_text_hash").alias("_bad_hash"))
+    bad = judge(docs, benchmark, width, repeat=False).where("contaminated").select(F.col("doc_id").alias("_bad"), F.col("_text_hash").alias("_bad_hash"))
     bad = small_side(stage(bad, "contaminated"))
     same = docs["doc_id"].eqNullSafe(bad["_bad"]) & (F.xxhash64(docs["text"]) == bad["_bad_hash"])
     return docs.join(bad, same, "left_anti")
@@ -129,7 +135,7 @@ def remove_documents(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW)
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) -> DataFrame:
     """doc_id and text without the words of any hit and what follows each of them up to the next word; one row per document."""
-    hits = judge(docs, benchmark, width).select("doc_id", F.col("_text_hash").alias("_hash"), "hits")
+    hits = judge(docs, benchmark, width, repeat=False).select("doc_id", F.col("_text_hash").alias("_hash"), "hits")
     own = docs.select(F.col("doc_id").alias("_id"), "text", F.xxhash64("text").alias("_own"))
     joined = own.join(hits, own["_id"].eqNullSafe(hits["doc_id"]) & (own["_own"] == hits["_hash"]), "left")
     pieces = joined.withColumns({

@@ -5,22 +5,22 @@ from barloom.llm.common import LOWER, UPPER
 _TOKEN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 DECONTAMINATE = f"""
-WITH b AS (SELECT item_id, regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '{_TOKEN}') AS w FROM benchmark),
+WITH b AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item_id, regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '{_TOKEN}') AS w FROM benchmark),
 bi AS (SELECT item_id, w, least(len(w), 13) AS k, unnest(range(0, len(w) - least(len(w), 13) + 1)) AS i FROM b WHERE len(w) > 0),
 bw AS (SELECT DISTINCT item_id, k, array_to_string(w[i + 1:i + k], ' ') AS t FROM bi),
-d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{_TOKEN}') AS w FROM documents),
+d AS MATERIALIZED (SELECT row_number() OVER () AS row_id, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{_TOKEN}') AS w FROM documents),
 ks AS (SELECT DISTINCT k FROM bw),
-dp AS (SELECT doc_id, k, w, unnest(range(0, len(w) - k + 1)) AS i FROM d JOIN ks ON len(w) >= k),
-dw AS (SELECT doc_id, k, i, array_to_string(w[i + 1:i + k], ' ') AS t FROM dp),
-hits AS (SELECT DISTINCT doc_id, i, dw.k, item_id FROM dw JOIN bw ON dw.t = bw.t AND dw.k = bw.k),
-words AS (SELECT DISTINCT doc_id, unnest(range(i, i + k)) AS p FROM (SELECT DISTINCT doc_id, i, k FROM hits)),
-nh AS (SELECT doc_id, count(*) AS n_hit FROM words GROUP BY 1),
-it AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS s
+dp AS (SELECT row_id, k, w, unnest(range(0, len(w) - k + 1)) AS i FROM d JOIN ks ON len(w) >= k),
+dw AS (SELECT row_id, k, i, array_to_string(w[i + 1:i + k], ' ') AS t FROM dp),
+hits AS (SELECT DISTINCT row_id, i, dw.k, item_id FROM dw JOIN bw ON dw.t = bw.t AND dw.k = bw.k),
+words AS (SELECT DISTINCT row_id, unnest(range(i, i + k)) AS p FROM (SELECT DISTINCT row_id, i, k FROM hits)),
+nh AS (SELECT row_id, count(*) AS n_hit FROM words GROUP BY 1),
+it AS (SELECT row_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id, ',' ORDER BY item_id) AS s
        FROM hits GROUP BY 1)
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
        CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(s, '')) AS items_sha256,
        coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(d.w) AS contaminated
-FROM d LEFT JOIN nh USING (doc_id) LEFT JOIN it USING (doc_id)
+FROM d LEFT JOIN nh USING (row_id) LEFT JOIN it USING (row_id)
 """
 
 JACCARD = f"""

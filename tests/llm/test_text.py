@@ -26,7 +26,7 @@ def contamination(texts, items):
         w = tokens_of(text)
         k = min(13, len(w))
         for i in range(len(w) - k + 1 if w else 0):
-            windows.setdefault(tuple(w[i : i + k]), set()).add(str(item))
+            windows.setdefault(tuple(w[i : i + k]), set()).add("" if item is None else str(item))
     out = []
     for doc, text in texts:
         w, hit, found = tokens_of(text), set(), set()
@@ -45,13 +45,14 @@ def items(spark, texts):
     import random
 
     base = texts[4][1].split(" ")
-    rows = [(1, " ".join(base[10:40])), (2, "One  TWO"), (10, " ".join(base[30:60])), (3, None), (4, " ,; "), (5, prose(random.Random(1), 30)), (2, "one two"), (None, " ".join(base[10:40]))]
-    return spark.createDataFrame(rows, "item_id bigint, text string"), [r for r in rows if r[0] is not None]
+    rows = [(1, " ".join(base[10:40])), (2, "One  TWO"), (10, " ".join(base[30:60])), (3, None), (4, " ,; "), (5, prose(random.Random(1), 30)), (2, "one two"), (None, " ".join(base[10:40])), (None, prose(random.Random(2), 30)), (6, texts[13][1])]
+    return spark.createDataFrame(rows, "item_id bigint, text string"), rows
 
 
 def test_contamination(docs, texts, items):
     found = decontaminate.judge(docs, items[0]).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
-    assert set(map(tuple, found.collect())) == set(contamination(texts, items[1]))
+    wanted = Counter(contamination(texts, items[1]))
+    assert Counter(map(tuple, found.collect())) == wanted and max(wanted.values()) > 1
 
 
 def test_contaminated_documents_and_spans_go(docs, texts, items):
@@ -66,7 +67,17 @@ def test_contaminated_documents_and_spans_go(docs, texts, items):
 
 def test_contamination_of_nothing(docs, none, items):
     assert decontaminate.judge(none, items[0]).count() == 0
-    assert decontaminate.judge(docs, items[0].limit(0)).where("n_hit > 0").count() == 0
+    nothing = decontaminate.judge(docs, items[0].limit(0))
+    assert nothing.where("n_hit > 0").count() == 0 and nothing.count() == docs.count()
+
+
+def test_items_without_id_hit(spark, docs, texts):
+    """Only items without an id: their passages count, under the empty id."""
+    rows = [(None, texts[4][1]), (None, texts[5][1])]
+    found = decontaminate.judge(docs, spark.createDataFrame(rows, "item_id bigint, text string"))
+    shown = found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated").collect()
+    assert Counter(map(tuple, shown)) == Counter(contamination(texts, rows))
+    assert {r["doc_id"] for r in shown if r["contaminated"]} >= {4, 5}
 
 
 URLS = (
