@@ -1,8 +1,9 @@
 """Language ID (10): unigram piece models, summed over all segmentations.
 
 Each language has probabilities of the pieces of a fixed public vocabulary (byte strings, all single bytes included). The
-probability of a word is the sum over all its segmentations, found by the forward algorithm; white space parts words, and a
-word of more than ``RUN`` bytes is scored in runs of that many. Probabilities are learned by expectation maximisation from
+probability of a word is the sum over all its segmentations, found by the forward algorithm; white space parts words. Long words
+are scored in blocks of ``BLOCK`` bytes that hand on the last sums, scaled, so no segmentation is lost and memory is bounded. Only
+in learning are words of more than ``RUN`` bytes counted in runs of that many. Probabilities are learned by expectation maximisation from
 labelled texts, at most about ``SAMPLE`` documents of each language (picked by a hash of doc_id); expected counts are
 computed in tasks, and only languages x pieces numbers come to the driver. Scoring covers every whole text.
 
@@ -29,7 +30,8 @@ from barloom.llm.piece_counts import vocabulary_pieces
 SAMPLE = 1500
 ROUNDS = 3
 RUN = 32
-LONGEST = 12
+#: Bytes of a word scored at once; longer words go block by block.
+BLOCK = 64
 HELD_OUT = 5
 SMOOTHING = 0.1
 _MEMO_NUMBERS = 1 << 20
@@ -47,9 +49,10 @@ class Pieces:
     STEP = np.uint64(0x9E3779B97F4A7C15)
 
     def __init__(self, path: str):
-        names = {p for p in vocabulary_pieces(path) if len(p) <= LONGEST} | {bytes([b]) for b in range(256)}
+        names = set(vocabulary_pieces(path)) | {bytes([b]) for b in range(256)}
         self.number = {p: i for i, p in enumerate(sorted(names))}
         self.size = len(self.number)
+        self.longest = max(map(len, names))
         hashes = np.zeros(self.size, np.uint64)
         with np.errstate(over="ignore"):
             for p, i in self.number.items():
@@ -80,9 +83,9 @@ class Pieces:
         """Piece numbers [length - 1, end, word] of words of one length."""
         n = len(words[0])
         data = np.frombuffer(b"".join(words), np.uint8).reshape(len(words), n).T.astype(np.uint64) + np.uint64(1)
-        out = np.full((min(LONGEST, n), n, len(words)), self.size, np.int32)
+        out = np.full((min(self.longest, n), n, len(words)), self.size, np.int32)
         hashes = np.zeros_like(data)
-        for k in range(1, min(LONGEST, n) + 1):
+        for k in range(1, min(self.longest, n) + 1):
             hashes = hashes[: n - k + 1] * self.STEP + data[k - 1 :]
             out[k - 1, k - 1 :] = self._numbers(hashes)
         return out
@@ -99,6 +102,30 @@ def forward(lattice: np.ndarray, probs: np.ndarray) -> np.ndarray:
     return sums
 
 
+def log_total(pieces: Pieces, words: list[bytes], probs: np.ndarray, block: int = BLOCK) -> np.ndarray:
+    """Logarithms of the sums over all segmentations [word, language] of words of one length.
+
+    A piece that ends in a block starts at most ``longest`` bytes before its end, so each block takes over so many sums; they are
+    divided by their largest, whose logarithm is kept apart.
+    """
+    n = len(words[0])
+    if n <= block:
+        return np.log(np.maximum(forward(pieces.lattice(words), probs)[-1], 1e-300))
+    scale = np.zeros((len(words), probs.shape[1]))
+    before = np.ones((1, len(words), probs.shape[1]))
+    for start in range(0, n, block):
+        back, size = min(start, pieces.longest - 1), min(block, n - start)
+        lattice = pieces.lattice([w[start - back : start + size] for w in words])
+        sums = np.concatenate([before[-back - 1 :], np.zeros((size, *before.shape[1:]))])
+        for end in range(back + 1, back + size + 1):
+            most = min(len(lattice), end)
+            sums[end] = (sums[end - most : end][::-1] * probs[lattice[:most, end - 1]]).sum(axis=0)
+        before = sums[-pieces.longest :]
+        top = np.maximum(before.max(axis=0), 1e-300)
+        before, scale = before / top, scale + np.log(top)
+    return scale + np.log(np.maximum(before[-1], 1e-300))
+
+
 def backward(lattice: np.ndarray, probs: np.ndarray) -> np.ndarray:
     """Sums over segmentations of all suffixes, from each place to the end."""
     longest, n, words = lattice.shape
@@ -114,12 +141,12 @@ def runs(word: bytes) -> list[bytes]:
     return [word[i : i + RUN] for i in range(0, len(word), RUN)]
 
 
-def by_length(words: list[bytes], most: int = 4096) -> Iterator[list[int]]:
-    """Places of words of equal length, in batches."""
+def by_length(words: list[bytes], most: int = 1 << 15) -> Iterator[list[int]]:
+    """Places of words of equal length, in batches of at most ``most`` bytes or one word; a long word counts as one block."""
     order = sorted(range(len(words)), key=lambda i: len(words[i]))
     start = 0
     for i in range(1, len(order) + 1):
-        if i == len(order) or len(words[order[i]]) != len(words[order[start]]) or i - start >= most:
+        if i == len(order) or len(words[order[i]]) != len(words[order[start]]) or (i - start + 1) * min(len(words[order[start]]), 2 * BLOCK) > most:
             yield order[start:i]
             start = i
 
@@ -157,7 +184,7 @@ def _expected(path: str, langs: list[str], probs: np.ndarray | None):
                     ahead, behind = forward(lattice, own)[:, :, 0], backward(lattice, own)[:, :, 0]
                     weight = counts[batch_at] / np.maximum(ahead[-1], 1e-300)
                     for end in range(1, lattice.shape[1] + 1):
-                        for k in range(1, min(LONGEST, end) + 1):
+                        for k in range(1, min(vocabulary.longest, end) + 1):
                             ids = lattice[k - 1, end - 1]
                             share = weight * ahead[end - k] * own[ids, 0] * behind[end]
                             total[i] += np.bincount(ids, share, vocabulary.size + 1)
@@ -208,12 +235,9 @@ class Scorer:
         self.table = np.zeros((1 << 14, self.probs.shape[1]))
 
     def _learn(self, words: list[bytes]) -> None:
-        cut = [(i, r) for i, w in enumerate(words) for r in runs(w)]
-        owner, parts = np.array([c[0] for c in cut]), [c[1] for c in cut]
         values = np.zeros((len(words), self.probs.shape[1]))
-        for at in by_length(parts):
-            ends = forward(self.pieces.lattice([parts[k] for k in at]), self.probs)[-1]
-            np.add.at(values, owner[at], np.log(np.maximum(ends, 1e-300)))
+        for at in by_length(words):
+            values[at] = log_total(self.pieces, [words[k] for k in at], self.probs)
         first = len(self.memo)
         while first + len(words) > len(self.table):
             self.table = np.concatenate([self.table, np.zeros_like(self.table)])

@@ -7,6 +7,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -313,14 +314,39 @@ def test_forward_sums_all_segmentations():
     def total(word, lang):
         if not word:
             return 1.0
-        return sum(probs[vocabulary.number[word[:k]], lang] * total(word[k:], lang) for k in range(1, min(12, len(word)) + 1) if word[:k] in vocabulary.number)
+        return sum(probs[vocabulary.number[word[:k]], lang] * total(word[k:], lang) for k in range(1, len(word) + 1) if word[:k] in vocabulary.number)
 
+    assert vocabulary.longest == max(map(len, vocabulary.number)) > 12
     for word in (b"the", b"schung", "ü".encode(), b"x"):
         ahead = language.forward(vocabulary.lattice([word]), probs)
         assert np.allclose(ahead[-1, 0], [total(word, 0), total(word, 1)])
         assert np.allclose(language.backward(vocabulary.lattice([word]), probs)[0, 0], ahead[-1, 0])
 
 
+def test_long_words_lose_no_segmentation():
+    """Words of a block and more against exact sums over the whole vocabulary, for blocks shorter than the longest piece too."""
+    vocabulary = language.Pieces(vocabulary_path("word_bpe_49k.json"))
+    probs = np.random.default_rng(1).random((vocabulary.size + 1, 2)) / 1000
+    probs[-1] = 0
+    longest = max(vocabulary.number, key=len)
+    rng = random.Random(2)
+    for n in (1, 63, 64, 65, 128, 129, 700):
+        words = [bytes(rng.choice(b"etaoinschr\xc3\xbc") for _ in range(n)) for _ in range(2)]
+        words.append((prose(rng, 200).replace(" ", "").encode() + longest * 40)[-n:])
+        for block in (5, 64):
+            found = language.log_total(vocabulary, words, probs, block)
+            for word, own in zip(words, found):
+                for lang in (0, 1):
+                    sums = [Fraction(1)]
+                    for end in range(1, n + 1):
+                        sums.append(sum(
+                            (sums[end - k] * Fraction(probs[vocabulary.number[word[end - k : end]], lang])
+                             for k in range(1, min(end, len(longest)) + 1) if word[end - k : end] in vocabulary.number), Fraction(0),
+                        ))
+                    exact = math.log(sums[-1].numerator) - math.log(sums[-1].denominator)
+                    assert own[lang] == pytest.approx(exact, rel=1e-9)
+
+
 def test_languages(docs, none):
     found = language.predict(docs, ("doc_id", "lang", "text")).collect()
     assert len(found) == docs.count()
