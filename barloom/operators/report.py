@@ -7,10 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.functions.windows import extend
+from barloom.functions.windows import extend, num
 from barloom.operators.classification import auc, classification_metrics, rank_ic
 from barloom.operators.features import build_features
-from barloom.operators.ledger import KEYS, scenario_ledgers, trade_stats
+from barloom.operators.ledger import KEYS, impact_bps, scenario_ledgers, trade_stats
 from barloom.operators.risk import benchmark, drawdowns, risk_ratios, tail_risk, total_returns
 from barloom.session import cut_lineage
 
@@ -59,7 +59,10 @@ def compare_models(reports: DataFrame, metric: str = "sharpe") -> DataFrame:
 
 
 def cost_stress(held: DataFrame, keys: Sequence[str] = KEYS, **options) -> DataFrame:
-    """Figures per cost level, difference to the cheapest level and the level where the Sharpe reaches zero."""
+    """Figures per cost level, difference to the cheapest level and the level where the Sharpe reaches zero.
+
+    A third of the level is commission, the rest slippage; market impact comes on top.
+    """
     on = ("total_cost_bps", *keys)
     booked = cut_lineage(scenario_ledgers(held, **options))
     table = (
@@ -73,9 +76,14 @@ def cost_stress(held: DataFrame, keys: Sequence[str] = KEYS, **options) -> DataF
         F.expr("max(struct(total_cost_bps AS c, sharpe AS s)) FILTER (WHERE sharpe >= 0)").alias("_last"),
         F.expr("min(struct(total_cost_bps AS c, sharpe AS s)) FILTER (WHERE sharpe < 0)").alias("_first"),
     )
+    impact = num(impact_bps())
+    parts = (
+        "round(total_cost_bps / 3, 4) AS commission_bps", "round(total_cost_bps - round(total_cost_bps / 3, 4), 4) AS slippage_bps",
+        f"{impact} AS impact_bps", f"total_cost_bps + {impact} AS effective_bps",
+    )
     zero = "_last.c + (0 - _last.s) * (_first.c - _last.c) / (_first.s - _last.s)"
     return table.join(edges, list(keys)).selectExpr(
-        *keys, "total_cost_bps", "sharpe", "ann_ret", "max_dd", "win_rate", "n_trades", "turnover",
+        *keys, "total_cost_bps", *parts, "sharpe", "ann_ret", "max_dd", "win_rate", "n_trades", "turnover",
         "sharpe - _cheapest AS sharpe_vs_cheapest", f"{zero} AS breakeven_bps",
     )
 

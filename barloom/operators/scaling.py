@@ -35,15 +35,18 @@ def robust_apply(df: DataFrame, scaler: DataFrame, columns: Sequence[str]) -> Da
     return replace(df.withColumn("_scaler", lookup), scaled).select(*df.columns)
 
 
-def make_sequences(df: DataFrame, columns: Sequence[str], label: str, length: int = 50) -> DataFrame:
-    """For each row the ``length`` rows before it, oldest first, paired with its own label."""
+def make_sequences(df: DataFrame, columns: Sequence[str], label: str, length: int = 50, keys: Sequence[str] = ("ticker",)) -> DataFrame:
+    """For each row the ``length`` rows before it in its series, oldest first, paired with its own label.
+
+    With ``keys`` of ticker and split no sequence crosses the border of a split.
+    """
     values = ", ".join(f"double(`{c}`)" for c in columns)
 
     def stage(panel: DataFrame, axis: Axis) -> DataFrame:
         frame = axis.over(f"ROWS BETWEEN {length} PRECEDING AND 1 PRECEDING")
         return extend(panel, {"sequence": f"collect_list(array({values})) {frame}"})
 
-    built = in_segments(df, stage, back=length)
+    built = in_segments(df, stage, back=length, keys=keys)
     return built.where(F.size("sequence") == length).select("ticker", "date", F.col(label).alias("label"), "sequence")
 
 

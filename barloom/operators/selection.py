@@ -35,15 +35,20 @@ def mutual_information(folded: DataFrame, columns: Sequence[str], label: str, bi
 
 def tree_importance(folded: DataFrame, columns: Sequence[str], label: str, folds: Sequence[int], trees: int = 20,
                     depth: int = 4, rate: float = 0.05) -> DataFrame:
-    """(fold, feature, tree): boosted-tree importances, one distributed fit per inner fold."""
+    """(fold, feature, tree): boosted-tree importances, one distributed fit per inner fold.
+
+    Folds without complete rows of both labels have no fit and no rows here.
+    """
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.feature import VectorAssembler
 
     assembled = VectorAssembler(inputCols=list(columns), outputCol="features").transform(
         folded.dropna(subset=[*columns, label])
     ).persist()
+    both = assembled.groupBy("fold").agg(F.count_distinct(label).alias("labels")).where("labels > 1")
+    fitted = {r["fold"] for r in both.collect()}
     rows = []
-    for fold in folds:
+    for fold in [f for f in folds if f in fitted]:
         model = GBTClassifier(
             labelCol=label, maxIter=trees, maxDepth=depth, stepSize=rate, subsamplingRate=0.8,
             featureSubsetStrategy="0.7", seed=42,
@@ -53,6 +58,23 @@ def tree_importance(folded: DataFrame, columns: Sequence[str], label: str, folds
     return folded.sparkSession.createDataFrame(rows, "fold int, feature string, tree double")
 
 
+def filled_scores(scores: DataFrame, folds: Sequence[int], columns: Sequence[str], column: str) -> DataFrame:
+    """(fold, feature, ``column``) for all pairs: in a fold that could not be scored all features count 1, elsewhere a feature without a score 0."""
+    grid = scores.sparkSession.createDataFrame([(int(f), c) for f in folds for c in columns], "fold int, feature string")
+    scored = scores.groupBy("fold").agg(F.count(column).alias("_scored"))
+    missing = F.when(F.coalesce("_scored", F.lit(0)) > 0, 0.0).otherwise(1.0)
+    joined = grid.join(scores, ["fold", "feature"], "left").join(scored, "fold", "left")
+    return joined.select("fold", "feature", F.coalesce(column, missing).alias(column))
+
+
+def score_features(folded: DataFrame, columns: Sequence[str], label: str, **tree_options) -> DataFrame:
+    """(feature, mi, tree): both scores, averaged over the inner folds of ``folded``; without any row all features count 1."""
+    folds = sorted(r["fold"] for r in folded.select("fold").distinct().collect()) or [0]  # a handful of fold numbers
+    mi = filled_scores(mutual_information(folded, columns, label), folds, columns, "mi")
+    tree = filled_scores(tree_importance(folded, columns, label, folds, **tree_options), folds, columns, "tree")
+    return average_scores(mi, "mi").join(average_scores(tree, "tree"), "feature")
+
+
 def average_scores(scores: DataFrame, column: str) -> DataFrame:
     return scores.groupBy("feature").agg(F.avg(column).alias(column))
 

@@ -120,11 +120,15 @@ def fold_members(
 
 
 def inner_folds(train: DataFrame, folds: int = 5) -> DataFrame:
-    """Expanding prefixes for feature scoring: each row with every ``fold`` whose prefix contains it."""
+    """Expanding prefixes for feature scoring: each row with every ``fold`` whose prefix contains it.
+
+    A series shorter than two least prefixes is scored once, whole, as fold 0.
+    """
     size = f"(n div {folds + 1})"
+    single = f"({folds} <= 1 OR n < 2 * greatest({size}, 100))"
     positioned = _positioned(train)
-    many = positioned.selectExpr("*", f"explode(sequence(0, {folds - 1})) AS fold")
-    cut = f"least(greatest({size}, 100) + (fold + 1) * {size}, n)"
+    many = positioned.selectExpr("*", f"explode(sequence(0, CASE WHEN {single} THEN 0 ELSE {folds - 1} END)) AS fold")
+    cut = f"CASE WHEN {single} THEN n ELSE least(greatest({size}, 100) + (fold + 1) * {size}, n) END"
     return many.where(f"pos < {cut}").select(*train.columns, "fold")
 
 

@@ -375,11 +375,14 @@ LABELLED = [
     " FROM (SELECT DISTINCT date FROM clean))",
     f"panel AS (SELECT clean.*, {_split_label('day', 'days')} AS split FROM clean JOIN days USING (date))",
 ]
+INNER_FOLD = (
+    "CASE WHEN n < 2 * greatest(n // 6, 100) THEN fold = 0 ELSE pos < least(greatest(n // 6, 100) + (fold + 1) * (n // 6), n) END"
+)
 INNER = [
     *LABELLED,
     "tr AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY date) - 1 AS pos,"
     " count(*) OVER (PARTITION BY ticker) AS n FROM panel WHERE split = 'train')",
-    "folded AS (SELECT tr.*, fold FROM tr, range(5) r(fold) WHERE pos < least(greatest(n // 6, 100) + (fold + 1) * (n // 6), n))",
+    f"folded AS (SELECT tr.*, fold FROM tr, range(5) r(fold) WHERE {INNER_FOLD})",
     "long AS (UNPIVOT (SELECT fold, target_1d, " + ", ".join(PANEL) + " FROM folded) ON " + ", ".join(PANEL)
     + " INTO NAME feature VALUE value)",
     "binned AS (SELECT fold, feature, target_1d AS y, count(*) OVER (PARTITION BY fold, feature) AS n,"
@@ -423,7 +426,7 @@ def _panel_queries() -> dict[str, str]:
     queries["inner_folds"] = _with(
         [_bars(), f"p AS (SELECT ticker, date, row_number() {_over()} - 1 AS pos, count(*) OVER (PARTITION BY ticker) AS n FROM bars)"],
         "SELECT ticker, fold, count(*) AS n, max(date) AS last FROM p, range(5) r(fold)"
-        " WHERE pos < least(greatest(n // 6, 100) + (fold + 1) * (n // 6), n) GROUP BY ticker, fold",
+        f" WHERE {INNER_FOLD} GROUP BY ticker, fold",
     )
     queries["class_weights"] = _with(
         LABELLED,
@@ -453,17 +456,34 @@ def _panel_queries() -> dict[str, str]:
     queries["robust_scale"] = _with([*LABELLED, fit], "SELECT ticker, date, split, " + _r({
         c: f"CAST(CAST(({c} - m_{c}) / CASE WHEN i_{c} = 0 THEN 1 ELSE i_{c} END AS FLOAT) AS DOUBLE)" for c in PANEL
     }, 3) + " FROM panel, fit")
-    before = "OVER (PARTITION BY ticker ORDER BY date ROWS BETWEEN 50 PRECEDING AND 1 PRECEDING)"
+    before = "OVER (PARTITION BY ticker, split ORDER BY date ROWS BETWEEN 50 PRECEDING AND 1 PRECEDING)"
     queries["sequences"] = _with(
-        [*LABELLED, f"q AS (SELECT ticker, date, target_1d AS label, count(*) {before} AS length, first_value(ret_5d) {before} AS oldest,"
-         f" last_value(ret_5d) {before} AS newest, sum(price_vs_sma_20) {before} AS total FROM panel)"],
-        f"SELECT ticker, date, label, length, {_r(('oldest', 'newest', 'total'))} FROM q WHERE length = 50",
+        [*LABELLED, f"q AS (SELECT ticker, date, target_1d AS label, count(*) {before} AS length, "
+         + ", ".join(f"list({c}) {before} AS l_{c}" for c in PANEL) + " FROM panel)"],
+        "SELECT ticker, date, label, length, " + ", ".join(
+            f"round(l_{c}[1], 6) AS oldest_{c}, round(l_{c}[50], 6) AS newest_{c},"
+            f" round(list_sum(list_transform(l_{c}, lambda x, k: k * x)), 5) AS placed_{c}" for c in PANEL
+        ) + " FROM q WHERE length = 50",
     )
     queries["last_sequence"] = _with(
         [*complete, "q AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY date DESC) AS back FROM c)"],
         "SELECT ticker, max(date) AS date, count(*) AS length, round(max(ret_5d) FILTER (WHERE back = 50), 6) AS oldest,"
         " round(max(ret_5d) FILTER (WHERE back = 1), 6) AS newest FROM q WHERE back <= 50 GROUP BY ticker HAVING count(*) = 50",
     )
+    queries["mi_top"] = _with(
+        INNER, "SELECT feature, round(avg(mi), 6) AS mi FROM mi GROUP BY feature ORDER BY avg(mi.mi) DESC, feature LIMIT 3"
+    )
+    queries["short_tickers"] = _with(complete, "SELECT ticker, count(*) AS rows FROM c GROUP BY ticker HAVING count(*) < 1500")
+    queries["early_stop"] = _with(
+        [_bars(), f"p AS (SELECT ticker, date, row_number() {_over()} - 1 AS pos, count(*) OVER (PARTITION BY ticker) AS n FROM bars)"],
+        "SELECT ticker, pos >= n - CAST(floor(n * 0.15::DOUBLE) AS BIGINT) AS is_validation, count(*) AS n, min(date) AS first"
+        " FROM p GROUP BY ALL",
+    )
+    both = [f"wide AS ({_with([_bars('region')], 'SELECT ticker, date, open, high, low, close FROM bars')})",
+            f"own AS ({_with([_bars()], 'SELECT ticker, date, open, high, low, close FROM bars')})"]
+    queries["frames_stacked"] = _with(both, f"SELECT ticker, date, {_r(FIELDS[:4])} FROM (FROM wide UNION ALL FROM own)")
+    queries["dates_shared"] = _with(both, "SELECT date FROM wide INTERSECT SELECT date FROM own")
+    queries["dates_any"] = _with(both, "SELECT date FROM wide UNION SELECT date FROM own")
     queries["mi_scores"] = _with(INNER, "SELECT fold, feature, round(mi, 6) AS mi FROM mi")
     ordinal = "list_position([" + ", ".join(f"'{c}'" for c in PANEL) + "], feature) - 1"
     queries["select_top_k"] = _with(
@@ -958,7 +978,9 @@ book AS (SELECT *, equity / max(equity) OVER (PARTITION BY total_cost_bps, model
     min(total_cost_bps) FILTER (WHERE sharpe < 0) OVER k AS c2, min_by(sharpe, total_cost_bps) FILTER (WHERE sharpe < 0) OVER k AS s2
     FROM st WINDOW k AS (PARTITION BY model, ticker))"""],
         "SELECT model, ticker, n_trades, " + _r({
-            "total_cost_bps": "total_cost_bps", "sharpe": "sharpe", "ann_ret": "pow(last, 252.0::DOUBLE / (n + 1)) - 1",
+            "total_cost_bps": "total_cost_bps", "commission_bps": "round(total_cost_bps / 3, 4)",
+            "slippage_bps": "total_cost_bps - round(total_cost_bps / 3, 4)", "impact_bps": stress_rate,
+            "effective_bps": f"total_cost_bps + {stress_rate}", "sharpe": "sharpe", "ann_ret": "pow(last, 252.0::DOUBLE / (n + 1)) - 1",
             "max_dd": "max_dd", "win_rate": "win_rate", "turnover": "turnover", "sharpe_vs_cheapest": "sharpe - base",
             "breakeven_bps": "c1 + (0 - s1) * (c2 - c1) / (s2 - s1)"}) + " FROM ed", recursive=True,
     )
@@ -1158,3 +1180,7 @@ ORACLES: dict[str, str] = {
     **_quality_queries(), **_other_queries(), **_ema_queries(), **_targets_queries(), **_panel_queries(),
     **_classification_queries(), **_ensemble_queries(), **_out_of_sample_queries(), **_panel_build_queries(), **_ledger_queries(), **_walk_forward_queries(),
 }
+ORACLES["align_checked"] = f"SELECT * EXCLUDE (filled) FROM ({ORACLES['align_outer']})"
+ORACLES["best_model"] = (
+    f"SELECT model, accuracy FROM ({ORACLES['clf_metrics']}) WHERE model <> '{MODELS[0]}' ORDER BY accuracy DESC, model DESC LIMIT 1"
+)

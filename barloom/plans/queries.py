@@ -11,6 +11,7 @@ from barloom.functions.windows import extend
 from barloom.operators import alignment, boosting, classification, cross_section, ensemble, features, ledger, panel, quality
 from barloom.operators import report, risk, scaling, selection, significance, splits, targets, walk_forward
 from barloom.plans.fixtures import MODELS, bars, raw_bars, scores
+from barloom.session import cut_lineage
 from barloom.sources.bars import PRICES
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -113,11 +114,15 @@ def _robust(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     panel = _labelled_panel(spark, sf_dir)
-    built = scaling.make_sequences(panel, PANEL_FEATURES[:2], "target_1d")
+    built = scaling.make_sequences(panel, PANEL_FEATURES, "target_1d", keys=("ticker", "split"))
     return built.selectExpr(
         *BAR, "label", "size(sequence) AS length",
-        "round(sequence[0][0], 6) AS oldest", "round(sequence[49][0], 6) AS newest",
-        "round(aggregate(sequence, 0D, (a, x) -> a + x[1]), 6) AS total",
+        *[f"round(sequence[0][{i}], 6) AS oldest_{c}" for i, c in enumerate(PANEL_FEATURES)],
+        *[f"round(sequence[49][{i}], 6) AS newest_{c}" for i, c in enumerate(PANEL_FEATURES)],
+        *[
+            f"round(aggregate(transform(sequence, (x, k) -> (k + 1) * x[{i}]), 0D, (a, x) -> a + x), 5) AS placed_{c}"
+            for i, c in enumerate(PANEL_FEATURES)
+        ],
     )
 
 
@@ -149,6 +154,23 @@ def _select_top(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(selection.select_top(mi.join(tree, "feature"), PANEL_FEATURES, k=2))
 
 
+def _select_fitted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The published number of features out of all indicators, by mutual information and fitted trees within inner folds."""
+    rows = _complete_panel(spark, sf_dir, features.FEATURES, damped=True).where("split = 'train'").drop("split")
+    folded = cut_lineage(splits.inner_folds(rows))
+    return rounded(selection.select_top(cut_lineage(selection.score_features(folded, features.FEATURES, "target_1d")), features.FEATURES))
+
+
+def _best_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ensemble.best_model(classification.classification_metrics(scores(spark, sf_dir)), MODELS[0])
+
+
+def _stacked_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bars of two groupings, one with a column more, under the columns they share."""
+    frames = [bars(spark, sf_dir, "region").drop("volume"), bars(spark, sf_dir)]
+    return rounded(alignment.stack_frames(frames).select(*alignment.common_columns(frames, BAR)))
+
+
 def _ledger_shown(parity: bool) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         shown = ("signal", "exec_ret", "cost", "net_ret", "equity", "peak", "underwater")
@@ -255,7 +277,6 @@ def _walk_forward_fitted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _gbt(spark: SparkSession, sf_dir: str) -> DataFrame:
     from barloom.operators.models import gbt_fit, score
-    from barloom.session import cut_lineage
 
     panel = cut_lineage(_labelled_panel(spark, sf_dir))
     model = gbt_fit(panel.where("split = 'train'"), PANEL_FEATURES, "target_1d")
@@ -282,6 +303,10 @@ QUERIES: dict[str, Query] = {
     "bars_bad_tokens": lambda s, d: quality.bad_token_audit(_named_raw(s, d)),
     "align_inner": lambda s, d: rounded(alignment.align_inner(bars(s, d, "region"))),
     "align_outer": _align_outer,
+    "align_checked": lambda s, d: rounded(alignment.align(bars(s, d, "region"), "outer")),
+    "dates_shared": lambda s, d: alignment.shared_dates([bars(s, d, "region"), bars(s, d)]),
+    "dates_any": lambda s, d: alignment.any_dates([bars(s, d, "region"), bars(s, d)]),
+    "frames_stacked": _stacked_frames,
     "feat_returns": _family("returns"),
     "feat_sma": _family("sma"),
     "feat_bands": _family("bands"),
@@ -330,6 +355,13 @@ QUERIES: dict[str, Query] = {
     "last_sequence": _last_sequence,
     "mi_scores": lambda s, d: rounded(_mi(s, d)),
     "select_top_k": _select_top,
+    "select_top_fitted": _select_fitted,
+    "mi_top": lambda s, d: rounded(selection.top_features(selection.average_scores(_mi(s, d), "mi"), 3, "mi")),
+    "early_stop": lambda s, d: splits.early_stop_rows(bars(s, d)).groupBy("ticker", "is_validation").agg(
+        F.count(F.lit(1)).alias("n"), F.min("date").alias("first")
+    ),
+    "short_tickers": lambda s, d: scaling.short_tickers(_panel(s, d).dropna(), 1500),
+    "best_model": lambda s, d: rounded(_best_model(s, d)),
     "probability_audit": _probability_audit,
     "ens_equal": lambda s, d: rounded(ensemble.equal_mean(scores(s, d))),
     "ens_weights": lambda s, d: rounded(_weights(s, d)),

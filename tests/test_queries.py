@@ -12,7 +12,8 @@ QUICK = (
     "ledger", "ledger_parity", "kelly_history", "cost_stress", "deciles", "roc_points", "drawdown", "var_cvar", "benchmark",
     "rolling_sharpe", "rank_ic", "walk_forward", "latest_forecast", "trade_stats_confident", "ledger_long_only", "ledger_audit",
     "diagnostics", "ens_weights", "model_report", "ens_calibration", "ens_calibrated", "ens_stacking", "panel_shared", "panel_isolated",
-    "boosted_stumps", "confidence_labels",
+    "boosted_stumps", "confidence_labels", "inner_folds", "mi_scores", "mi_top", "early_stop", "short_tickers", "best_model", "align_checked",
+    "dates_shared", "dates_any", "frames_stacked",
 )
 
 
@@ -23,7 +24,7 @@ def duck():
 
 def test_registry_is_consistent():
     assert set(oracle_sql()) <= set(queries())
-    assert set(QUERIES) - set(oracle_sql()) == {"gbt_scores", "walk_forward_fitted"}
+    assert set(QUERIES) - set(oracle_sql()) == {"gbt_scores", "select_top_fitted", "walk_forward_fitted"}
 
 
 def test_entry(spark):
