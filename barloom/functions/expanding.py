@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from barloom.functions.ranks import rank_table
 from barloom.functions.windows import is_daily
 
-RANK_ROWS = 1024
+RANK_ROWS, TASK_ROWS = 128, 1 << 14
 
 
 def _mid_count(past: Column, value: Column) -> Column:
@@ -24,74 +24,87 @@ def _mid_count(past: Column, value: Column) -> Column:
     return (F.size(past) + smaller - larger) / 2.0
 
 
+def _halves(positioned: DataFrame, columns: Mapping[str, str], keys: Sequence[str], rows: int) -> DataFrame:
+    """(keys, pos, name, value, level, pair, old): each value once per level of a binary tree over positions.
+
+    At level ``l`` blocks of ``rows * 2^l`` positions form pairs; ``old`` is 1 in the earlier block of a pair. Any two
+    positions of different lowest blocks meet in exactly one pair, so a value is listed log2(n / rows) times.
+    """
+    cells = F.array(*[F.struct(F.lit(out).alias("name"), F.col(x).alias("value")) for out, x in columns.items()])
+    long = positioned.where(F.col("n") > rows).select(*keys, "pos", "n", F.explode(cells).alias("cell"))
+    levels = F.sequence(F.lit(0), F.ceil(F.log2(F.col("n") / rows)).cast("int"))
+    spread = long.where("cell.value IS NOT NULL").select(
+        *keys, "pos", "n", "cell.name", "cell.value", F.explode(levels).alias("level")
+    )
+    size = f"shiftleft({rows}L, level)"
+    met = f"(pos div {size}) % 2 = 1 OR (pos div {size} + 1) * {size} < n"
+    return spread.where(met).selectExpr(
+        *keys, "pos", "name", "value", "level", f"pos div {size} div 2 AS pair", f"int(1 - (pos div {size}) % 2) AS old"
+    )
+
+
+def _counted_in_windows(halves: DataFrame, group: Sequence[str]) -> DataFrame:
+    """Later rows with the earlier block's values below them (ties half) and in all, from one sort by value."""
+    pairs = Window.partitionBy(*group).orderBy("value")
+    first, last, here = Window.unboundedPreceding, Window.unboundedFollowing, Window.currentRow
+    counted = halves.select(
+        "*",
+        F.sum("old").over(pairs.rangeBetween(first, here)).alias("_upto"),
+        F.sum("old").over(pairs.rangeBetween(here, here)).alias("_tied"),
+        F.sum("old").over(pairs.rangeBetween(first, last)).alias("_seen"),
+    )
+    return counted.where("old = 0").withColumn("_score", F.col("_upto") - F.col("_tied") / 2.0)
+
+
+def _counted_in_tables(halves: DataFrame, group: Sequence[str]) -> DataFrame:
+    """The same for pairs of any size: rank tables part them into value buckets."""
+    table = rank_table(halves, group, "value", {"old": F.col("old")}).select(
+        *[F.col(c).alias(f"_t_{c}") for c in (*group, "value")],
+        (F.col("below_old") + F.col("old") / 2.0).alias("_score"), F.col("all_old").alias("_seen"),
+    )
+    same = [F.col(c).eqNullSafe(F.col(f"_t_{c}")) for c in (*group, "value")]
+    return halves.where("old = 0").join(table, same)
+
+
 def expanding_rank(
     positioned: DataFrame,
     columns: Mapping[str, str],
     keys: Sequence[str] = ("ticker",),
-    rows: int | None = None,
+    rows: int = RANK_ROWS,
+    task_rows: int = TASK_ROWS,
 ) -> DataFrame:
     """Average-tie percentile rank of the current value in the history to date.
 
-    ``columns`` maps output to input names; the frame needs ``pos`` and ``n`` and loses them. Daily series
-    compare each value with its history directly. Otherwise, or when ``rows`` is given, a row compares
-    itself with the rows of its own segment of at most ``rows`` rows directly. Rows of earlier segments are
-    counted through rank tables per later segment, which sort them in value buckets; series of one segment
-    send nothing there.
+    ``columns`` maps output to input names; the frame needs ``pos`` and ``n`` and loses them. A row compares
+    itself with its own block of ``rows`` rows directly. Earlier blocks are counted by merging: the later block of
+    each pair counts the values of the earlier one in value order, level by level. Pairs of up to ``task_rows`` rows are
+    sorted in one window each; larger ones, which a daily series reaches after decades only, go through rank tables, so no task
+    holds a whole history. Null values have no rank and are in no history.
     """
     keys = list(keys)
-    if rows is None and is_daily(positioned):
-        so_far = Window.partitionBy(*keys).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-        local = positioned.withColumns({f"_past_{out}": F.collect_list(x).over(so_far) for out, x in columns.items()})
-        ranks = {
-            out: F.when(F.col(x).isNotNull(), (_mid_count(F.col(f"_past_{out}"), F.col(x)) + 0.5) / F.size(f"_past_{out}"))
-            for out, x in columns.items()
-        }
-        return local.withColumns(ranks).drop(*[f"_past_{out}" for out in columns], "pos", "n", "seg")
-    rows = rows or RANK_ROWS
-    parted = positioned.withColumn("_rs", F.floor(F.col("pos") / rows))
-    final = F.floor((F.col("n") - 1) / rows)
-
-    long = parted.select(
-        *keys, "pos", "_rs", final.alias("_final"),
-        F.explode(
-            F.array(*[
-                F.struct(F.lit(out).alias("name"), F.col(source).alias("value"))
-                for out, source in columns.items()
-            ])
-        ).alias("cell"),
-    ).select(*keys, "pos", "_rs", "_final", "cell.name", "cell.value").where("value is not null and _final > 0")
-    older = long.where(F.col("_rs") < F.col("_final")).select(
-        *keys, "name", "value", F.explode(F.sequence(F.col("_rs") + 1, "_final")).alias("_rs"),
-        F.lit(1).alias("old"),
-    )
-    newer = long.where("_rs > 0").select(*keys, "name", "value", "_rs", F.lit(0).alias("old"))
-    earlier = rank_table(older.unionByName(newer), [*keys, "name", "_rs"], "value", {"old": F.col("old")}).select(
-        *keys, "name", "_rs", "value",
-        (F.col("below_old") + F.col("old") / 2.0).alias("_score"), F.col("all_old").alias("_seen"),
-    )
+    group = [*keys, "name", "level", "pair"]
+    halves = _halves(positioned, columns, keys, rows)
+    small = f"shiftleft({2 * rows}L, level) <= {task_rows}"
+    counted = ["_score", "_seen"]
+    earlier = _counted_in_windows(halves.where(small), group).select(*keys, "pos", "name", *counted)
+    if not (is_daily(positioned) and task_rows >= TASK_ROWS):
+        large = _counted_in_tables(halves.where(f"NOT {small}"), group)
+        earlier = earlier.unionByName(large.select(*keys, "pos", "name", *counted))
+    totals = {f"{part}_{out}": F.sum(F.when(F.col("name") == out, F.col(part))) for out in columns for part in counted}
     carried = (
-        long.where("_rs > 0")
-        .join(earlier, [*keys, "name", "_rs", "value"])
-        .groupBy(*keys, "pos")
-        .agg(
-            *[
-                F.max(F.when(F.col("name") == out, F.col(part))).alias(f"{part}_{out}")
-                for out in columns
-                for part in ("_score", "_seen")
-            ]
-        )
+        earlier.groupBy(*keys, "pos")
+        .agg(*[total.alias(name) for name, total in totals.items()])
+        .select(*[F.col(c).alias(f"_c_{c}") for c in (*keys, "pos")], *totals)
     )
-
-    so_far = Window.partitionBy(*keys, "_rs").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    local = parted.withColumns(
-        {f"_past_{out}": F.collect_list(source).over(so_far) for out, source in columns.items()}
-    ).join(carried, [*keys, "pos"], "left")
+    blocks = Window.partitionBy(*keys, "_block").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    local = positioned.withColumn("_block", F.expr(f"pos div {rows}"))
+    local = local.withColumns({f"_past_{out}": F.collect_list(x).over(blocks) for out, x in columns.items()})
+    joined = local.join(carried, [F.col(c).eqNullSafe(F.col(f"_c_{c}")) for c in (*keys, "pos")], "left")
     outputs = {}
-    for out, source in columns.items():
-        value, past = F.col(source), F.col(f"_past_{out}")
-        score = _mid_count(past, value)
-        smaller = score + F.coalesce(f"_score_{out}", F.lit(0.0))
+    for out, x in columns.items():
+        value, past = F.col(x), F.col(f"_past_{out}")
+        smaller = _mid_count(past, value) + F.coalesce(f"_score_{out}", F.lit(0.0))
         seen = F.size(past) + F.coalesce(f"_seen_{out}", F.lit(0))
         outputs[out] = F.when(value.isNotNull(), (smaller + 0.5) / seen)
-    helpers = [f"{part}_{out}" for out in columns for part in ("_past", "_score", "_seen")]
-    return local.withColumns(outputs).drop(*helpers, "_rs", "pos", "n", "seg")
+    helpers = [*[f"_past_{out}" for out in columns], *totals, *[f"_c_{c}" for c in (*keys, "pos")]]
+    return joined.withColumns(outputs).drop(*helpers, "_block", "pos", "n", "seg")

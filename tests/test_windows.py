@@ -82,14 +82,31 @@ def test_features_are_causal(bars):
         close_to(merged[column], merged[f"{column}_w"], 1e-10)
 
 
-@pytest.mark.parametrize("rows", [None, 50])
-def test_expanding_rank_against_pandas(bars, walk, rows):
-    rounded = bars.selectExpr("ticker", "date", "round(close, 0) AS v")  # many ties
-    got = ordered(expanding_rank(with_position(rounded), {"r": "v"}, rows=rows), "ticker", "date")
+@pytest.mark.parametrize("rows, task_rows", [(64, 1 << 14), (50, 1 << 14), (7, 30), (1, 64), (1, 0), (1000, 1 << 14)])
+def test_expanding_rank_against_pandas(bars, walk, rows, task_rows):
+    rounded = bars.selectExpr("ticker", "date", "CASE WHEN day(date) <> 13 THEN round(close, 0) END AS v")  # many ties, some nulls
+    got = ordered(expanding_rank(with_position(rounded), {"r": "v"}, rows=rows, task_rows=task_rows), "ticker", "date")
+    assert len(got) == len(walk)
     for _, part in got.groupby("ticker"):
         close_to(part.r, part.v.expanding().rank(pct=True), 1e-12)
 
 
+def test_expanding_rank_takes_one_path_for_dates_and_timestamps(bars):
+    timed = bars.selectExpr("ticker", "timestamp(date) AS date", "round(close, 1) AS v", "volume AS w")
+    daily = timed.selectExpr("ticker", "date(date) AS date", "v", "w")
+    frames = [
+        ordered(expanding_rank(with_position(df), {"r": "v", "q": "w"}, rows=16), "ticker", "date") for df in (daily, timed)
+    ]
+    assert (frames[0][["r", "q"]] == frames[1][["r", "q"]]).all().all()
+
+
+def test_expanding_rank_of_empty_and_single_rows(spark):
+    df = spark.createDataFrame([("A", 0, 1, 2.0), ("B", 0, 1, None), (None, 0, 1, 1.0)], "ticker string, pos long, n long, v double")
+    got = {r.ticker: r.r for r in expanding_rank(df, {"r": "v"}).collect()}
+    assert got == {"A": 1.0, "B": None, None: 1.0}
+    assert expanding_rank(df.where("false"), {"r": "v"}).count() == 0
+
+
 def test_quantiles_and_ranks_are_exact(bars, walk):
     got = quantiles(bars, ["ticker"], "close", {"a": 0.05, "b": 0.5, "c": 0.975}).toPandas().set_index("ticker")
     for ticker, part in walk.groupby("ticker"):
