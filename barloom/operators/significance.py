@@ -49,18 +49,22 @@ def bootstrap_sharpes(
     """One Sharpe ratio per key and replicate from circular blocks.
 
     A block's start is a hash of (seed, replicate, block), so results do not depend on partitioning. Blocks
-    that run over the end wrap around; ``parity`` cuts them instead. A daily series fits one array (at most 366
-    values a year), so replicates are spread over tasks with the array and drawn without joins.
+    that run over the end wrap around; ``parity`` cuts them instead. A block is one hash and two places in the running
+    sums of the returns and of their squares, so the work is replicates times blocks, not days. A daily series fits
+    one array (at most 366 values a year), so replicates are spread over tasks with the sums and drawn without joins.
     """
     if not is_daily(returns):
         raise ValueError("the bootstrap needs one return per DATE")
-    sized = block_lengths(returns, keys)
-    series = sized.groupBy(*keys).agg(
+    # sums are taken around the series mean, so the spread keeps its precision
+    centred = extend(block_lengths(returns, keys), {"_centre": f"avg(net_ret) OVER (PARTITION BY {', '.join(keys)})"})
+    to_date = f"OVER (PARTITION BY {', '.join(keys)} ORDER BY pos)"
+    summed = extend(centred, {"_s": f"sum(net_ret - _centre) {to_date}", "_q": f"sum(pow(net_ret - _centre, 2)) {to_date}"})
+    series = summed.groupBy(*keys).agg(
         F.max("n").alias("n"),
         F.max("len").alias("len"),
-        F.avg("net_ret").alias("_centre"),
-        F.expr("transform(array_sort(collect_list(struct(pos, net_ret))), x -> x.net_ret)").alias("_values"),
-    )
+        F.max("_centre").alias("_centre"),
+        F.expr("array_sort(collect_list(struct(pos, _s, _q)))").alias("_sums"),
+    ).selectExpr(*keys, "n", "len", "_centre", *[f"concat(array(0D), _sums.{c}) AS {c}" for c in ("_s", "_q")])
     shares = min(REPLICATE_SHARES, replicates)
     # an explicit number: the rows are few and small, but the work behind each is not
     tasks = max(shares, int(returns.sparkSession.conf.get("spark.sql.shuffle.partitions")))
@@ -68,19 +72,23 @@ def bootstrap_sharpes(
         series.where("n >= 10")
         .selectExpr("*", f"explode(sequence(0, {shares - 1})) AS _share")
         .repartition(tasks, *keys, "_share")
-        .selectExpr(*keys, "n", "len", "_centre", "_values", f"explode(sequence(_share, {replicates - 1}, {shares})) AS rep")
+        .selectExpr(*keys, "n", "len", "_centre", "_s", "_q", f"explode(sequence(_share, {replicates - 1}, {shares})) AS rep")
     )
-    start = f"bigint(conv(substr(md5(concat_ws('-', '{seed}', rep, int(t div len))), 1, 8), 16, 10)) % n"
-    index = f"({start} + t % len)"
-    picks = f"transform(sequence(0, int(n) - 1), t -> _values[int({index} % n)])"
-    if parity:
-        picks = f"filter(transform(sequence(0, int(n) - 1), t -> get(_values, int({index}))), x -> x IS NOT NULL)"
-    # one pass over the draws; sums are taken around the series mean, so the spread keeps its precision
+    start = f"int(bigint(conv(substr(md5(concat_ws('-', '{seed}', rep, block)), 1, 8), 16, 10)) % n)"
+    starts = f"transform(sequence(0, int((n - 1) div len)), block -> {start})"
+    # ``t`` days are drawn before a block, which is shorter when fewer than ``len`` are left
+    stop = "x + int(least(len, n - a.t))"
+    inside, wrapped = f"int(least({stop}, n))", f"int(greatest({stop} - n, 0))"
+
+    def drawn(sums: str) -> str:
+        return f"{sums}[{inside}] - {sums}[x]" + ("" if parity else f" + {sums}[{wrapped}]")
+
     root, hurdle = num(math.sqrt(252)), num(risk_free / 252)
     spread_of = "sqrt(greatest(a.q - a.s * a.s / a.k, 0D) / (a.k - 1))"
     ratio = (
-        f"aggregate({picks}, named_struct('k', 0L, 's', 0D, 'q', 0D), (a, x) -> named_struct('k', a.k + 1L,"
-        " 's', a.s + (x - _centre), 'q', a.q + (x - _centre) * (x - _centre)),"
+        f"aggregate({starts}, named_struct('t', 0L, 'k', 0L, 's', 0D, 'q', 0D), (a, x) -> named_struct("
+        f"'t', a.t + least(len, n - a.t), 'k', a.k + {f'{inside} - x' if parity else 'least(len, n - a.t)'},"
+        f" 's', a.s + {drawn('_s')}, 'q', a.q + {drawn('_q')}),"
         f" a -> CASE WHEN {spread_of} > 1e-10D THEN {root} * (_centre + a.s / a.k - {hurdle}) / {spread_of} ELSE 0D END)"
     )
     return spread.selectExpr(*keys, "rep", f"{ratio} AS sharpe")

@@ -1043,7 +1043,8 @@ book AS (SELECT *, equity / max(equity) OVER (PARTITION BY total_cost_bps, model
         " (PARTITION BY model ORDER BY date) AS prev FROM folio)",
         "le AS (SELECT model, count(*) AS n, least(greatest(1, CAST(round(1 / (1 - least(abs(coalesce(corr(prev, net_ret), 0)), 0.99)))"
         " AS INT)), greatest(count(*) // 4, 1)) AS len FROM po GROUP BY model)",
-        f"dr AS (SELECT model, n, len, rep, t, t // len AS blk FROM le, range({REPLICATES}) a(rep), range(100000) b(t) WHERE t < n)",
+        f"da AS (SELECT model, n, len, rep, unnest(range(n)) AS t FROM le, range({REPLICATES}) a(rep))",
+        "dr AS (SELECT *, t // len AS blk FROM da)",
         f"ix AS (SELECT model, rep, (('0x' || substr(md5('{SEED}-' || rep || '-' || blk), 1, 8))::BIGINT % n + t % len) % n AS pos FROM dr)",
         f"sh AS (SELECT model, rep, CASE WHEN stddev_samp(net_ret) > 1e-10 THEN {ROOT_YEAR} * avg(net_ret) / stddev_samp(net_ret)"
         " ELSE 0 END AS sharpe FROM ix JOIN po USING (model, pos) GROUP BY model, rep)",

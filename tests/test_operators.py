@@ -1,4 +1,5 @@
 import datetime as dt
+import hashlib
 
 import numpy as np
 import pytest
@@ -166,6 +167,27 @@ def test_bootstrap_does_not_depend_on_partitioning(spark):
     assert one.ci_lower < one.ci_upper
 
 
+@pytest.mark.parametrize("parity", [False, True])
+def test_bootstrap_draws_the_blocks_it_hashes(spark, parity):
+    noise = np.random.default_rng(5).normal(0.0, 0.01, 131)
+    walk = [0.0]
+    for shock in noise[1:]:
+        walk.append(0.85 * walk[-1] + shock)  # blocks of several days, and a last block that is shorter
+    df = spark.createDataFrame([("m", d, float(r)) for d, r in zip(dates(131), walk)], "model string, date date, net_ret double")
+    length = significance.block_lengths(df).first()["len"]
+    assert length > 2 and 131 % length
+    got = {r.rep: r.sharpe for r in significance.bootstrap_sharpes(df, replicates=40, seed=9, parity=parity).collect()}
+    assert sorted(got) == list(range(40))
+    for rep, value in got.items():
+        drawn = []
+        for t in range(131):
+            digest = hashlib.md5(f"9-{rep}-{t // length}".encode()).hexdigest()
+            place = int(digest[:8], 16) % 131 + t % length
+            if place < 131 or not parity:
+                drawn.append(walk[place % 131])
+        assert value == pytest.approx(np.sqrt(252) * np.mean(drawn) / np.std(drawn, ddof=1), rel=1e-9)
+
+
 def test_normal_cdf_and_benchmark(spark):
     from statistics import NormalDist
 
