@@ -8,10 +8,12 @@ an extra leg, which is what published results of this method assume.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from barloom.functions.windows import EPS, Axis, extend, in_segments, num, running, with_position
 from barloom.sources.bars import require_columns
@@ -111,12 +113,38 @@ def kelly_with_history(
     return extend(sized.selectExpr(*kept, "_size AS size"), {"signal": _directed(False)})
 
 
+def _stopping(limit: float):
+    """Pass over runs in bar order that adds ``stopped``; only the open trade's price is kept from batch to batch."""
+    least = float(EPS.rstrip("D"))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        entry = None
+        for batch in batches:
+            columns = [batch.column(name).to_pylist() for name in ("pos", "_run", "next_open", "_side")]
+            stopped = []
+            for pos, run, price, side in zip(*columns):
+                if pos == run:
+                    entry = None
+                hit = (
+                    entry is not None and entry > least and price is not None and side is not None
+                    and side * (price - entry) / entry < -limit
+                )
+                stopped.append(hit)
+                if hit:
+                    entry = None
+                elif entry is None:
+                    entry = price
+            yield batch.append_column("stopped", pa.array(stopped, pa.bool_()))
+
+    return scan
+
+
 def stop_loss(booked: DataFrame, limit: float = STOP_LOSS) -> DataFrame:
     """Zero the ``signal`` on bars where the open trade is down more than ``limit`` at ``next_open``.
 
     Adds ``stopped`` and needs ``pos``/``n`` per (model, ticker). A trade ends with its run of equal signal
-    signs, so each run is folded on its own: enter at its first bar, stop, re-enter on the next bar. The fold
-    keeps only the positions of stops and is applied to the run's own rows. A run holds at most one row per calendar day of one ticker.
+    signs, so runs are dealt to tasks, sorted there and passed over bar by bar: enter at the first bar, stop,
+    re-enter on the next bar. Nothing of a run is held but the price of the open trade, whatever its length.
     """
 
     def stage(panel: DataFrame, axis: Axis) -> DataFrame:
@@ -124,24 +152,11 @@ def stop_loss(booked: DataFrame, limit: float = STOP_LOSS) -> DataFrame:
         return extend(panel, {"_start": f"CASE WHEN {changed} THEN pos END"})
 
     started = in_segments(booked, stage, back=1, keys=KEYS, keep=True)
-    runs = running(started, {"_run": ("max", "_start")}, KEYS)
-    fold = (
-        "aggregate(array_sort(collect_list(struct(pos, next_open, signum(signal) AS side))),"
-        " named_struct('entry', double(null), 'stops', cast(array() AS array<bigint>)),"
-        " (acc, bar) -> CASE"
-        " WHEN acc.entry IS NULL THEN named_struct('entry', bar.next_open, 'stops', acc.stops)"
-        f" WHEN acc.entry > {EPS} AND bar.side * (bar.next_open - acc.entry) / acc.entry < {num(-limit)}"
-        " THEN named_struct('entry', double(null), 'stops', array_append(acc.stops, bar.pos))"
-        " ELSE acc END, acc -> acc.stops)"
-    )
-    columns = runs.columns
-    row = f"named_struct({', '.join(f'{c!r}, {c}' for c in columns)})"
-    folded = runs.groupBy(*KEYS, "_run").agg(
-        F.expr(f"collect_list({row})").alias("_rows"),
-        F.expr(f"CASE WHEN any(signal <> 0) THEN {fold} ELSE cast(array() AS array<bigint>) END").alias("_stops"),
-    )
-    flat = folded.selectExpr("_stops", "explode(_rows) AS r").selectExpr("r.*", "array_contains(_stops, r.pos) AS stopped")
+    runs = extend(running(started, {"_run": ("max", "_start")}, KEYS), {"_side": "signum(signal)"})
     kept = [c for c in booked.columns if c != "signal"]
+    ordered = runs.select(*booked.columns, "_run", "_side").repartition(*KEYS, "_run").sortWithinPartitions(*KEYS, "_run", "pos")
+    schema = T.StructType([*ordered.schema.fields, T.StructField("stopped", T.BooleanType(), False)])
+    flat = ordered.mapInArrow(_stopping(limit), schema)
     return flat.selectExpr(*kept, "CASE WHEN stopped THEN 0D ELSE signal END AS signal", "stopped")
 
 

@@ -98,6 +98,44 @@ def test_stop_closes_one_bar_and_reenters(spark):
     np.testing.assert_allclose(got.equity, np.cumprod(1 + got.net_ret))
 
 
+def _stops(prices, sides, limit):
+    """Bars stopped when one series is walked bar by bar."""
+    stopped, entry, before = [], None, None
+    for price, side in zip(prices, sides):
+        entry, before = (entry if side == before else None), side
+        hit = entry is not None and side * (price - entry) / entry < -limit
+        stopped.append(bool(hit))
+        entry = None if hit else price if entry is None else entry
+    return stopped
+
+
+def test_stop_in_runs_of_either_side_against_a_walk(spark):
+    rng = np.random.default_rng(11)
+    rows, wanted = [], []
+    for model in ("m", "k"):
+        prices = 100 * np.exp(np.cumsum(rng.normal(0, 0.03, 300)))
+        sides = np.repeat(rng.choice([-1.0, 0.0, 1.0], 60), 5)
+        rows += [(model, "A", d, float(s), float(p)) for d, s, p in zip(dates(300), sides, prices)]
+        wanted.append((model, _stops(prices, sides, 0.05)))
+    df = spark.createDataFrame(rows, "model string, ticker string, date date, signal double, next_open double")
+    got = ledger.stop_loss(ledger.with_position(df, ledger.KEYS), 0.05).toPandas().sort_values(["model", "date"])
+    for model, stops in wanted:
+        part = got[got.model == model]
+        assert part.stopped.tolist() == stops and any(stops)
+        assert (part.signal[part.stopped] == 0).all()
+
+
+def test_stop_passes_one_run_of_200000_bars(spark):
+    n = 200_000
+    df = spark.range(n).selectExpr(
+        "'m' AS model", "'A' AS ticker", "timestamp_seconds(1500000000 + 600 * id) AS date", "1D AS signal",
+        "100 + 10 * sin(id / 7D) AS next_open",
+    )
+    got = ledger.stop_loss(ledger.with_position(df, ledger.KEYS), 0.05).select("date", "next_open", "stopped").toPandas().sort_values("date")
+    assert len(got) == n
+    assert got.stopped.tolist() == _stops(got.next_open.to_numpy(), np.ones(n), 0.05)
+
+
 def test_reversal_cost_with_and_without_extra_leg(spark):
     opens = [100.0] * 6
     plain = ledger_of(spark, [1.0, 0.0, 0.0], opens, kelly=False, rate=0.01)
