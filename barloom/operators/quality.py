@@ -189,3 +189,33 @@ def quality_audit(complete: DataFrame, min_rows: int = MIN_BARS) -> DataFrame:
     )
     short = (F.col("reason") == "kept") & (F.col("n") < min_rows)
     return counted.withColumn("reason", F.when(short, "short_history").otherwise(F.col("reason")))
+
+
+def run_audit(raw: DataFrame, arrival: str = "ingest_seq", min_rows: int = MIN_BARS) -> DataFrame:
+    """One row per ticker that accounts for every raw row.
+
+    ``raw_rows`` = ``duplicates`` + ``long_gap`` + ``unfilled`` (a field without any value to fill it) + ``inconsistent`` +
+    ``clean``; ``kept`` is ``clean``, or 0 for a history under ``min_rows``. ``jumps`` counts suspicious moves among
+    clean bars, which stay. Each step is counted by an aggregation with one row per ticker.
+    """
+    named = enforce_dtypes(normalise_columns(raw, keep=("ticker", "date", arrival)))
+    flagged = flag_long_gaps(dedupe_keep_last(named, arrival).drop(arrival))
+    complete = ffill_then_bfill(flagged.where(~F.col("long_gap")).drop("long_gap"))
+    clean = flag_jumps(drop_inconsistent(complete))
+    one, none = F.lit(1), F.lit(0)
+    steps = (
+        (named, {"raw_rows": one}),
+        (flagged, {"_unique": one, "long_gap": F.col("long_gap").cast("int")}),
+        (complete, {"_complete": one}),
+        (clean, {"clean": one, "jumps": F.col("jump").cast("int")}),
+    )
+    counts = [name for _, measures in steps for name in measures]
+    parts = [
+        step.groupBy("ticker").agg(*[F.sum(measures.get(name, none)).alias(name) for name in counts])
+        for step, measures in steps
+    ]
+    totals = reduce(DataFrame.unionByName, parts).groupBy("ticker").agg(*[F.sum(name).alias(name) for name in counts])
+    return totals.selectExpr(
+        "ticker", "raw_rows", "raw_rows - _unique AS duplicates", "long_gap", "_unique - long_gap - _complete AS unfilled",
+        "_complete - clean AS inconsistent", "clean", f"CASE WHEN clean < {min_rows} THEN 0L ELSE clean END AS kept", "jumps",
+    )

@@ -289,6 +289,20 @@ def _quality_queries() -> dict[str, str]:
             "SELECT ticker, CASE WHEN reason = 'kept' AND count(*) < 252 THEN 'short_history' ELSE reason END AS reason,"
             " count(*) AS n FROM judged GROUP BY ticker, judged.reason",
         ),
+        "bars_run_audit": _with(
+            [
+                dirty, _complete(),
+                f"ok AS (SELECT *, coalesce(abs(close / nullif({_lag('close')}, 0) - 1) > 0.4, false) AS jump FROM judged WHERE reason = 'kept')",
+                "a AS (SELECT ticker, count(*) AS raw_rows FROM raw GROUP BY ticker)",
+                "b AS (SELECT ticker, count(*) AS uniq, count(*) FILTER (WHERE long_gap) AS long_gap FROM flagged GROUP BY ticker)",
+                "c AS (SELECT ticker, count(*) AS whole, count(*) FILTER (WHERE reason = 'kept') AS clean FROM judged GROUP BY ticker)",
+                "d AS (SELECT ticker, count(*) FILTER (WHERE jump) AS jumps FROM ok GROUP BY ticker)",
+            ],
+            "SELECT ticker, raw_rows, raw_rows - uniq AS duplicates, long_gap, uniq - long_gap - coalesce(whole, 0) AS unfilled,"
+            " coalesce(whole, 0) - coalesce(clean, 0) AS inconsistent, coalesce(clean, 0) AS clean,"
+            " CASE WHEN coalesce(clean, 0) < 252 THEN 0 ELSE clean END AS kept, coalesce(jumps, 0) AS jumps"
+            " FROM a JOIN b USING (ticker) LEFT JOIN c USING (ticker) LEFT JOIN d USING (ticker)",
+        ),
         "bars_null_audit": _with(
             [dirty, "typed AS (SELECT * EXCLUDE (vol), try_cast(vol AS DOUBLE) AS volume FROM raw)"],
             f"SELECT ticker, {nulls}, count(*) FILTER (WHERE {every}) AS rows_all_null,"

@@ -297,6 +297,7 @@ QUERIES: dict[str, Query] = {
     "bars_supplier": lambda s, d: rounded(bars(s, d)),
     "bars_quality": lambda s, d: rounded(quality.validate_bars(raw_bars(s, d))),
     "bars_quality_audit": _bars_quality_audit,
+    "bars_run_audit": lambda s, d: quality.run_audit(raw_bars(s, d)),
     "bars_gap_fill": lambda s, d: rounded(quality.complete_bars(raw_bars(s, d))),
     "bars_jumps": _bars_jumps,
     "bars_null_audit": lambda s, d: quality.null_audit(quality.enforce_dtypes(_named_raw(s, d))),

@@ -136,6 +136,22 @@ def test_stop_passes_one_run_of_200000_bars(spark):
     assert got.stopped.tolist() == _stops(got.next_open.to_numpy(), np.ones(n), 0.05)
 
 
+def test_run_audit_accounts_for_every_raw_row(spark):
+    rows = [("A", d, 1, "10", "11", "9", "10", "5") for d in dates(30)]
+    rows += [("A", dates(30)[3], 2, "10", "11", "9", "10", "6")]  # a duplicate
+    rows += [("B", d, 1, "10", "11", "9", "10", None if 2 <= i < 12 else "5") for i, d in enumerate(dates(20))]  # a long gap
+    rows += [("C", d, 1, "10", "11", "9", "10", "n/a") for d in dates(4)]  # nothing to fill from
+    rows += [("D", d, 1, "10", "11", "9", "30" if i == 1 else "10", "5") for i, d in enumerate(dates(5))]  # close out of range
+    raw = spark.createDataFrame(rows, "ticker string, date date, ingest_seq int, open string, high string, low string, close string, volume string")
+    got = {r.ticker: r for r in quality.run_audit(raw, min_rows=10).collect()}
+    assert (got["A"].raw_rows, got["A"].duplicates, got["A"].clean, got["A"].kept) == (31, 1, 30, 30)
+    assert (got["B"].long_gap, got["B"].clean, got["B"].kept) == (10, 10, 10)
+    assert (got["C"].unfilled, got["C"].clean) == (4, 0)
+    assert (got["D"].inconsistent, got["D"].clean, got["D"].kept) == (1, 4, 0)
+    for r in got.values():
+        assert r.raw_rows == r.duplicates + r.long_gap + r.unfilled + r.inconsistent + r.clean
+
+
 def test_reversal_cost_with_and_without_extra_leg(spark):
     opens = [100.0] * 6
     plain = ledger_of(spark, [1.0, 0.0, 0.0], opens, kelly=False, rate=0.01)

@@ -12,7 +12,7 @@ QUICK = (
     "ledger", "ledger_parity", "kelly_history", "cost_stress", "deciles", "roc_points", "drawdown", "var_cvar", "benchmark",
     "rolling_sharpe", "rank_ic", "walk_forward", "latest_forecast", "trade_stats_confident", "ledger_long_only", "ledger_audit",
     "diagnostics", "ens_weights", "model_report", "ens_calibration", "ens_calibrated", "ens_stacking", "panel_shared", "panel_isolated",
-    "boosted_stumps", "confidence_labels", "inner_folds", "mi_scores", "mi_top", "early_stop", "short_tickers", "best_model", "align_checked",
+    "boosted_stumps", "bars_run_audit", "confidence_labels", "inner_folds", "mi_scores", "mi_top", "early_stop", "short_tickers", "best_model", "align_checked",
     "dates_shared", "dates_any", "frames_stacked",
 )
 
