@@ -8,12 +8,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barloom.functions.ranks import linear_quantile, rank_table, with_mid_rank
-from barloom.functions.windows import extend, num
-from barloom.session import cut_lineage
+from barloom.functions.windows import extend, is_daily, num
 
 MODEL = ("model",)
 
 
+def _daily(df: DataFrame, keys: Sequence[str]) -> bool:
+    """Whether a key holds at most one row a day and model, so that its rows are few."""
+    return {"model", "ticker"} <= set(keys) and is_daily(df)
+
+
 def predictions(scores: DataFrame, threshold: float = 0.5) -> DataFrame:
     """Add ``prob`` (missing or infinite becomes 0.5) and ``pred``."""
     prob = "CASE WHEN p IS NULL OR isnan(p) OR abs(p) = double('Infinity') THEN 0.5D ELSE p END"
@@ -66,7 +70,8 @@ def class_report(scores: DataFrame, keys: Sequence[str] = MODEL, threshold: floa
 def auc(scores: DataFrame, keys: Sequence[str] = MODEL) -> DataFrame:
     """ROC area from ranks; 0.5 when a class is missing. Works on distinct scores, not on rows. A missing or infinite score
     counts as 0.5, as in the other figures."""
-    table = rank_table(predictions(scores), keys, "prob", {"pos": F.expr("int(y = 1)"), "neg": F.expr("int(y = 0)")})
+    sides = {"pos": F.expr("int(y = 1)"), "neg": F.expr("int(y = 0)")}
+    table = rank_table(predictions(scores), keys, "prob", sides, bounded=_daily(scores, keys))
     area = table.groupBy(*keys).agg(
         F.expr("sum(pos * (below_neg + neg / 2D))").alias("_area"),
         F.expr("max(all_pos) * double(max(all_neg))").alias("_pairs"),
@@ -76,7 +81,8 @@ def auc(scores: DataFrame, keys: Sequence[str] = MODEL) -> DataFrame:
 
 def roc_points(scores: DataFrame, keys: Sequence[str] = MODEL) -> DataFrame:
     """(threshold, fpr, tpr) for every distinct score (0.5 where missing): rates when rows at or above it count as positive."""
-    table = rank_table(predictions(scores), keys, "prob", {"pos": F.expr("int(y = 1)"), "neg": F.expr("int(y = 0)")})
+    sides = {"pos": F.expr("int(y = 1)"), "neg": F.expr("int(y = 0)")}
+    table = rank_table(predictions(scores), keys, "prob", sides, bounded=_daily(scores, keys))
     return table.selectExpr(
         *keys,
         "prob AS threshold",
@@ -88,15 +94,38 @@ def roc_points(scores: DataFrame, keys: Sequence[str] = MODEL) -> DataFrame:
 def rank_ic(scored_returns: DataFrame, keys: Sequence[str] = MODEL, realised: str = "realised") -> DataFrame:
     """Spearman correlation of ``p`` and the realised return; 0 under five rows or for constant input.
 
-    Both rank tables and the rows read the input, so its lineage is cut first.
+    Daily keys are ranked where they lie. Otherwise rows get the rank of their return, and these are summed by distinct ``p``: the
+    products of ranks follow from the sums, so ranks of ``p`` are not joined back to the rows.
     """
-    complete = scored_returns.where(f"p IS NOT NULL AND {realised} IS NOT NULL").select(*keys, "p", realised)
-    complete = cut_lineage(complete)
-    ranked = with_mid_rank(with_mid_rank(complete, keys, "p", "_rp"), keys, realised, "_rr")
-    stats = ranked.groupBy(*keys).agg(F.corr("_rp", "_rr").alias("_ic"), F.count(F.lit(1)).alias("_n"))
+    keys = list(keys)
+    complete = scored_returns.where(f"p IS NOT NULL AND {realised} IS NOT NULL")
+    if _daily(complete, keys):
+        both = complete.select(*keys, "p", realised)
+        ranked = with_mid_rank(with_mid_rank(both, keys, "p", "_rp", True), keys, realised, "_rr", True)
+        stats = ranked.groupBy(*keys).agg(F.corr("_rp", "_rr").alias("_ic"), F.count(F.lit(1)).alias("_n"))
+    else:
+        stats = _rank_sums(with_mid_rank(complete.select(*keys, "p", realised), keys, realised, "_rr", centred=True), keys)
     return stats.selectExpr(*keys, "CASE WHEN _n < 5 THEN 0D ELSE coalesce(nanvl(_ic, 0D), 0D) END AS ic")
 
 
+def _rank_sums(ranked: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, _ic, _n): correlation of the ranks of ``p`` with the centred ranks ``_rr``. NaN has no rank; such rows count in ``_n`` only."""
+    placed = extend(ranked, {"_nan": "isnan(p)", "_p": "nanvl(p, 0D)"})
+    sums = {"_k": "double(_rr IS NOT NULL)", "_y": "coalesce(_rr, 0D)", "_yy": "coalesce(_rr * _rr, 0D)"}
+    table = rank_table(placed, [*keys, "_nan"], "_p", {name: F.expr(text) for name, text in sums.items()})
+    table = extend(table, {"_x": "below + (cnt + 1) / 2D - (n + 1) / 2D"})
+    known = "FILTER (WHERE NOT _nan)"
+    totals = table.groupBy(*keys).agg(
+        F.sum("cnt").alias("_n"),
+        *[F.expr(f"sum({text}) {known}").alias(name) for name, text in {
+            "k": "_k", "x": "_k * _x", "xx": "_k * _x * _x", "y": "_y", "yy": "_yy", "xy": "_x * _y",
+        }.items()],
+    )
+    # a constant column leaves rounding errors of the order of 1e-16 of its sum of squares
+    spread = {c: f"CASE WHEN {c}{c} - {c} * {c} / k > 1e-13D * {c}{c} THEN {c}{c} - {c} * {c} / k END" for c in ("x", "y")}
+    return extend(totals, {"_ic": f"CASE WHEN k > 0 THEN (xy - x * y / k) / sqrt(({spread['x']}) * ({spread['y']})) END"})
+
+
 def quantile_bins(df: DataFrame, keys: Sequence[str], value: str, bins: int = 10) -> DataFrame:
     """Add ``bin``: the quantile interval of ``value`` within its key, equal edges merged.
 

@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from barloom.functions.windows import extend, num
 from barloom.operators.classification import auc, classification_metrics, rank_ic
 from barloom.operators.features import build_features
-from barloom.operators.ledger import KEYS, impact_bps, scenario_ledgers, trade_stats
-from barloom.operators.risk import benchmark, drawdowns, risk_ratios, tail_risk, total_returns
+from barloom.operators.ledger import KEYS, impact_bps, scenario_ledgers, trade_measures, trade_stats
+from barloom.operators.risk import (
+    Figures, benchmark, drawdowns, ratio_figures, risk_ratios, summarise, tail_risk, total_figures, total_returns,
+)
 from barloom.session import cut_lineage
 
 
@@ -61,28 +63,26 @@ def compare_models(reports: DataFrame, metric: str = "sharpe") -> DataFrame:
 def cost_stress(held: DataFrame, keys: Sequence[str] = KEYS, **options) -> DataFrame:
     """Figures per cost level, difference to the cheapest level and the level where the Sharpe reaches zero.
 
-    A third of the level is commission, the rest slippage; market impact comes on top.
+    A third of the level is commission, the rest slippage; market impact comes on top. All figures come from one pass over the
+    ledgers, and a key's levels are compared where they lie, so the ledgers are neither written nor read again.
     """
     on = ("total_cost_bps", *keys)
-    booked = cut_lineage(scenario_ledgers(held, **options))
-    table = (
-        risk_ratios(booked, on)
-        .join(total_returns(booked, on), list(on))
-        .join(booked.groupBy(*on).agg(F.min("underwater").alias("max_dd")), list(on))
-        .join(trade_stats(booked, on), list(on))
-    )
-    edges = table.groupBy(*keys).agg(
-        F.min_by("sharpe", "total_cost_bps").alias("_cheapest"),
-        F.expr("max(struct(total_cost_bps AS c, sharpe AS s)) FILTER (WHERE sharpe >= 0)").alias("_last"),
-        F.expr("min(struct(total_cost_bps AS c, sharpe AS s)) FILTER (WHERE sharpe < 0)").alias("_first"),
-    )
+    booked = scenario_ledgers(held, **options).where(" AND ".join(f"{k} IS NOT NULL" for k in on))
+    deepest = Figures({"_worst": "min(underwater)"}, ("_worst AS max_dd",))
+    table = summarise(booked, on, ratio_figures(), total_figures(), deepest, Figures(*trade_measures()))
+    levels = f"OVER (PARTITION BY {', '.join(keys)})"
+    table = extend(table, {
+        "_cheapest": f"min_by(sharpe, total_cost_bps) {levels}",
+        "_last": f"max(CASE WHEN sharpe >= 0 THEN struct(total_cost_bps AS c, sharpe AS s) END) {levels}",
+        "_first": f"min(CASE WHEN sharpe < 0 THEN struct(total_cost_bps AS c, sharpe AS s) END) {levels}",
+    })
     impact = num(impact_bps())
     parts = (
         "round(total_cost_bps / 3, 4) AS commission_bps", "round(total_cost_bps - round(total_cost_bps / 3, 4), 4) AS slippage_bps",
         f"{impact} AS impact_bps", f"total_cost_bps + {impact} AS effective_bps",
     )
     zero = "_last.c + (0 - _last.s) * (_first.c - _last.c) / (_first.s - _last.s)"
-    return table.join(edges, list(keys)).selectExpr(
+    return table.selectExpr(
         *keys, "total_cost_bps", *parts, "sharpe", "ann_ret", "max_dd", "win_rate", "n_trades", "turnover",
         "sharpe - _cheapest AS sharpe_vs_cheapest", f"{zero} AS breakeven_bps",
     )
