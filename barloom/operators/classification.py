@@ -94,25 +94,22 @@ def roc_points(scores: DataFrame, keys: Sequence[str] = MODEL) -> DataFrame:
 def rank_ic(scored_returns: DataFrame, keys: Sequence[str] = MODEL, realised: str = "realised") -> DataFrame:
     """Spearman correlation of ``p`` and the realised return; 0 under five rows or for constant input.
 
-    Daily keys are ranked where they lie. Otherwise rows get the rank of their return, and these are summed by distinct ``p``: the
-    products of ranks follow from the sums, so ranks of ``p`` are not joined back to the rows.
+    Rows get the rank of their return, and these are summed by distinct ``p``: the products of ranks follow from the sums, so ranks
+    of ``p`` are not joined back to the rows. Daily keys are ranked where they lie.
     """
     keys = list(keys)
     complete = scored_returns.where(f"p IS NOT NULL AND {realised} IS NOT NULL")
-    if _daily(complete, keys):
-        both = complete.select(*keys, "p", realised)
-        ranked = with_mid_rank(with_mid_rank(both, keys, "p", "_rp", True), keys, realised, "_rr", True)
-        stats = ranked.groupBy(*keys).agg(F.corr("_rp", "_rr").alias("_ic"), F.count(F.lit(1)).alias("_n"))
-    else:
-        stats = _rank_sums(with_mid_rank(complete.select(*keys, "p", realised), keys, realised, "_rr", centred=True), keys)
+    daily = _daily(complete, keys)
+    ranked = with_mid_rank(complete.select(*keys, "p", realised), keys, realised, "_rr", daily, centred=True)
+    stats = _rank_sums(ranked, keys, daily)
     return stats.selectExpr(*keys, "CASE WHEN _n < 5 THEN 0D ELSE coalesce(nanvl(_ic, 0D), 0D) END AS ic")
 
 
-def _rank_sums(ranked: DataFrame, keys: Sequence[str]) -> DataFrame:
+def _rank_sums(ranked: DataFrame, keys: Sequence[str], daily: bool) -> DataFrame:
     """(keys, _ic, _n): correlation of the ranks of ``p`` with the centred ranks ``_rr``. NaN has no rank; such rows count in ``_n`` only."""
     placed = extend(ranked, {"_nan": "isnan(p)", "_p": "nanvl(p, 0D)"})
     sums = {"_k": "double(_rr IS NOT NULL)", "_y": "coalesce(_rr, 0D)", "_yy": "coalesce(_rr * _rr, 0D)"}
-    table = rank_table(placed, [*keys, "_nan"], "_p", {name: F.expr(text) for name, text in sums.items()})
+    table = rank_table(placed, [*keys, "_nan"], "_p", {name: F.expr(text) for name, text in sums.items()}, daily)
     table = extend(table, {"_x": "below + (cnt + 1) / 2D - (n + 1) / 2D"})
     known = "FILTER (WHERE NOT _nan)"
     totals = table.groupBy(*keys).agg(
