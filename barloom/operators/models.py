@@ -56,12 +56,16 @@ def linear_contributions(
 ) -> DataFrame:
     """(ticker, date, feature, value, contribution) with contribution = coefficient * (value - mean).
 
-    ``coefficients`` has one row per feature.
+    ``coefficients`` has one row per feature; with the means it is read as one small map, so no row is shuffled.
     """
     long = melt(df, columns, ["ticker", "date"]).where("value IS NOT NULL")
     means = long.groupBy("feature").agg(F.avg("value").alias("_mean"))
-    scaled = long.join(means.join(coefficients, "feature"), "feature")
-    return scaled.selectExpr("ticker", "date", "feature", "value", "coefficient * (value - _mean) AS contribution")
+    entry = F.struct("feature", F.struct("coefficient", "_mean"))
+    lookup = means.join(coefficients, "feature").agg(F.map_from_entries(F.collect_list(entry))).scalar()
+    scaled = long.withColumn("_of", lookup).where("map_contains_key(_of, feature)")
+    return scaled.selectExpr(
+        "ticker", "date", "feature", "value", "_of[feature].coefficient * (value - _of[feature]._mean) AS contribution"
+    )
 
 
 def mean_attribution(contributions: DataFrame) -> DataFrame:
