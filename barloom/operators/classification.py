@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.functions.ranks import linear_quantile, rank_table, with_mid_rank
+from barloom.functions.ranks import bucket_ranks, linear_quantile, over_lower, rank_table, value_bucket, with_mid_rank
 from barloom.functions.windows import extend, is_daily, num
 
 MODEL = ("model",)
@@ -67,15 +67,28 @@ def class_report(scores: DataFrame, keys: Sequence[str] = MODEL, threshold: floa
     )
 
 
-def auc(scores: DataFrame, keys: Sequence[str] = MODEL) -> DataFrame:
+def auc(scores: DataFrame, keys: Sequence[str] = MODEL, tasks: int | None = None) -> DataFrame:
     """ROC area from ranks; 0.5 when a class is missing. Works on distinct scores, not on rows. A missing or infinite score
-    counts as 0.5, as in the other figures."""
+    counts as 0.5, as in the other figures.
+
+    Daily keys are ranked where they lie. Others cross one shuffle in ``tasks`` tasks, and only totals of value buckets meet per key.
+    """
     sides = {"pos": F.expr("int(y = 1)"), "neg": F.expr("int(y = 0)")}
-    table = rank_table(predictions(scores), keys, "prob", sides, bounded=_daily(scores, keys))
-    area = table.groupBy(*keys).agg(
-        F.expr("sum(pos * (below_neg + neg / 2D))").alias("_area"),
-        F.expr("max(all_pos) * double(max(all_neg))").alias("_pairs"),
-    )
+    if _daily(scores, keys):
+        table = rank_table(predictions(scores), keys, "prob", sides, bounded=True)
+        area = table.groupBy(*keys).agg(
+            F.expr("sum(pos * (below_neg + neg / 2D))").alias("_area"),
+            F.expr("max(all_pos) * double(max(all_neg))").alias("_pairs"),
+        )
+    else:
+        dealt = [c for c in ("ticker",) if c in scores.columns and c not in keys]
+        ranked = bucket_ranks(predictions(scores), keys, "prob", sides, "neg", tasks, dealt)
+        buckets = ranked.groupBy(*keys, "_vb").agg(
+            F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), F.expr("sum(pos * (inside + neg / 2D))").alias("_inside")
+        )
+        area = over_lower(buckets, keys, "neg").groupBy(*keys).agg(
+            F.expr("sum(_inside + pos * lower)").alias("_area"), F.expr("sum(pos) * double(sum(neg))").alias("_pairs")
+        )
     return area.selectExpr(*keys, "coalesce(try_divide(_area, _pairs), 0.5D) AS auc")
 
 
@@ -91,32 +104,76 @@ def roc_points(scores: DataFrame, keys: Sequence[str] = MODEL) -> DataFrame:
     )
 
 
-def rank_ic(scored_returns: DataFrame, keys: Sequence[str] = MODEL, realised: str = "realised") -> DataFrame:
+def rank_ic(
+    scored_returns: DataFrame, keys: Sequence[str] = MODEL, realised: str = "realised", tasks: int | None = None
+) -> DataFrame:
     """Spearman correlation of ``p`` and the realised return; 0 under five rows or for constant input.
 
     Rows get the rank of their return, and these are summed by distinct ``p``: the products of ranks follow from the sums, so ranks
-    of ``p`` are not joined back to the rows. Daily keys are ranked where they lie.
+    of ``p`` are not joined back to the rows. Daily keys are ranked where they lie. For others rows are dealt twice, in ``tasks``
+    tasks: by buckets of the return and by buckets of ``p``.
     """
     keys = list(keys)
     complete = scored_returns.where(f"p IS NOT NULL AND {realised} IS NOT NULL")
-    daily = _daily(complete, keys)
-    ranked = with_mid_rank(complete.select(*keys, "p", realised), keys, realised, "_rr", daily, centred=True)
-    stats = _rank_sums(ranked, keys, daily)
+    if _daily(complete, keys):
+        ranked = with_mid_rank(complete.select(*keys, "p", realised), keys, realised, "_rr", True, centred=True)
+        stats = _rank_sums(ranked, keys)
+    else:
+        stats = _bucket_rank_sums(_bucket_mid_ranks(complete.select(*keys, "p", realised), keys, realised, tasks), keys, tasks)
     return stats.selectExpr(*keys, "CASE WHEN _n < 5 THEN 0D ELSE coalesce(nanvl(_ic, 0D), 0D) END AS ic")
 
 
-def _rank_sums(ranked: DataFrame, keys: Sequence[str], daily: bool) -> DataFrame:
+def _bucket_mid_ranks(rows: DataFrame, keys: Sequence[str], value: str, tasks: int | None) -> DataFrame:
+    """Rows with ``_yb``, a bucket of ``value``, and ``_rr``, its average rank within the key less the mean rank (null for NaN).
+
+    Rows are ranked inside their buckets; bucket totals come from the same shuffle and are joined back by bucket.
+    """
+    known = rows.where(" AND ".join(f"`{key}` IS NOT NULL" for key in keys))
+    bucket = F.coalesce(F.when(~F.isnan(value), value_bucket(F.col(value))), F.lit(_NAN_BUCKET))
+    bucketed = known.withColumn("_yb", bucket)
+    spread = bucketed.repartition(tasks, *keys, "_yb") if tasks else bucketed.repartition(*keys, "_yb")
+    # every column is asked for and none filtered, so that both readers want the same shuffle and Spark makes it once
+    ranked_rows = f"count_if(p IS NOT NULL AND NOT isnan(`{value}`)) AS cnt"
+    counted = spread.groupBy(*keys, "_yb").agg(F.expr(ranked_rows))
+    ordered = f"OVER (PARTITION BY {', '.join(keys)}, _yb ORDER BY `{value}`"
+    inside = f"rank() {ordered}) + (count(1) {ordered} RANGE BETWEEN CURRENT ROW AND CURRENT ROW) - 1) / 2D"
+    ranked = extend(spread, {"_inside": inside}).join(over_lower(counted, keys, "cnt", "_yb").drop("cnt"), [*keys, "_yb"])
+    return extend(ranked, {"_rr": f"CASE WHEN _yb <> {_NAN_BUCKET} THEN _inside + lower - (whole + 1) / 2D END"}).drop("_inside", "lower", "whole")
+
+
+_RANK_SUMS = {"_k": "double(_rr IS NOT NULL)", "_y": "coalesce(_rr, 0D)", "_yy": "coalesce(_rr * _rr, 0D)"}
+# Above every bucket of a number.
+_NAN_BUCKET = 1 << 62
+
+
+def _bucket_rank_sums(ranked: DataFrame, keys: Sequence[str], tasks: int | None) -> DataFrame:
+    """``_rank_sums`` with ranks of ``p`` inside value buckets; what lower buckets add to the ranks enters by the bucket totals."""
+    placed = extend(ranked, {"_nan": "isnan(p)", "_p": "nanvl(p, 0D)"})
+    sums = {"cnt": F.lit(1), **{name: F.expr(text) for name, text in _RANK_SUMS.items()}}
+    inside = bucket_ranks(placed, [*keys, "_nan"], "_p", sums, "cnt", tasks, ["_yb"])
+    inside = extend(inside, {"_x": "inside + (cnt + 1) / 2D"})
+    texts = {"cnt": "cnt", "k": "_k", "x": "_k * _x", "xx": "_k * _x * _x", "y": "_y", "yy": "_yy", "xy": "_x * _y"}
+    buckets = inside.groupBy(*keys, "_nan", "_vb").agg(*[F.expr(f"sum({text})").alias(f"_b{name}") for name, text in texts.items()])
+    moved = extend(over_lower(buckets, [*keys, "_nan"], "_bcnt"), {"_s": "lower - (whole + 1) / 2D"})
+    return _correlated(moved, keys, "_bcnt", {
+        "k": "_bk", "x": "_bx + _s * _bk", "xx": "_bxx + 2 * _s * _bx + _s * _s * _bk", "y": "_by", "yy": "_byy", "xy": "_bxy + _s * _by",
+    })
+
+
+def _rank_sums(ranked: DataFrame, keys: Sequence[str]) -> DataFrame:
     """(keys, _ic, _n): correlation of the ranks of ``p`` with the centred ranks ``_rr``. NaN has no rank; such rows count in ``_n`` only."""
     placed = extend(ranked, {"_nan": "isnan(p)", "_p": "nanvl(p, 0D)"})
-    sums = {"_k": "double(_rr IS NOT NULL)", "_y": "coalesce(_rr, 0D)", "_yy": "coalesce(_rr * _rr, 0D)"}
-    table = rank_table(placed, [*keys, "_nan"], "_p", {name: F.expr(text) for name, text in sums.items()}, daily)
+    table = rank_table(placed, [*keys, "_nan"], "_p", {name: F.expr(text) for name, text in _RANK_SUMS.items()}, True)
     table = extend(table, {"_x": "below + (cnt + 1) / 2D - (n + 1) / 2D"})
+    texts = {"k": "_k", "x": "_k * _x", "xx": "_k * _x * _x", "y": "_y", "yy": "_yy", "xy": "_x * _y"}
+    return _correlated(table, keys, "cnt", texts)
+
+
+def _correlated(table: DataFrame, keys: Sequence[str], count: str, texts: dict[str, str]) -> DataFrame:
+    """(keys, _ic, _n) from the terms of sums of rows, ranks, squares and products."""
     known = "FILTER (WHERE NOT _nan)"
     totals = table.groupBy(*keys).agg(
-        F.sum("cnt").alias("_n"),
-        *[F.expr(f"sum({text}) {known}").alias(name) for name, text in {
-            "k": "_k", "x": "_k * _x", "xx": "_k * _x * _x", "y": "_y", "yy": "_yy", "xy": "_x * _y",
-        }.items()],
+        F.sum(count).alias("_n"), *[F.expr(f"sum({text}) {known}").alias(name) for name, text in texts.items()]
     )
     # a constant column leaves rounding errors of the order of 1e-16 of its sum of squares
     spread = {c: f"CASE WHEN {c}{c} - {c} * {c} / k > 1e-13D * {c}{c} THEN {c}{c} - {c} * {c} / k END" for c in ("x", "y")}
