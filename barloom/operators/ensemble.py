@@ -39,9 +39,10 @@ def equal_mean(scores: DataFrame) -> DataFrame:
     return scores.groupBy(*BAR).agg(F.expr("avg(nanvl(p, null))").alias("p"))
 
 
-def score_matrix(scores: DataFrame, models: Sequence[str]) -> DataFrame:
-    """One column per model; the model list is given, so no job is needed to find it."""
-    return scores.groupBy(*BAR).pivot("model", list(models)).agg(F.first("p"))
+def score_matrix(scores: DataFrame, models: Sequence[str], **others: str) -> DataFrame:
+    """One column per model, and ``others``: aggregates by name. The model list is given, so no job is needed to find it."""
+    columns = [F.first(F.when(F.col("model") == m, F.col("p")), ignorenulls=True).alias(m) for m in models]
+    return scores.groupBy(*BAR).agg(*columns, *[F.expr(text).alias(name) for name, text in others.items()])
 
 
 def model_correlations(scores: DataFrame, models: Sequence[str]) -> DataFrame:
@@ -52,11 +53,11 @@ def model_correlations(scores: DataFrame, models: Sequence[str]) -> DataFrame:
     return row.selectExpr(f"stack({len(cells)}, {', '.join(cells)}) AS (model, rival, corr)")
 
 
-def ensemble_weights(scores: DataFrame, models: Sequence[str]) -> DataFrame:
-    """(model, auc, adjusted, weight): areas lowered for being close to a better model, then a softmax."""
+def ensemble_weights(scores: DataFrame, models: Sequence[str], tasks: int | None = None) -> DataFrame:
+    """(model, auc, adjusted, weight): areas lowered for being close to a better model, then a softmax. ``tasks`` as in ``auc``."""
     everyone = "OVER (PARTITION BY 1)"  # a few models: one row each
     areas = extend(
-        auc(scores.where(F.col("model").isin(list(models)))),
+        auc(scores.where(F.col("model").isin(list(models))), tasks=tasks),
         {"_areas": f"map_from_entries(collect_list(struct(model, auc)) {everyone})"},
     )
     fine = f"CASE WHEN _areas[rival] > auc THEN greatest(corr - {num(TOLERATED)}, 0D) ELSE 0D END"
@@ -70,8 +71,13 @@ def ensemble_weights(scores: DataFrame, models: Sequence[str]) -> DataFrame:
 
 
 def weighted_mean(scores: DataFrame, weights: DataFrame, parity: bool = False) -> DataFrame:
-    """Weighted mean per bar over the models present, weights renormalised; null when none is (``parity=True``: 0)."""
-    joined = scores.join(weights.select("model", "weight"), "model")
+    """Weighted mean per bar over the models present, weights renormalised; null when none is (``parity=True``: 0).
+
+    The weights are read as one small map: a join by model would put all rows of a model in one task.
+    """
+    lookup = weights.agg(F.map_from_entries(F.collect_list(F.struct("model", "weight")))).scalar()
+    known = scores.withColumn("_weights", lookup).where("map_contains_key(_weights, model)")
+    joined = extend(known, {"weight": "_weights[model]"})
     summed = joined.groupBy(*BAR).agg(
         F.expr("sum(weight * p) FILTER (WHERE p IS NOT NULL)").alias("_sum"),
         F.expr("sum(weight) FILTER (WHERE p IS NOT NULL)").alias("_weight"),
@@ -88,9 +94,11 @@ def platt_fit(scores: DataFrame, models: Sequence[str], c: float = 1.0) -> DataF
 
 
 def calibrate(scores: DataFrame, calibration: DataFrame) -> DataFrame:
-    """Replace ``p`` by its calibrated value; models without a calibration keep theirs."""
-    joined = scores.join(calibration, "model", "left")
-    value = "coalesce(1 / (1 + exp(-(intercept + slope * p))), p)"
+    """Replace ``p`` by its calibrated value; models without a calibration keep theirs. The calibration is read as one small map."""
+    entry = F.struct("model", F.struct("intercept", "slope"))
+    lookup = calibration.where("model IS NOT NULL").agg(F.map_from_entries(F.collect_list(entry))).scalar()
+    joined = scores.withColumn("_of", lookup)
+    value = "coalesce(1 / (1 + exp(-(_of[model].intercept + _of[model].slope * p))), p)"
     return joined.selectExpr(*[f"{value} AS p" if c == "p" else c for c in scores.columns])
 
 
@@ -115,8 +123,8 @@ def _complete(models: Sequence[str]) -> str:
 
 def stack_fit(scores: DataFrame, models: Sequence[str], c: float = 0.5) -> Stack:
     """Logistic meta-model on standardised model columns; bars lacking a score are left out of the fit."""
-    labels = scores.groupBy(*BAR).agg(F.max("y").cast("double").alias("_label"))
-    matrix = cut_lineage(score_matrix(scores, models).where(_complete(models)).join(labels, list(BAR)).where("_label IS NOT NULL"))
+    known = scores.where(" AND ".join(f"{c} IS NOT NULL" for c in BAR))
+    matrix = cut_lineage(score_matrix(known, models, _label="double(max(y))").where(f"{_complete(models)} AND _label IS NOT NULL"))
     row = matrix.agg(*[f(m).alias(f"{name}_{i}") for i, m in enumerate(models) for name, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
     if row["m_0"] is None:
         raise ValueError("no bar has a score of every model")

@@ -44,7 +44,8 @@ def newton_logistic(
     best: dict[tuple, float] = {}
     for _ in range(STEPS):
         table = spark.createDataFrame([(*k, b.tolist()) for k, b in tried.items()], schema)
-        stepped = data.join(table, list(keys), "left").withColumn("_z", F.expr(z)).withColumn("_s", F.expr("1 / (1 + exp(-_z))"))
+        # the table comes from the driver, one row per group; shuffled, all rows of a group would meet in one task
+        stepped = data.join(F.broadcast(table), list(keys), "left").withColumn("_z", F.expr(z)).withColumn("_s", F.expr("1 / (1 + exp(-_z))"))
         moved = False
         for row in stepped.groupBy(*keys).agg(*sums).collect():  # one row per group
             k = tuple(row[key] for key in keys)
