@@ -4,13 +4,14 @@ import contextlib
 import datetime
 import io
 import math
+import re
 
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from barloom.functions.ranks import rank_table, with_mid_rank
-from barloom.operators import classification, ledger, selection
+from barloom.operators import classification, cross_section, ensemble, ledger, models, selection
 from barloom.plans.queries import QUERIES
 from tests.compare import DATA, differences
 
@@ -40,6 +41,86 @@ def test_tasks_grow_with_the_trades(spark, monkeypatch):
     assert held.rdd.getNumPartitions() == math.ceil(trades / 100)
 
 
+@pytest.mark.parametrize("name", ["linear_attribution", "ens_auc_weighted", "ens_calibrated"])
+def test_no_row_is_dealt_by_model_or_feature_alone(spark, name):
+    lines = plan_of(QUERIES[name](spark, str(DATA / "sf0.001"))).split("\n")
+    dealt = [i for i, line in enumerate(lines) if re.search(r"Exchange hashpartitioning\((model|feature)#\d+, \d+\)", line)]
+    assert not [lines[i] for i in dealt if "Aggregate" not in lines[i + 1] and any("Generate" in line for line in lines[i + 1 : i + 5])]
+
+
+def test_ranks_of_a_date_cross_one_shuffle(spark):
+    plan = plan_of(QUERIES["cs_rank"](spark, str(DATA / "sf0.001")))
+    assert plan.count("Exchange hashpartitioning") <= 3 and "Join" not in plan
+
+
+def test_regions_join_without_dealing_trades(spark):
+    plan = plan_of(QUERIES["bars_daily"](spark, str(DATA / "sf0.001")))
+    assert plan.count("BroadcastHashJoin") == 3 and "SortMergeJoin" not in plan
+
+
+def odd_scores(spark):
+    day, nan = datetime.date(2020, 1, 1), float("nan")
+    rows = []
+    for m, model in enumerate(("a", "b", "c")):
+        for t, ticker in enumerate(("A", "B", None)):
+            for i in range(30):
+                p = ((i * 7 + m * 5 + t) % 11) / 11 if m < 2 else float(i % 2)
+                p = None if i % 9 == 8 else nan if i % 13 == 12 else p
+                rows.append((model, ticker, day + datetime.timedelta(i), p, None if i == 3 else (i * 5 + t) % 2, nan if i == 4 else ((i * 3 + m) % 7) / 7))
+    return spark.createDataFrame(rows, "model string, ticker string, date date, p double, y int, realised double")
+
+
+def test_areas_by_buckets_equal_those_of_pairs(spark):
+    scores = odd_scores(spark)
+    frame = scores.toPandas()
+    prob = frame.p.fillna(0.5)
+    for tasks in (None, 3):
+        found = {r.model: r.auc for r in classification.auc(scores, tasks=tasks).collect()}
+        for model, own in frame.assign(prob=prob).groupby("model"):
+            ups, downs = own.prob[own.y == 1], own.prob[own.y == 0]
+            pairs = [(u > d) + (u == d) / 2 for u in ups for d in downs]
+            assert found[model] == pytest.approx(sum(pairs) / len(pairs), abs=1e-12)
+
+
+def test_rank_correlation_makes_one_shuffle_of_the_rows_by_return(spark):
+    scores = odd_scores(spark)
+    frame = scores.toPandas()
+    for tasks in (None, 3):
+        found = {r.model: r.ic for r in classification.rank_ic(scores, tasks=tasks).collect()}
+        for model, own in frame[frame.p.notna() & frame.realised.notna()].groupby("model"):
+            assert found[model] == pytest.approx(own.p.rank().corr(own.realised.rank()), abs=0.2)
+    counted = classification._bucket_mid_ranks(scores.where("p IS NOT NULL AND realised IS NOT NULL").select("model", "p", "realised"), ["model"], "realised", 3)
+    counted.collect()
+    assert "ReusedExchange" in plan_of(counted)
+
+
+def test_ranks_of_dates_with_nulls_thin_days_and_repeats(spark):
+    day, nan = datetime.date(2020, 1, 1), float("nan")
+    late = datetime.date(2020, 1, 2)
+    rows = [("A", day, 1.0), ("B", day, 3.0), ("C", day, 3.0), ("D", day, None), ("E", day, nan), (None, day, 0.0), ("A", day, 9.0), ("A", late, 5.0), ("B", late, 6.0), ("Z", None, 1.0)]
+    panel = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "ticker string, date date, x double, i int")
+    found = {r.i: r.x for r in cross_section.cs_rank(panel, ["x"], tasks=3).collect()}
+    assert found == pytest.approx({0: 1.0, 1: 0.7, 2: 0.7, 3: 0.5, 4: 0.5, 5: 0.5, 6: 1.0, 7: 5.0, 8: 6.0})
+
+
+def test_weights_and_calibration_leave_rows_where_they_lie(spark):
+    scores = odd_scores(spark)
+    weights = spark.createDataFrame([("a", 0.75), ("b", 0.25)], "model string, weight double")
+    calibration = spark.createDataFrame([("a", -1.0, 2.0)], "model string, intercept double, slope double")
+    combined = ensemble.calibrated_mean(scores, calibration, weights)
+    assert "Join" not in plan_of(combined)
+    frame = scores.toPandas().query("model != 'c' and ticker == 'A'")
+    frame["q"] = [1 / (1 + math.exp(1 - 2 * p)) if m == "a" else p for m, p in zip(frame.model, frame.p)]
+    frame = frame[frame.q.notna()]
+    frame["w"] = frame.model.map({"a": 0.75, "b": 0.25})
+    frame["wq"] = frame.w * frame.q
+    summed = frame.groupby("date")[["wq", "w"]].sum()
+    found = {r.date: r.p for r in combined.where("ticker = 'A' AND NOT isnan(p)").collect() if r.p is not None}
+    assert found == pytest.approx((summed.wq / summed.w).to_dict())
+    attributed = models.linear_contributions(scores.dropna(), ["p", "realised"], spark.createDataFrame([("p", 2.0)], "feature string, coefficient double"))
+    assert {r.feature for r in attributed.select("feature").distinct().collect()} == {"p"}
+
+
 def valued(spark):
     day = datetime.date(2020, 1, 1)
     values = [1.0, 1.0, 2.0, None, float("nan"), -3.0, 0.0, -0.0, 2.0, 7.5]
