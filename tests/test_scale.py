@@ -175,3 +175,18 @@ def test_scores_that_carry_prices_give_the_same_ledger(spark):
     for parity in (False, True):
         carried = scores.join(ledger.with_execution(bars, parity).drop("pos", "n", "open"), ["ticker", "date"])
         assert differences(ledger.ledger(carried, parity=parity).toPandas(), ledger.ledger(scores, bars, parity=parity).toPandas()) is None
+
+
+def test_windows_of_a_daily_series_share_the_sort_of_its_ranking(spark):
+    lines = plan_of(QUERIES["rolling_sharpe"](spark, str(DATA / "sf0.001"))).split("\n")
+    assert len([line for line in lines if "Sort [" in line]) <= 4 and not [line for line in lines if "Sort [" in line and "blk" in line]
+
+
+def test_trades_are_dealt_to_fewer_tasks_than_their_bars(spark, monkeypatch):
+    from barloom.plans import fixtures
+
+    monkeypatch.setattr(fixtures, "TASK_TRADES", 100)
+    trades = spark.read.parquet(str(DATA / "sf0.001" / "lineitem.parquet")).count()
+    plan = plan_of(fixtures.bars(spark, str(DATA / "sf0.001")))
+    dealt = [int(n) for n in re.findall(r"Exchange hashpartitioning\(ticker#\d+, date#\d+, (\d+)\)", plan)]
+    assert dealt == [max(spark.sparkContext.defaultParallelism, math.ceil(math.ceil(trades / 100) / fixtures.TRADE_SHARE))]
