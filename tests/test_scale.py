@@ -177,6 +177,27 @@ def test_scores_that_carry_prices_give_the_same_ledger(spark):
         assert differences(ledger.ledger(carried, parity=parity).toPandas(), ledger.ledger(scores, bars, parity=parity).toPandas()) is None
 
 
+def test_cost_levels_are_not_sorted_apart(spark):
+    plan = plan_of(QUERIES["cost_stress"](spark, str(DATA / "sf0.001")))
+    assert not [line for line in plan.split("\n") if "Sort [" in line and "total_cost_bps" in line]
+
+
+def test_cost_levels_side_by_side_equal_ledgers_of_each_level(spark):
+    day = datetime.date(2020, 1, 1)
+    bars = spark.createDataFrame(
+        [(t, day + datetime.timedelta(i), 100.0 + (i * 7) % 13, 101.0 + i % 5) for t in "AB" for i in range(40)],
+        "ticker string, date date, open double, close double",
+    )
+    scores = bars.selectExpr("'m' AS model", "ticker", "date", "CASE WHEN day(date) % 9 > 0 THEN day(date) % 10 / 10D END AS p")
+    held = ledger.positions(scores, bars).cache()
+    for extra in (0.0, 1.0):
+        together = ledger.scenario_ledgers(held, extra_leg=extra)
+        for level in ledger.COST_SCENARIOS:
+            rate = (level + ledger.impact_bps()) / 10000
+            found = together.where(f"total_cost_bps = {level}").drop("total_cost_bps", "_rate")
+            assert differences(found.toPandas(), ledger.equity(held, rate, extra_leg=extra).toPandas()) is None
+
+
 def test_windows_of_a_daily_series_share_the_sort_of_its_ranking(spark):
     lines = plan_of(QUERIES["rolling_sharpe"](spark, str(DATA / "sf0.001"))).split("\n")
     assert len([line for line in lines if "Sort [" in line]) <= 4 and not [line for line in lines if "Sort [" in line and "blk" in line]
