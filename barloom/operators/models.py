@@ -1,16 +1,17 @@
-"""Boosted-tree and logistic scoring with MLlib, and linear attributions."""
+"""Boosted-tree and logistic scoring, and linear attributions."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barloom.functions.windows import extend
+from barloom.operators.histogram_trees import BoostedTrees, boosted_trees
 from barloom.operators.scaling import melt
 from barloom.operators.splits import early_stop_rows, positive_weight
 
@@ -18,18 +19,15 @@ from barloom.operators.splits import early_stop_rows, positive_weight
 def gbt_fit(
     train: DataFrame, columns: Sequence[str], label: str, trees: int = 600, depth: int = 3, rate: float = 0.02,
     subsample: float = 0.75, column_share: float = 0.70, min_child: int = 5, min_gain: float = 0.0, holdout: float = 0.10,
-):
+) -> BoostedTrees:
     """Boosted trees with positive-class weights; the last rows of each ticker decide when to stop."""
     marked = early_stop_rows(train.dropna(subset=[*columns, label]), holdout)
-    weight = positive_weight(train, label).scalar()
-    weighted = marked.withColumn("_weight", F.when(F.col(label) == 1, weight).otherwise(1.0))
-    assembled = VectorAssembler(inputCols=list(columns), outputCol="features").transform(weighted)
-    booster = GBTClassifier(
-        labelCol=label, weightCol="_weight", validationIndicatorCol="is_validation", maxIter=trees, maxDepth=depth,
-        stepSize=rate, subsamplingRate=subsample, featureSubsetStrategy=str(column_share),
-        minInstancesPerNode=min_child, minInfoGain=min_gain, validationTol=0.0, seed=42,
+    weight = positive_weight(train, label).first()["pos_weight"]
+    keyed = marked.withColumn("_key", F.xxhash64("ticker", "date", *columns))
+    return boosted_trees(
+        keyed, columns, label, weight, trees=trees, depth=depth, rate=rate, subsample=subsample,
+        column_share=column_share, min_child=min_child, min_gain=min_gain,
     )
-    return booster.fit(assembled.select("features", label, "_weight", "is_validation"))
 
 
 def logistic_fit(train: DataFrame, columns: Sequence[str], label: str, strength: float = 0.01):
@@ -41,12 +39,13 @@ def logistic_fit(train: DataFrame, columns: Sequence[str], label: str, strength:
 
 def score(model, df: DataFrame, columns: Sequence[str], name: str, label: str | None = None) -> DataFrame:
     """(model, ticker, date, p[, y]) for rows with all features present."""
-    assembled = VectorAssembler(inputCols=list(columns), outputCol="features").transform(
-        df.dropna(subset=list(columns))
-    )
-    scored = model.transform(assembled).withColumns(
-        {"p": vector_to_array("probability")[1], "model": F.lit(name)}
-    )
+    whole = df.dropna(subset=list(columns))
+    if isinstance(model, BoostedTrees):
+        scored = whole.withColumn("p", model.probability())
+    else:
+        assembled = VectorAssembler(inputCols=list(columns), outputCol="features").transform(whole)
+        scored = model.transform(assembled).withColumn("p", vector_to_array("probability")[1])
+    scored = scored.withColumn("model", F.lit(name))
     target = [] if label is None else [F.col(label).cast("int").alias("y")]
     return scored.select("model", "ticker", "date", "p", *target)
 

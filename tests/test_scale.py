@@ -6,13 +6,15 @@ import io
 import math
 import re
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from barloom.functions.ranks import rank_table, with_mid_rank
-from barloom.operators import classification, cross_section, ensemble, ledger, models, selection
+from barloom.operators import classification, cross_section, ensemble, histogram_trees, ledger, models, selection, splits
 from barloom.plans.queries import QUERIES
+from barloom.session import cut_lineage
 from tests.compare import DATA, differences
 
 
@@ -211,3 +213,64 @@ def test_trades_are_dealt_to_fewer_tasks_than_their_bars(spark, monkeypatch):
     plan = plan_of(fixtures.bars(spark, str(DATA / "sf0.001")))
     dealt = [int(n) for n in re.findall(r"Exchange hashpartitioning\(ticker#\d+, date#\d+, (\d+)\)", plan)]
     assert dealt == [max(spark.sparkContext.defaultParallelism, math.ceil(math.ceil(trades / 100) / fixtures.TRADE_SHARE))]
+
+
+def labelled_rows(spark, seed=5, tickers=6, days=200):
+    """Three features of few values, a label that depends on two of them."""
+    rng = np.random.default_rng(seed)
+    n = tickers * days
+    a, b, c = rng.integers(0, 12, n) / 4, rng.integers(0, 9, n) - 4.0, rng.integers(0, 20, n) * 1.5
+    up = (rng.random(n) < 1 / (1 + np.exp(1 - a + 0.6 * b * (c > 12)))).astype(int)
+    day = np.tile(pd.date_range("2020-01-01", periods=days).date, tickers)
+    return spark.createDataFrame(pd.DataFrame(dict(ticker=np.repeat([f"T{k}" for k in range(tickers)], days), date=day, a=a, b=b, c=c, up=up)))
+
+
+@pytest.mark.parametrize("columns, depth", [(["a", "b", "c"], 3), (["a", "b"], 4), (["b"], 2), (["a", "b", "c"], 1)])
+@pytest.mark.parametrize("holdout", [0.0, 0.2])
+def test_boosted_trees_equal_those_of_the_library(spark, columns, depth, holdout):
+    from pyspark.ml.classification import GBTClassifier
+    from pyspark.ml.feature import VectorAssembler
+
+    rows = labelled_rows(spark).cache()
+    ours = models.gbt_fit(rows, columns, "up", trees=5, depth=depth, rate=0.3, subsample=1.0, column_share=1.0, holdout=holdout)
+    marked = splits.early_stop_rows(rows, holdout)
+    weight = splits.positive_weight(rows, "up").first()["pos_weight"]
+    assembled = VectorAssembler(inputCols=columns, outputCol="features").transform(marked.withColumn("_w", F.when(F.col("up") == 1, weight).otherwise(1.0)))
+    held = {"validationIndicatorCol": "is_validation"} if holdout else {}
+    theirs = GBTClassifier(labelCol="up", weightCol="_w", maxIter=5, maxDepth=depth, stepSize=0.3, minInstancesPerNode=5, validationTol=0.0, **held).fit(assembled)
+    assert len(ours.trees) == theirs.getNumTrees
+    seen = [models.score(m, rows, columns, "m", "up").toPandas().sort_values(["ticker", "date"]) for m in (ours, theirs)]
+    np.testing.assert_allclose(seen[0]["p"], seen[1]["p"], atol=1e-9)
+
+
+def test_boosted_trees_do_not_depend_on_how_rows_are_dealt(spark, monkeypatch):
+    monkeypatch.setattr(histogram_trees, "LEAST_ROWS", 300)
+    rows, columns = labelled_rows(spark), ["a", "b", "c"]
+    found = [models.gbt_fit(rows.repartition(n), columns, "up", trees=6, rate=0.3).trees for n in (1, 5)]
+    assert len(found[0]) == len(found[1])
+    for one, other in zip(*found):
+        for x, y in zip(one, other):
+            np.testing.assert_allclose(x, y)
+
+
+def test_pairs_of_columns_give_the_trees_of_single_levels(spark, monkeypatch):
+    rows, columns = labelled_rows(spark), ["a", "b", "c"]
+    found = []
+    for most in (5, 0):
+        monkeypatch.setattr(histogram_trees, "PAIRED_COLUMNS", most)
+        found.append(models.gbt_fit(rows, columns, "up", trees=23, rate=0.1, holdout=0.0).trees)
+    for one, other in zip(*found):
+        for x, y in zip(one, other):
+            np.testing.assert_allclose(x, y)
+
+
+def test_boosted_trees_take_two_jobs_a_tree(spark):
+    """Two sums a tree, a checkpoint every twenty trees; the library took five jobs and more."""
+    context, rows = spark.sparkContext, cut_lineage(labelled_rows(spark))
+    taken = []
+    for trees in (2, 12):
+        context.setJobGroup(f"trees-{trees}", "count of jobs")
+        models.gbt_fit(rows, ["a", "b", "c"], "up", trees=trees, holdout=0.0)
+        taken.append(len(context.statusTracker().getJobIdsForGroup(f"trees-{trees}")))
+    context.setLocalProperty("spark.jobGroup.id", None)
+    assert taken[1] - taken[0] <= 2 * 10
