@@ -15,6 +15,7 @@ import json
 import os
 import re
 from collections.abc import Callable, Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -99,7 +100,10 @@ class ChunkEncoder:
 
     def _words(self, words: list[str], lead: str) -> tuple[np.ndarray, np.ndarray]:
         """Ids of words of letters, one after another, and the number of ids of each; told apart by the bytes of the tokens."""
-        spelled = [self._spelled(w, lead) for w in words]
+        if self.word_ends:
+            spelled = [self._spelled(w, lead) for w in words]
+        else:
+            spelled = [lead + w if w.isascii() else self._spelled(w, lead) for w in words]
         ids = np.array(self.plain.encode_batch_fast([" ".join(spelled)], add_special_tokens=False)[0].ids, np.uint32)
         ends = np.cumsum(np.fromiter(map(len, spelled), np.int64, len(spelled)))
         upto = np.cumsum(self.token_bytes[ids])
@@ -140,7 +144,11 @@ class ChunkEncoder:
         words: dict[str, list[str]] = {"": [], _FIRST: []}
         joined: dict[tuple[str, str], list[tuple[str, str]]] = {}
         others, bases = [], {}
+        plain = words[""]
         for c in new:
+            if c.isalpha() and (c.isascii() or max(c) < "\u0100"):
+                plain.append(c)
+                continue
             mark = c[0] if c[:1] in _MARKS and c else ""
             core = c[1:] if mark else c
             stop = core[-1] if core[-1:] in _STOPS and core else ""
@@ -182,15 +190,17 @@ class ChunkEncoder:
 
     def _places(self, words: list[str]) -> np.ndarray:
         """Memo places of distinct chunks."""
-        at = np.array([self.memo.get(w, -1) for w in words], np.int64)
+        at = np.fromiter(map(self.memo.get, words, repeat(-1)), np.int64, len(words))
         if len(missing := np.flatnonzero(at < 0)):
-            new = [words[i] for i in missing]
+            new = [words[i] for i in missing.tolist()]
             if len(self.memo) + len(new) > self.limit:
                 often = np.flatnonzero(self.seen[: len(self.memo)] > 1)
                 self._reset(often if len(often) < self.limit // 2 else often[np.argsort(-self.seen[often])[: self.limit // 2]])
-                new = [w for w in words if w not in self.memo]
+                at = np.fromiter(map(self.memo.get, words, repeat(-1)), np.int64, len(words))
+                missing = np.flatnonzero(at < 0)
+                new = [words[i] for i in missing.tolist()]
             self._learn(new)
-            at = np.array([self.memo[w] for w in words], np.int64)
+            at[missing] = np.fromiter(map(self.memo.__getitem__, new), np.int64, len(new))
         self.seen[at] += 1
         return at
 

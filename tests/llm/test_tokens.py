@@ -185,3 +185,29 @@ def test_piece_counts(docs, texts, none):
         expected[(i, len(counts), sum(counts), max(counts, default=0))] += 1
     assert Counter(map(tuple, piece_counts.count(docs).collect())) == expected
     assert piece_counts.count(none).count() == 0
+
+
+def test_known_chunks_are_looked_up_once():
+    class Counted(dict):
+        asked = 0
+
+        def __getitem__(self, key):
+            Counted.asked += 1
+            return super().__getitem__(key)
+
+    code = ChunkEncoder(vocabulary_path("byte_bpe_50k.json"))
+    known = " ".join(f"w{'abcdefgh'[k % 8]}{'xyz'[k % 3]}" for k in range(500))
+    list(code.encode_texts(pa.array([known])))
+    code.memo = Counted(code.memo)
+    found = list(code.encode_texts(pa.array([known + " unseen andmore. naïve, last\nline"])))[0]
+    assert Counted.asked <= 10  # the new chunks and the words within them, not the known ones
+    assert found.tolist() == code.tokenizer.encode(known + " unseen andmore. naïve, last\nline", add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_a_memo_that_empties_gives_the_same_ids(name):
+    texts = [" ".join(f"{'éaAb'[k % 4]}{'xyzw'[j % 4] * (k % 7)}{'., ;'[j % 4]}" for j in range(k, k + 9)) for k in range(60)]
+    small, whole = ChunkEncoder(vocabulary_path(name), memo=12), ChunkEncoder(vocabulary_path(name))
+    for text in texts:
+        ids = whole.tokenizer.encode(text, add_special_tokens=False).ids
+        assert [list(e.encode_texts(pa.array([text])))[0].tolist() for e in (small, whole)] == [ids, ids]
