@@ -1,12 +1,19 @@
+import contextlib
+import datetime
+import io
+
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from barloom.functions.expanding import expanding_rank
 from barloom.functions.ranks import quantiles, with_mid_rank
 from barloom.functions.rolling import Roll, rolling
 from barloom.functions.windows import ewm_columns, extend, in_segments, running, with_position
 from barloom.operators.features import FAMILIES, build_features
+from barloom.plans.queries import QUERIES
+from tests.compare import DATA
 from tests.conftest import ordered
 
 
@@ -115,3 +122,43 @@ def test_quantiles_and_ranks_are_exact(bars, walk):
     ranked = ordered(with_mid_rank(tied, ["ticker"], "v", "r"), "ticker", "date")
     for _, part in ranked.groupby("ticker"):
         close_to(part.r, part.v.rank(), 1e-12)
+
+
+def test_ranks_of_daily_series_cross_no_shuffle_of_their_own(spark):
+    shown = io.StringIO()
+    with contextlib.redirect_stdout(shown):
+        QUERIES["feat_vol_rank"](spark, str(DATA / "sf0.001")).explain()
+    plan = shown.getvalue()
+    assert plan.count("Exchange hashpartitioning") <= 2 and plan.count("Sort [ticker") <= 3 and "Generate" not in plan
+
+
+def test_expanding_rank_of_daily_series_with_odd_values_and_any_order(spark):
+    rng, nan = np.random.default_rng(5), float("nan")
+    odd = [None, nan, float("inf"), float("-inf"), -0.0, 0.0, 1.0, 2.0]
+    series = {t: [odd[i] for i in rng.integers(0, len(odd), 400)] for t in ("A", "B", None)}
+    day = datetime.date(2020, 1, 1)
+    rows = [(t, day + datetime.timedelta(i), v) for t, values in series.items() for i, v in enumerate(values)]
+    rows = [rows[i] for i in rng.permutation(len(rows))]
+    positioned = with_position(spark.createDataFrame(rows, "ticker string, date date, v double"))
+    found = {(r.ticker, r.date): r.v_rank for r in expanding_rank(positioned.repartition(7, "date"), {"v_rank": "v"}).collect()}
+    assert len(found) == 1200
+    late = expanding_rank(positioned, {"v_rank": "v"}).where(F.col("date") >= day + datetime.timedelta(390)).collect()
+    assert {(r.ticker, r.date): r.v_rank for r in late} == {k: v for k, v in found.items() if k[1] >= day + datetime.timedelta(390)}
+    place = {v: (2.0 if v != v else 1.0 if v == float("inf") else -1.0 if v == float("-inf") else v / 4) for v in odd if v is not None}
+    for t, values in series.items():
+        past = []
+        for i, v in enumerate(values):
+            if v is None:
+                assert found[t, day + datetime.timedelta(i)] is None
+                continue
+            past.append(2.0 if v != v else place[v])
+            below, same = sum(x < past[-1] for x in past), sum(x == past[-1] for x in past)
+            assert found[t, day + datetime.timedelta(i)] == (below + (same + 1) / 2) / len(past)
+
+
+def test_expanding_rank_refuses_series_out_of_order(spark):
+    rows = [("A", datetime.date(2020, 1, 1) + datetime.timedelta(i), i, 10, float(i)) for i in reversed(range(10))]
+    frame = spark.createDataFrame(rows, "ticker string, date date, pos long, n long, v double").coalesce(1)
+    assert [r.r for r in expanding_rank(frame, {"r": "v"}).collect()] == [1.0] * 10
+    with pytest.raises(Exception, match="order of its positions"):
+        expanding_rank(frame, {"r": "v"}, in_order=True).collect()
