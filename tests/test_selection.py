@@ -3,7 +3,10 @@
 import numpy as np
 import pandas as pd
 
-from barloom.operators import scaling, selection, splits
+from barloom.operators import features, scaling, selection, splits
+from barloom.plans.oracle import ORACLES
+from barloom.plans.queries import QUERIES
+from tests.compare import DATA
 
 
 def panel(spark, sizes, seed=3):
@@ -74,3 +77,26 @@ def test_sequences_stay_within_their_split(spark):
             np.testing.assert_array_equal(np.array(row["sequence"]), part[["signal", "noise"]].iloc[at - 50 : at].to_numpy())
             assert row["label"] == part["target_1d"].iloc[at]
     assert scaling.make_sequences(rows, ["signal"], "target_1d").count() == 80
+
+
+def test_registered_selection_ranks_all_indicators_and_keeps_the_published_number(spark, monkeypatch):
+    asked = []
+    whole = selection.mutual_information
+    monkeypatch.setattr(selection, "mutual_information", lambda folded, columns, *a, **k: asked.append(list(columns)) or whole(folded, columns, *a, **k))
+    best = QUERIES["select_top_k"](spark, str(DATA / "sf0.001")).collect()
+    assert asked == [list(features.FEATURES)] and len(features.FEATURES) == 109
+    assert len(best) == selection.TOP_K == 60 and all(features.FEATURES[r["ordinal"]] == r["feature"] for r in best)
+    assert all(f"'{c}'" in ORACLES["select_top_k"] for c in features.FEATURES) and "LIMIT 60" in ORACLES["select_top_k"]
+
+
+def test_label_correlation_skips_missing_values_and_constants(spark):
+    rows = panel(spark, {"A": 300}).selectExpr(
+        "0 AS fold", "target_1d", "signal", "7D AS noise", "CASE WHEN day(date) > 9 THEN weak END AS weak", "double(null) AS gone"
+    )
+    found = {r["feature"]: r["tree"] for r in selection.label_correlation(rows, [*COLUMNS, "gone"], "target_1d").collect()}
+    own = rows.toPandas()
+    assert set(found) == set(COLUMNS) and found["noise"] is None
+    for c in ("signal", "weak"):
+        assert abs(found[c] - abs(own[c].corr(own.target_1d))) < 1e-12
+    one_label = rows.selectExpr("fold", "1D AS target_1d", "signal")
+    assert [r["tree"] for r in selection.label_correlation(one_label, ["signal"], "target_1d").collect()] == [None]
