@@ -1,10 +1,13 @@
 """Boosted trees over all rows of a table: a Spark job for each level of a tree, or for two levels where columns are few.
 
-The rows lie in blocks of binned features, dealt over the executors, with the sum of the trees so far beside each row. A job
-returns sums of weights and residuals by node, feature and bin, a few KB a block, from which the driver takes the splits. Loss,
-weights, first tree and stopping are those of MLlib's ``GBTClassifier``, whose jobs spend over ten times as long on a row.
-
-Which rows a tree sees follows from the hash of a row's key, so the model does not depend on how rows are dealt.
+Rows with the same bins, label and part (fitted or held out) are one cell: every tree gives them the same sum. Cells are dealt over
+the executors in blocks, with their sum of the trees so far and the keys of their rows. A job returns sums of weights and residuals by
+node, feature and bin, a few KB a block, from which the driver takes the splits. Loss, weights, first tree and stopping are those of
+MLlib's ``GBTClassifier``, whose jobs spend over ten times as long on a row.
+
+Which rows a tree sees follows from the hash of a row's key, so the model does not depend on how rows are dealt. The rows that some
+trees see are counted by cell for these trees at once; only that reads rows, all other jobs read cells, of which there are at most
+as many as rows and, for few columns, far fewer.
 """
 
 from __future__ import annotations
@@ -21,10 +24,10 @@ from pyspark.sql import functions as F
 
 from barloom.session import cut_lineage
 
-#: Rows of a block: a task holds one block, some tens of bytes a row.
+#: Rows of a block: a task holds one block at a time, some tens of bytes a row.
 BLOCK_ROWS, LEAST_ROWS = 1_000_000, 40_000
-#: Trees after which the sums are written to the checkpoint folder, so that lineage stays short.
-CHECKPOINT_EVERY = 20
+#: Trees whose rows are counted by cell in one reading of the keys.
+COUNTED_TREES = 20
 #: Up to so many columns, sums by pairs of columns cost less than a second pass and give two levels at once.
 PAIRED_COLUMNS = 5
 
@@ -81,38 +84,48 @@ def thresholds(rows: DataFrame, columns: Sequence[str], bins: int) -> tuple[int,
 
 
 def _blocks(rows: DataFrame, columns: Sequence[str], label: str, edges: Sequence[np.ndarray], n: int):
-    """RDD of (codes by feature and row, label 1, held out, key, sum of trees): one block a partition."""
-    names = list(columns)
+    """RDD of blocks of cells: (codes by feature and cell, label 1, held out, rows, keys of the rows not held out, sum of trees)."""
+    names, most = list(columns), BLOCK_ROWS
 
-    def packed(batches):
-        parts = []
+    def coded(batches):
         for batch in batches:
             values = [batch.column(c).to_numpy(zero_copy_only=False).astype(np.float64) for c in names]
-            codes = np.stack([np.searchsorted(e, v) for e, v in zip(edges, values)]).astype(np.uint8)
-            flags = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("_up", "is_validation", "_key")]
-            parts.append((codes, *flags))
-        if parts:
-            joined = [np.concatenate(p, axis=-1) for p in zip(*parts)]
-            order = np.lexsort((*joined[0], joined[1], joined[3]))
-            data = [np.ascontiguousarray(a[..., order]).tobytes() for a in joined]
-            yield pa.RecordBatch.from_arrays([pa.array([d], pa.binary()) for d in data], names=["codes", "up", "held", "key"])
+            flags = [batch.column(c).to_numpy(zero_copy_only=False).astype(np.uint8) for c in ("_up", "is_validation")]
+            cells = np.stack([*[np.searchsorted(e, v).astype(np.uint8) for e, v in zip(edges, values)], *flags], axis=1)
+            ends = pa.py_buffer(np.arange(0, cells.size + 1, cells.shape[1], dtype=np.int32).tobytes())
+            packed = pa.Array.from_buffers(pa.binary(), len(cells), [None, ends, pa.py_buffer(cells.tobytes())])
+            yield pa.RecordBatch.from_arrays([packed, batch.column("_key")], names=["cell", "_key"])
+
+    def block(parts):
+        cells, key = (np.concatenate(p) for p in zip(*parts))
+        first = np.flatnonzero(np.concatenate([[True], (cells[1:] != cells[:-1]).any(axis=1)]))
+        of, codes = np.diff(np.append(first, len(cells))), cells[first]
+        fitted = key[cells[:, -1] == 0]
+        data = [np.ascontiguousarray(codes[:, :-2].T), codes[:, -2], codes[:, -1], of.astype(np.int32), fitted.astype(np.int64)]
+        return pa.RecordBatch.from_arrays([pa.array([a.tobytes()], pa.binary()) for a in data], names=["codes", "up", "held", "n", "key"])
+
+    def packed(batches):
+        parts, held = [], 0
+        for batch in batches:
+            cells = np.frombuffer(b"".join(batch.column("cell").to_pylist()), np.uint8).reshape(batch.num_rows, len(names) + 2)
+            parts.append((cells, batch.column("_key").to_numpy(zero_copy_only=False)))
+            held += batch.num_rows
+            if held >= most:
+                yield block(parts)
+                parts, held = [], 0
+        if held:
+            yield block(parts)
 
     def unpacked(row):
-        key = np.frombuffer(row.key, np.int64).view(np.uint64)
-        codes = np.frombuffer(row.codes, np.uint8).reshape(len(names), len(key))
-        return codes, np.frombuffer(row.up, bool), np.frombuffer(row.held, bool), key, np.zeros(len(key))
+        n = np.frombuffer(row.n, np.int32)
+        codes, key = np.frombuffer(row.codes, np.uint8).reshape(len(names), len(n)), np.frombuffer(row.key, np.int64).view(np.uint64)
+        return codes, np.frombuffer(row.up, bool), np.frombuffer(row.held, bool), n, key, np.zeros(len(n))
 
     cores = rows.sparkSession.sparkContext.defaultParallelism
     parts = max(1, n // BLOCK_ROWS, min(n // LEAST_ROWS, cores))
-    narrow = rows.select(*names, (F.col(label) > 0).alias("_up"), "is_validation", "_key").repartition(parts, "_key")
-    coded = narrow.mapInArrow(packed, "codes binary, up binary, held binary, key binary")
-    return cut_lineage(coded).rdd.map(unpacked)
-
-
-def _delete(context, file: str | None) -> None:
-    if file:
-        path = context._jvm.org.apache.hadoop.fs.Path(file)
-        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+    narrow = rows.select(*names, (F.col(label) > 0).alias("_up"), "is_validation", "_key")
+    dealt = narrow.mapInArrow(coded, "cell binary, _key long").repartition(parts, "cell").sortWithinPartitions("cell", "_key")
+    return cut_lineage(dealt.mapInArrow(packed, "codes binary, up binary, held binary, n binary, key binary")).rdd.map(unpacked)
 
 
 def boosted_trees(
@@ -125,33 +138,45 @@ def boosted_trees(
     chooses among a random share of the columns. Training ends when the loss of the rows held out rises.
     """
     n, edges = thresholds(rows, columns, bins)
-    context, nodes_of, d = rows.sparkSession.sparkContext, _routing(), len(columns)
+    nodes_of, d = _routing(), len(columns)
     pairs = [(a, b) for a in range(d) for b in range(a + 1, d)] if 2 <= d <= PAIRED_COLUMNS else []
     width, size = max(map(len, edges), default=0) + 1, 2 ** (depth + 1) - 1
     chosen, rng = max(1, int(np.ceil(column_share * d))), np.random.default_rng(seed)
 
+    def drawn(block, number, count):
+        """A block with the rows that each of ``count`` trees sees in a cell, in the place of their keys."""
+        codes, up, held, n, key, z = block
+        seen = np.zeros((count, len(n)), np.min_scalar_type(int(n.max())))
+        ours = np.flatnonzero(~held)
+        starts = np.cumsum(n[ours]) - n[ours]
+        for k in range(count):
+            if subsample < 1 and len(ours):
+                mixed = (key + np.uint64(seed * 1_000_003 + number + k + 1)) * np.uint64(0x9E3779B97F4A7C15)
+                mixed = (mixed ^ (mixed >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+                used = ((mixed ^ (mixed >> np.uint64(29))) >> np.uint64(32)) < np.uint64(int(subsample * 2**32))
+                seen[k, ours] = used if len(ours) == len(key) else np.add.reduceat(used, starts, dtype=np.int32)
+            else:
+                seen[k, ours] = n[ours]
+        return codes, up, held, n, seen, z
+
     def sums(block, number, feature, cut, level, paired):
         """Counts by label and sums of weighted residuals by column (or pair of columns), node, label and bin; loss and weight of rows held out."""
-        codes, up, held, key, z = block
+        codes, up, held, n, seen, z = block
         y, w = np.where(up, 1.0, -1.0), np.where(up, weight, 1.0)
-        used = ~held
-        if subsample < 1:
-            mixed = (key + np.uint64(seed * 1_000_003 + number + 1)) * np.uint64(0x9E3779B97F4A7C15)
-            mixed = (mixed ^ (mixed >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-            used &= ((mixed ^ (mixed >> np.uint64(29))) >> np.uint64(32)) < np.uint64(int(subsample * 2**32))
         first, count = 2**level - 1, 2**level
         node = nodes_of(codes, feature, cut)
-        here = np.flatnonzero(used & (node >= first))
-        yh = y[here]
+        here = np.flatnonzero((seen[0] > 0) & (node >= first))
+        yh, rows_here = y[here], seen[0][here].astype(np.float64)
         residual = yh if number == 0 else 4 * yh / (1 + np.exp(2 * yh * z[here]))
-        pull, base = w[here] * residual, ((node[here].astype(np.int64) - first) * 2 + up[here]) * width
+        pull, base = rows_here * (w[here] * residual), ((node[here].astype(np.int64) - first) * 2 + up[here]) * width
         wide = (width, width) if paired else (width,)
         cells, shape, own = count * 2 * int(np.prod(wide)), (-1, count, 2, *wide), [c[here] for c in codes]
         places = [(base + own[a]) * width + own[b] for a, b in pairs] if paired else [base + c for c in own]
-        counts = np.stack([np.bincount(at, minlength=cells) for at in places]).astype(np.int32)
+        counts = np.stack([np.bincount(at, rows_here, cells) for at in places]).astype(np.int32)
         pulls = np.stack([np.bincount(at, pull, cells) for at in places])
-        loss = 0.0 if level else float(np.sum(w[held] * 2 * np.logaddexp(0.0, -2 * y[held] * z[held])))
-        return counts.reshape(shape), pulls.reshape(shape).sum(axis=2, keepdims=True), loss, float(w[held].sum())
+        out = w[held] * n[held]
+        loss = 0.0 if level else float(np.sum(out * 2 * np.logaddexp(0.0, -2 * y[held] * z[held])))
+        return counts.reshape(shape), pulls.reshape(shape).sum(axis=2, keepdims=True), loss, float(out.sum())
 
     def gathered(state, *given):
         found = state.map(lambda block: sums(block, *given)).collect()  # some KB for each block
@@ -177,10 +202,12 @@ def boosted_trees(
                     out[b, 2 * k], out[b, 2 * k + 1] = both[:, : c + 1].sum(axis=-2), both[:, c + 1 :].sum(axis=-2)
         return out
 
-    def added(block, tree):
-        codes, up, held, key, z = block
-        feature, cut, value = tree
-        return codes, up, held, key, z + value[nodes_of(codes, feature, cut)]
+    def added(block, grown):
+        """A block with its sums after some more trees, and without the rows of those it has been through."""
+        codes, up, held, n, rest, z = block
+        for feature, cut, value in grown:
+            z = z + value[nodes_of(codes, feature, cut)]
+        return codes, up, held, n, rest if rest.ndim == 1 else rest[len(grown) :], z
 
     def split(level, counts, pulls, feature, cut, value):
         """Best split of each node of a level: written into the tree with the values of the children."""
@@ -207,10 +234,17 @@ def boosted_trees(
             value[2 * node + 1] = s[f, k, c] / w[f, k, c]
             value[2 * node + 2] = (whole - s[f, k, c]) / (total - w[f, k, c])
 
-    state = _blocks(rows, columns, label, edges, n).persist(StorageLevel.MEMORY_AND_DISK)
-    before, fitted, best, least, written = None, [], 0, np.inf, None
+    kept = StorageLevel.MEMORY_AND_DISK
+    base = _blocks(rows, columns, label, edges, n).persist(kept)
+    state, old, fitted, best, least = None, [], [], 0, np.inf
     try:
         for number in range(trees + 1):
+            if number % COUNTED_TREES == 0:
+                if number:
+                    old.append(base)
+                    base = base.map(lambda block, grown=tuple(fitted[-COUNTED_TREES:]): added(block, grown)).persist(kept)
+                count = min(COUNTED_TREES, trees + 1 - number)
+                state = base.map(lambda block, at=number, count=count: drawn(block, at, count)).persist(kept)
             feature, cut, value = np.full(size, -1), np.zeros(size, np.int64), np.zeros(size)
             ahead = None
             for level in range(depth):
@@ -224,11 +258,8 @@ def boosted_trees(
                 else:
                     (counts, pulls), ahead = (children(cells, level - 1, feature, cut) for cells in ahead), None
                 if not level:
-                    if before is not None:
-                        before.unpersist()
-                    if state.isCheckpointed():
-                        _delete(context, written)
-                        written = state.getCheckpointFile()
+                    while old:
+                        old.pop().unpersist()
                     if number and held and loss / held < least:
                         best, least = number, loss / held
                     elif number and held and loss / held > least:
@@ -238,11 +269,11 @@ def boosted_trees(
                 split(level, counts, pulls, feature, cut, value)
             if number < trees:
                 fitted.append((feature, cut, value if number == 0 else rate * value))
-                before = state
-                state = state.map(lambda block, tree=fitted[-1]: added(block, tree)).persist(StorageLevel.MEMORY_AND_DISK)
-                if len(fitted) % CHECKPOINT_EVERY == 0:
-                    state.checkpoint()
+                old.append(state)
+                if (number + 1) % COUNTED_TREES:
+                    state = state.map(lambda block, tree=fitted[-1]: added(block, (tree,))).persist(kept)
     finally:
-        state.unpersist()
-        _delete(context, written)
+        for blocks in (*old, state, base):
+            if blocks is not None:
+                blocks.unpersist()
     return BoostedTrees(tuple(columns), tuple(edges), tuple(fitted[: best or trees]))

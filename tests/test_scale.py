@@ -274,3 +274,37 @@ def test_boosted_trees_take_two_jobs_a_tree(spark):
         taken.append(len(context.statusTracker().getJobIdsForGroup(f"trees-{trees}")))
     context.setLocalProperty("spark.jobGroup.id", None)
     assert taken[1] - taken[0] <= 2 * 10
+
+
+def test_trees_read_cells_of_equal_rows_and_not_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(histogram_trees, "BLOCK_ROWS", 100)
+    rows = labelled_rows(spark).withColumn("_key", F.xxhash64("ticker", "date")).withColumn("is_validation", F.expr("day(date) > 25"))
+    n, edges = histogram_trees.thresholds(rows, ["a", "b"], 32)
+    blocks = histogram_trees._blocks(rows, ["a", "b"], "up", edges, n).collect()
+    frame = rows.toPandas()
+    kinds = frame.groupby(["a", "b", "up", "is_validation"]).size()
+    assert sum(len(b[3]) for b in blocks) <= len(kinds) < n / 2 and sum(int(b[3].sum()) for b in blocks) == n == len(frame)
+    assert sorted(k for b in blocks for k in b[4].view(np.int64)) == sorted(frame._key[~frame.is_validation])
+    for codes, up, held, of, key, z in blocks:
+        assert codes.shape == (2, len(of)) and len(up) == len(held) == len(z) == len(of) and of[~held].sum() == len(key)
+
+
+def test_trees_do_not_depend_on_how_many_are_counted_at_once_or_on_the_size_of_blocks(spark, monkeypatch):
+    rows, columns = labelled_rows(spark), ["a", "b", "c"]
+    found = []
+    for counted, block in ((20, 1_000_000), (1, 1_000_000), (4, 150)):
+        monkeypatch.setattr(histogram_trees, "COUNTED_TREES", counted)
+        monkeypatch.setattr(histogram_trees, "BLOCK_ROWS", block)
+        found.append(models.gbt_fit(rows, columns, "up", trees=8, rate=0.1, holdout=0.1).trees)
+    assert len(found[0]) == len(found[1]) == len(found[2])
+    for other in found[1:]:
+        for one, two in zip(found[0], other):
+            for x, y in zip(one, two):
+                np.testing.assert_allclose(x, y)
+
+
+def test_trees_of_columns_without_a_threshold(spark):
+    rows = labelled_rows(spark).withColumn("a", F.lit(1.0)).withColumn("b", F.lit(2.0))
+    model = models.gbt_fit(rows, ["a", "b"], "up", trees=3, holdout=0.0)
+    assert all((feature < 0).all() for feature, _, _ in model.trees)
+    assert models.score(model, rows, ["a", "b"], "m").select("p").distinct().count() == 1
